@@ -22,7 +22,7 @@ a doc_id are one node; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -48,6 +48,7 @@ class MinHashConfig:
     threshold: Fraction = Fraction(4, 5)
     rows: int = 8
     bands: int = 64
+    make: Callable[[np.ndarray, int], np.ndarray] | None = None  # registers of a sorted set; None: HyperMinHash
     partitions: int | None = None  # of the band rows; None: twice the session's shuffle partitions
 
     @property
@@ -91,12 +92,13 @@ def estimate(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.clip((share - chance) / (1 - chance), 0, 1)
 
 
-def _possible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, s: float) -> np.ndarray:
+def _possible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, config: MinHashConfig) -> np.ndarray:
     """Whether pairs of registers, of sets with ``na`` and ``nb`` shingles, may reach similarity ``s``: within five
-    standard errors of the estimate. Filled registers are drawn from the union without replacement."""
+    standard errors of the estimate. HyperMinHash registers are drawn from the union without replacement."""
+    s = float(config.threshold)
     filled = np.maximum(((a != EMPTY) | (b != EMPTY)).sum(1), 1)
     union = np.maximum((na + nb) / (1 + s), filled)
-    error = np.sqrt(s * (1 - s) / filled * np.maximum(1 - filled / union, 0.02))
+    error = np.sqrt(s * (1 - s) / filled * (np.maximum(1 - filled / union, 0.02) if config.make is None else 1))
     sizes = np.minimum(na, nb) >= np.maximum(na, nb) * (s - 1e-9)
     return sizes & ((estimate(a, b, np.minimum(na, nb)) >= s - 5 * error - 2 / filled) | (filled < 24))
 
@@ -104,7 +106,7 @@ def _possible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, s: f
 def sketch(docs: DataFrame, config: MinHashConfig) -> DataFrame:
     """doc_id, n_shingles, set_key (null if empty), regs (the first registers), bands (keys) of every row."""
     arrow_rows(docs.sparkSession)
-    m = config.registers
+    m, make = config.registers, config.make or registers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +114,7 @@ def sketch(docs: DataFrame, config: MinHashConfig) -> DataFrame:
             for own in K.shingle_sets(K.as_bytes(batch.column("text")), config.k):
                 sizes.append(len(own))
                 keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-                regs.append(registers(own, m))
+                regs.append(make(own, m))
             regs = np.stack(regs) if regs else np.zeros((0, m), np.uint16)
             band, filled = band_keys(regs, config.rows)
             places = np.concatenate([[0], np.cumsum(filled.sum(1))]).astype(np.int32)
@@ -133,7 +135,7 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, config: MinHashConfig) ->
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, m) for c in ("ru", "rv"))
-                good = _possible(a, b, batch.column("nu").to_numpy(), batch.column("nv").to_numpy(), s)
+                good = _possible(a, b, batch.column("nu").to_numpy(), batch.column("nv").to_numpy(), config)
                 yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(good)), batch.column("v").filter(pa.array(good))], ["u", "v"])
 
     return joined.select("u", "v", "nu", "nv", "ru", "rv").mapInArrow(run, "u long, v long")
@@ -184,7 +186,8 @@ def _across_blocks(mixed: DataFrame, docs: DataFrame, config: MinHashConfig) ->
     dealt = large.join(sizes, "key").select("key", "node", "component", "bo", "bd", F.expr("case when component <> most then pmod(xxhash64(node), bo) else bo + pmod(xxhash64(node), bd) end").alias("b"))
     other = F.explode(F.expr("case when b < bo then sequence(0L, bo + bd - 1) else sequence(0L, bo - 1) end")).alias("x")
     dealt = dealt.select("key", "node", "component", "b", other).select("key", "node", "component", "b", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"))
-    k, up, down, s, m = config.k, config.threshold.numerator, config.threshold.denominator, float(config.threshold), config.registers
+    k, up, down, m = config.k, config.threshold.numerator, config.threshold.denominator, config.registers
+    make = config.make or registers
 
     def run(table: pa.Table) -> pa.Table:
         node, comp, block = (table.column(c).to_numpy() for c in ("node", "component", "b"))
@@ -193,11 +196,11 @@ def _across_blocks(mixed: DataFrame, docs: DataFrame, config: MinHashConfig) ->
         a, b = np.flatnonzero(left), np.flatnonzero(right)
         sets = list(K.shingle_sets(K.as_bytes(table.column("text")), k))
         n = np.array([len(x) for x in sets])
-        regs = np.stack([registers(x, m) for x in sets])
+        regs = np.stack([make(x, m) for x in sets])
         likely = np.zeros((len(a), len(b)), bool)
         for row, i in enumerate(a):
             pair = np.broadcast_to(regs[i], (len(b), m)), regs[b]
-            likely[row] = (comp[b] != comp[i]) & _possible(*pair, np.full(len(b), n[i]), n[b], s)
+            likely[row] = (comp[b] != comp[i]) & _possible(*pair, np.full(len(b), n[i]), n[b], config)
         found: list[tuple[int, int]] = []
         if likely.any():
             flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)

@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolex.llm import minhash, mixing, packing, quality, toxicity
+from echolex.llm import fingerprints, minhash, mixing, packing, quality, toxicity
 
 
 def tokenizer_path() -> str:
@@ -44,8 +44,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op5_mixing, op6_quality, op7_minhash, op9_toxicity)}
+    return {f.__name__: f for f in (op3_packing, op5_mixing, op6_quality, op7_minhash, op9_toxicity, op10_fingerprints)}
 
 
 MIXING_SQL = """
