@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolex.llm import fingerprints, minhash, mixing, packing, quality, toxicity
+from echolex.llm import embeddings, fingerprints, html_extraction, licenses, minhash, mixing, packing, quality, sharding, toxicity
 
 
 def tokenizer_path() -> str:
@@ -21,6 +21,22 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(_read(spark, sf_dir, "pages"))
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_read(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path(), 4096)
 
@@ -49,7 +65,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op5_mixing, op6_quality, op7_minhash, op9_toxicity, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_html, op2_licenses, op3_packing, op4_embeddings, op5_mixing, op6_quality, op7_minhash, op8_sharding, op9_toxicity, op10_fingerprints)}
 
 
 MIXING_SQL = """
@@ -89,4 +105,4 @@ SELECT doc_id, source, n_tokens, round(weight, 9) AS weight, CAST(block AS BIGIN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": MIXING_SQL}
+    return {"op2_licenses": licenses.oracle_sql(), "op5_mixing": MIXING_SQL}
