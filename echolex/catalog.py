@@ -1,19 +1,234 @@
-"""All queries of the library by name, and SQL that gives the same rows."""
+"""All queries of the library by name, and SQL that gives the same rows.
+
+The tables hold no Japanese, so words become kana by a fixed letter-to-kana projection, which both engines can do.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from echolex.functions import sound_tables as S
+from echolex.functions import sounds
+from echolex.operators import glossary, lookup, measures
+
+LETTERS, KANA = "abcdefghijklmnopqrstuvwxyz", "アキシリエフッャイョカーュンオコトウステセヴァナマド"
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def as_kana(text: str) -> Column:
+    return F.translate(F.lower(text), LETTERS, KANA)
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct ASCII words of the benchmark texts, with phonemes."""
+    found = _read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    return found.withColumn("phonemes", sounds.phonemes(as_kana("word")))
+
+
+def names_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct part names as a glossary."""
+    g = _read(spark, sf_dir, "part").groupBy(F.col("p_name").alias("surface")).agg(F.min("p_partkey").alias("entry_id"), F.max("p_size").cast("double").alias("weight"))
+    return g.withColumn("readings", F.array(as_kana("surface")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Which glossary term does each distinct word sound like? Top five, all terms whose length allows a match."""
+    asked = words(spark, sf_dir).select(F.col("word").alias("q_key"), "phonemes")
+    found = lookup.top_k(asked, lookup.readings(names_glossary(spark, sf_dir)), lookup.QueryBounds(tau=0.6), exhaustive=True)
+    return found.select(F.col("q_key").alias("word"), "rank", "entry_id", "surface", F.round("raw", 6).alias("raw"), F.round("nd", 6).alias("nd"))
+
+
+def phonemes_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(spark, sf_dir).select("word", F.array_join("phonemes", " ").alias("phonemes"), sounds.mora_count("phonemes").alias("morae"))
+
+
+def indel_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    costs = sounds.indel_costs("phonemes")
+    return words(spark, sf_dir).select("word", F.round(F.aggregate(costs, F.lit(0.0), lambda a, c: a + c), 6).alias("total"), F.array_min(costs).alias("least"), F.array_max(costs).alias("most"))
+
+
+def phoneme_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(spark, sf_dir).select("word", F.replace(F.array_join(sounds.phoneme_ngrams("phonemes", 2), "|"), F.lit("\u001f"), F.lit("+")).alias("grams"))
+
+
+def normalized_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of part names in order, within the same first letter."""
+    g = names_glossary(spark, sf_dir).select(F.col("surface").alias("a"), sounds.phonemes(as_kana("surface")).alias("pa"))
+    h = g.withColumnsRenamed({"a": "b", "pa": "pb"})
+    pairs = g.join(h, (F.substring("a", 1, 1) == F.substring("b", 1, 1)) & (F.col("a") < F.col("b")))
+    return pairs.select("a", "b", F.round(sounds.normalized_distance("pa", "pb"), 6).alias("nd"))
+
+
+def gram_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = words(spark, sf_dir).select(F.xxhash64("word").alias("entry_id"), F.col("word").alias("surface"), F.lit(1.0).alias("weight"), F.array(as_kana("word")).alias("readings"))
+    return lookup.gram_stats(lookup.readings(g)).select(F.replace("gram", F.lit("\u001f"), F.lit("+")).alias("gram"), "df", F.round("idf", 9).alias("idf"))
+
+
+def glossary_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("surface"), F.col("p_type").alias("reading"), F.array("p_brand").alias("aliases"), F.col("p_brand").alias("category"), F.col("p_size").cast("double").alias("weight"))
+    return glossary.merge(rows).withColumn("aliases", F.array_join("aliases", "|"))
+
+
+def glossary_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return glossary.subset(_read(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("surface")), 50, "seed")
+
+
+def _heard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("word"))
+
+
+def surface_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(spark, sf_dir).select("word").join(_heard(spark, sf_dir), "word", "left_semi")
+
+
+def surface_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(spark, sf_dir).select("word").join(_heard(spark, sf_dir), "word", "left_anti")
+
+
+def cer_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _read(spark, sf_dir, "part").select("p_brand", F.col("p_name").alias("reference"), F.col("p_type").alias("hypothesis"))
+    return measures.corpus_cer(pairs, "p_brand").withColumn("cer", F.round("cer", 9))
+
+
+def term_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of five terms, by language, after a corruption that loses some of them."""
+    terms = ["the", "und", "les", "que", "ing"]
+    d = _read(spark, sf_dir, "documents").select("lang", F.coalesce("text", F.lit("")).alias("gold")).withColumn("hyp", F.replace("gold", F.lit(" the "), F.lit(" teh ")))
+    gold = [measures.count_occurrences(F.col("gold"), t) for t in terms]
+    hyp = [measures.count_occurrences(F.col("hyp"), t) for t in terms]
+    each = F.explode(F.array(*(F.struct(F.lit(t).alias("term"), g.alias("gold"), F.least(g, h).alias("found")) for t, g, h in zip(terms, gold, hyp, strict=True)))).alias("e")
+    sums = d.select("lang", each).groupBy("lang", "e.term").agg(F.sum("e.gold").alias("gold"), F.sum("e.found").alias("found"))
+    return sums.withColumn("recall", F.round(F.coalesce(F.try_divide(F.col("found").cast("double"), F.col("gold")), F.lit(0.0)), 9))
+
+
+def token_count_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", measures.count_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+
+
+def hallucination_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = F.filter(F.split(F.coalesce("text", F.lit("")), "[。．.\n\r！!？?]+"), lambda x: x != "")
+    return _read(spark, sf_dir, "documents").select("doc_id", F.size(segments).cast("long").alias("segments"), F.coalesce(F.array_max(F.transform(segments, F.length)), F.lit(0)).cast("long").alias("longest"))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 101 / 100).alias("score"))
+    return _read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y")).join(docs, "doc_id")
+
+
+def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.roc_auc(_scored(spark, sf_dir)).select(F.round("auc", 9).alias("auc"))
+
+
+def calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.expected_calibration_error(_scored(spark, sf_dir)).select(F.round("ece", 9).alias("ece"))
+
+
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.sweep_thresholds(_scored(spark, sf_dir))
+
+
+def heuristic_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _read(spark, sf_dir, "part")
+    f = {"norm_distance": F.col("p_size") / 100.0, "margin": F.col("p_partkey") % 10 / 10.0, "span_morae": F.length("p_name").cast("double"), "unknown_ratio": F.col("p_partkey") % 3 / 10.0, "span_is_common_word": (F.col("p_partkey") % 2).cast("double")}
+    return p.select("p_partkey", F.round(measures.heuristic_gate(f), 9).alias("probability"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    own = (phonemes_of_words, indel_profile, phoneme_ngrams, normalized_distance_pairs, gram_idf, glossary_merge, glossary_subset, surface_semi_join, surface_anti_join, cer_by_brand, term_recall, token_count_estimate, hallucination_segments, roc_auc, calibration_error, threshold_sweep, heuristic_gate)
+    return {"topk_exhaustive": flagship} | {f.__name__: f for f in own}
+
+
+def _lists(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    table = S.tokens()
+    keys = _lists(list(table))
+    values = "[" + ", ".join(_lists(v) + "::VARCHAR[]" for v in table.values()) + "]"
+    vowels = "('a', 'i', 'u', 'e', 'o')"
+
+    def phonemes(kana: str) -> str:
+        parts = f"regexp_extract_all({kana}, '(?:{'|'.join(S.digraphs())}|.)')"
+        flat = f"flatten(list_transform({parts}, lambda t: coalesce(map({keys}, {values})[t], ['?'])))"
+        long = f"list_reduce({flat}, lambda acc, p: CASE WHEN p <> 'R' THEN list_append(acc, p) WHEN len(acc) > 0 AND acc[-1] IN {vowels} THEN list_append(acc, acc[-1]) ELSE acc END, []::VARCHAR[])".replace("lambda acc, p:", "lambda acc, p:")
+        long = long.replace(flat, f"list_transform({flat}, lambda x: [x])").replace("p <> 'R'", "p[1] <> 'R'").replace("list_append(acc, p)", "list_append(acc, p[1])")
+        return f"list_reduce(list_transform({long}, lambda x: [x]), lambda acc, p: CASE WHEN len(acc) > 0 AND ((acc[-1] = 'o' AND p[1] = 'u') OR (acc[-1] = 'e' AND p[1] = 'i')) THEN list_append(acc, acc[-1]) ELSE list_append(acc, p[1]) END, []::VARCHAR[])"
+
+    def indel(ph: str) -> str:
+        at = lambda d: f"coalesce({ph}[i {d}], '')"
+        c = S.INDEL
+        return f"""list_transform(range(1, len({ph}) + 1), lambda i: CASE WHEN {ph}[i] = '?' THEN {c['unknown']} WHEN {ph}[i] = 'Q' THEN {c['Q']} WHEN {ph}[i] = 'N' THEN {c['N']} WHEN {ph}[i] = 'R' THEN {c['R']}
+          WHEN {ph}[i] IN {vowels} THEN CASE WHEN (i > 1 AND {at('- 1')} = {ph}[i]) OR {at('+ 1')} = {ph}[i] THEN {c['long']} WHEN i > 1 AND {ph}[i] = 'u' AND list_contains({_lists(S.EPENTHESIS_U)}, {at('- 1')}) THEN {c['epenthetic']}
+            WHEN i > 1 AND {ph}[i] = 'i' AND list_contains({_lists(S.EPENTHESIS_I)}, {at('- 1')}) THEN {c['epenthetic']} ELSE {c['vowel']} END
+          WHEN {ph}[i] IN ('y', 'w') THEN {c['glide']} ELSE {c['consonant']} END::DOUBLE)"""
+
+    costs = S.confusions()
+    cost_map = f"map({_lists([f'{a}|{b}' for a, b in costs])}, [{', '.join(f'{c}::DOUBLE' for c in costs.values())}])"
+    kana = lambda c: f"translate(lower({c}), '{LETTERS}', '{KANA}')"
+    words_cte = f"""raw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark),
+words AS MATERIALIZED (SELECT word, {phonemes(kana('word'))} AS ph FROM raw)"""
+    special = "('a', 'i', 'u', 'e', 'o', 'N', 'Q', 'R')"
+    symbol = f"CASE WHEN {{0}} IN {vowels} THEN 'v' WHEN {{0}} IN ('N', 'Q', 'R') THEN 's' ELSE 'c' END"
+    # a row of the recursion is one row of the edit matrix
+    sub = f"""CASE WHEN a = b THEN 0::DOUBLE WHEN a = '?' OR b = '?' THEN {S.UNKNOWN_SUB}::DOUBLE ELSE coalesce({cost_map}[least(a, b) || '|' || greatest(a, b)],
+      CASE {symbol.format('a')} || {symbol.format('b')} WHEN 'vv' THEN {S.VOWEL_VOWEL}::DOUBLE WHEN 'cc' THEN {S.CONSONANT_CONSONANT}::DOUBLE ELSE {S.CROSS_CLASS}::DOUBLE END) END"""
+    symbols = sorted({p for v in table.values() for p in v} | {"?"})
+    distance = f"""alphabet AS (SELECT unnest({_lists(symbols)}) AS x),
+subs AS MATERIALIZED (SELECT map(list(a || '|' || b), list({sub})) AS m FROM (SELECT p.x AS a, q.x AS b FROM alphabet p, alphabet q)),
+grid AS (
+  SELECT k, 0 AS i, pa, pb, ca, cb, list_reduce(list_concat([0::DOUBLE], cb), lambda acc, c: acc + c) AS unused,
+    list_transform(range(0, len(pb) + 1), lambda j: CASE WHEN j = 0 THEN 0::DOUBLE ELSE list_reduce(list_concat([0::DOUBLE], cb[1:j]), lambda acc, c: acc + c) END) AS line FROM pairs
+  UNION ALL
+  SELECT k, i + 1, pa, pb, ca, cb, unused,
+    list_reduce(list_transform(range(0, len(pb) + 1), lambda j: [CASE WHEN j = 0 THEN line[1] + ca[i + 1] ELSE least(line[j + 1] + ca[i + 1], line[j] + m[pa[i + 1] || '|' || pb[j]]) END, CASE WHEN j = 0 THEN 0::DOUBLE ELSE cb[j] END]),
+      lambda acc, c: CASE WHEN len(acc) = 0 THEN [c[1]] ELSE list_append(acc, least(c[1], acc[-1] + c[2])) END, []::DOUBLE[]) AS line
+  FROM grid, subs WHERE i < len(pa)),
+distances AS (SELECT k, line[-1] AS raw FROM grid WHERE i = len(pa))"""
+    morae = lambda c: f"len(list_filter({c}, lambda p: p IN {special}))"
+    names = f"""names AS MATERIALIZED (SELECT p_name AS surface, min(p_partkey) AS entry_id, max(p_size)::DOUBLE AS weight, {phonemes(kana('p_name'))} AS ph FROM part GROUP BY p_name)"""
+    scored = "scored AS (SELECT quality AS y, (n_chars % 101) / 100 AS score FROM labels JOIN documents USING (doc_id))"
+    grams2 = "list_transform(range(1, len(q)), lambda i: q[i] || '+' || q[i + 1])"
+    grams3 = "list_transform(range(1, len(q) - 1), lambda i: q[i] || '+' || q[i + 1] || '+' || q[i + 2])"
+    terms = "(VALUES ('the'), ('und'), ('les'), ('que'), ('ing'))"
+    kanji, kana_class = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}々〆]", r"[\x{3041}-\x{309F}\x{30A0}-\x{30FF}]"
+    n = lambda cls: f"len(regexp_extract_all(t, '{cls}'))"
+    return {
+        "phonemes_of_words": f"WITH {words_cte} SELECT word, array_to_string(ph, ' ') AS phonemes, CAST({morae('ph')} AS INT) AS morae FROM words",
+        "indel_profile": f"WITH {words_cte}, c AS (SELECT word, {indel('ph')} AS c FROM words) SELECT word, round(list_reduce(list_concat([0::DOUBLE], c), lambda acc, v: acc + v), 6) AS total, list_min(c) AS least, list_max(c) AS most FROM c",
+        "phoneme_ngrams": f"WITH {words_cte}, p AS (SELECT word, list_concat(['^'], ph, ['$']) AS q FROM words) SELECT word, array_to_string({grams2}, '|') AS grams FROM p",
+        "gram_idf": f"""WITH {words_cte}, p AS (SELECT word, list_concat(['^'], ph, ['$']) AS q, len(ph) AS n FROM words WHERE len(ph) > 0 AND len(list_filter(ph, lambda x: x <> '?')) > 0),
+g AS (SELECT unnest(list_distinct(CASE WHEN n >= 4 THEN list_concat({grams2}, {grams3}) ELSE {grams2} END)) AS gram FROM p)
+SELECT gram, count(*) AS df, round(ln(1 + (SELECT count(*) FROM p) / (1 + count(*))), 9) AS idf FROM g GROUP BY gram""",
+        "normalized_distance_pairs": f"""WITH RECURSIVE {names}, two AS (SELECT surface, ph, {indel('ph')} AS c FROM names),
+pairs AS MATERIALIZED (SELECT a.surface || '~' || b.surface AS k, a.surface AS a, b.surface AS b, a.ph AS pa, b.ph AS pb, a.c AS ca, b.c AS cb FROM two a JOIN two b ON a.surface[1] = b.surface[1] AND a.surface < b.surface),
+{distance} SELECT a, b, round(raw / greatest(1, len(pa), len(pb)), 6) AS nd FROM pairs JOIN distances USING (k)""",
+        "topk_exhaustive": f"""WITH RECURSIVE {words_cte}, {names}, w AS (SELECT word, ph, {indel('ph')} AS c, {morae('ph')} AS m FROM words WHERE len(ph) > 0), t AS (SELECT *, {indel('ph')} AS c, {morae('ph')} AS m FROM names WHERE len(ph) > 0),
+pairs AS MATERIALIZED (SELECT word || '~' || surface AS k, word, surface, entry_id, weight, w.ph AS pa, t.ph AS pb, w.c AS ca, t.c AS cb FROM w JOIN t
+  ON abs(len(w.ph) - len(t.ph)) * 0.15::DOUBLE <= 0.6::DOUBLE * greatest(len(w.ph), len(t.ph)) + 1e-9::DOUBLE AND (greatest(w.m, t.m) = 0 OR abs(w.m - t.m) / greatest(w.m, t.m) <= 0.34::DOUBLE + 1e-9::DOUBLE)),
+{distance}, near AS (SELECT word, surface, entry_id, weight, raw, raw / greatest(1, len(pa), len(pb)) AS nd FROM pairs JOIN distances USING (k) WHERE raw <= 0.6::DOUBLE * greatest(1, len(pa), len(pb))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY nd, weight DESC, surface, entry_id) AS rank FROM near)
+SELECT word, CAST(rank AS INT) AS rank, entry_id, surface, round(raw, 6) AS raw, round(nd, 6) AS nd FROM ranked WHERE rank <= 5""",
+        "glossary_merge": """WITH r AS (SELECT p_name AS surface, list({'r': p_type, 'a': p_brand} ORDER BY p_partkey) AS l, min(p_partkey) AS entry_id, first(p_brand ORDER BY p_partkey) AS category, max(p_size)::DOUBLE AS weight FROM part GROUP BY p_name),
+f AS (SELECT *, l[1].r AS reading, flatten(list_transform(l, lambda x: [x.r, x.a])) AS every FROM r)
+SELECT entry_id, surface, reading, array_to_string(list_filter(every, lambda x, i: x <> reading AND list_position(every, x) = i), '|') AS aliases, category, weight FROM f""",
+        "glossary_subset": "SELECT p_partkey AS entry_id, p_name AS surface FROM part ORDER BY md5('seed|' || p_partkey), p_partkey LIMIT 50",
+        "surface_semi_join": f"WITH {words_cte} SELECT word FROM words WHERE word IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM documents)",
+        "surface_anti_join": f"WITH {words_cte} SELECT word FROM words WHERE word NOT IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM documents)",
+        "cer_by_brand": "SELECT p_brand, CAST(sum(levenshtein(p_name, p_type)) AS BIGINT) AS edits, CAST(sum(length(p_name)) AS BIGINT) AS chars, round(sum(levenshtein(p_name, p_type)) / sum(length(p_name)), 9) AS cer FROM part GROUP BY p_brand",
+        "term_recall": f"""WITH d AS (SELECT lang, coalesce(text, '') AS gold, replace(coalesce(text, ''), ' the ', ' teh ') AS hyp FROM documents), c AS (SELECT lang, term, (length(gold) - length(replace(gold, term, ''))) // length(term) AS g, (length(hyp) - length(replace(hyp, term, ''))) // length(term) AS h FROM d, {terms} t(term))
+SELECT lang, term, CAST(sum(g) AS BIGINT) AS gold, CAST(sum(least(g, h)) AS BIGINT) AS found, round(CASE WHEN sum(g) = 0 THEN 0 ELSE sum(least(g, h)) / sum(g) END, 9) AS recall FROM c GROUP BY lang, term""",
+        "token_count_estimate": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c AS (SELECT doc_id, length(t) AS n, {n(kanji)} AS k, {n(kana_class)} AS h, {n('[A-Za-z]')} AS l, {n('[0-9]')} AS d FROM d)
+SELECT doc_id, CAST(CASE WHEN n = 0 THEN 0 ELSE greatest(1, round_even(k + 0.75::DOUBLE * h + 0.25::DOUBLE * l + 0.5::DOUBLE * d + (n - k - h - l - d), 0)) END AS BIGINT) AS tokens FROM c""",
+        "hallucination_segments": "WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[。．.\\n\\r！!？?]+'), lambda x: x <> '') AS s FROM documents) SELECT doc_id, CAST(len(s) AS BIGINT) AS segments, CAST(coalesce(list_max(list_transform(s, lambda x: length(x))), 0) AS BIGINT) AS longest FROM d",
+        "roc_auc": f"WITH {scored}, r AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS k FROM scored) SELECT round((sum(k) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 9) AS auc FROM r",
+        "calibration_error": f"WITH {scored}, b AS (SELECT count(*) AS n, avg(score) AS s, avg(y) AS a FROM scored GROUP BY least(floor(score * 10), 9)) SELECT round(sum(n * abs(s - a)) / sum(n), 9) AS ece FROM b",
+        "threshold_sweep": f"WITH {scored}, t AS (SELECT unnest(range(0, 101)) AS i) SELECT i / 100 AS threshold, CAST(count(*) AS BIGINT) AS accepted, CAST(sum(y) AS BIGINT) AS repairs, CAST(sum(1 - y) AS BIGINT) AS damages FROM t JOIN scored ON score * 100 + 1e-9 >= i GROUP BY i",
+        "heuristic_gate": "SELECT p_partkey, round(1 / (1 + exp(-(3.2::DOUBLE - 11 * (p_size / 100) + 2.4::DOUBLE * ((p_partkey % 10) / 10) + 0.35::DOUBLE * least(length(p_name), 8) - 3 * ((p_partkey % 3) / 10) - 1.4::DOUBLE * greatest(0, 2 - length(p_name)) - 2.6::DOUBLE * (p_partkey % 2)))), 9) AS probability FROM part",
+    }
