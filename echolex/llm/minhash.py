@@ -38,7 +38,7 @@ from echolex.llm.scratch import arrow_rows, cut
 
 EMPTY = np.uint16(0xFFFF)
 BLOCK_FROM = 64  # members of a bucket from which blocks are compared
-BLOCK = 256
+BLOCK = 640
 MANTISSA = 10
 
 
