@@ -15,6 +15,8 @@ being the rest; repeated rows are packed each; an empty table gives no rows; oth
 
 from __future__ import annotations
 
+import functools
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -105,28 +107,44 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[Run]:
     return runs
 
 
+_MARKS = ".,;:!?#$%&*|"
+
+
+def _parts(word: str) -> tuple[str, ...]:
+    """A blank-free string as parts that the tokenizer separates anyway: letters, and the marks after them."""
+    letters = word.rstrip(_MARKS)
+    if letters == word or not letters.isalpha():
+        return (word.lower() if word.isascii() else word,)
+    return (letters.lower() if letters.isascii() else letters, word[len(letters) :])
+
+
+@functools.lru_cache(2)
 def _encoder(path: str, end: int):
     """Token ids of texts as bytes of little-endian unsigned 32-bit numbers, with the end token.
 
-    The tokenizer splits at white space before anything else, so a text's ids are those of its blank-separated parts
-    in order. Parts are encoded once and remembered (up to a fixed number)."""
+    The tokenizer lower-cases and splits at white space, and between letters and marks, before anything else, so a
+    text's ids are those of its parts in order. Parts are encoded once in a worker and remembered (up to a fixed number)."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    words: dict[str, bytes] = {}
     known: dict[str, bytes] = {}
     tail = np.array([end], "<u4").tobytes()
 
     def encode(texts: list[str]) -> Iterator[bytes]:
-        parts = [x.replace("\n", " ").split(" ") for x in texts]
-        new = list({w for p in parts for w in p if w not in known})
-        if len(known) + len(new) > 400_000:
+        rows = [x.replace("\n", " ").split(" ") for x in texts]
+        if len(words) > 500_000:
+            words.clear()
             known.clear()
-            new = list({w for p in parts for w in p})
-        for word, got in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = np.array(got.ids, "<u4").tobytes()
-        for p in parts:
-            yield b"".join(map(known.__getitem__, p)) + tail
+        new = {w: _parts(w) for w in set().union(*rows) if w not in words}
+        missing = list({p for parts in new.values() for p in parts if p not in known})
+        for part, got in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+            known[part] = np.array(got.ids, "<u4").tobytes()
+        for word, parts in new.items():
+            words[word] = b"".join(map(known.__getitem__, parts))
+        for row in rows:
+            yield b"".join(map(words.__getitem__, row)) + tail
 
     return encode
 
@@ -136,8 +154,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int = 1) -> Data
     arrow_rows(docs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, ranks = _encoder(tokenizer, end), np.zeros(capacity + 1, np.int64)
         partition = TaskContext.get().partitionId()
