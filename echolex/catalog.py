@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from echolex.functions import sound_tables as S
 from echolex.functions import sounds
-from echolex.operators import glossary, lookup, measures
+from echolex.operators import edits, glossary, hallucination, lookup, measures
 
 LETTERS, KANA = "abcdefghijklmnopqrstuvwxyz", "アキシリエフッャイョカーュンオコトウステセヴァナマド"
 
@@ -139,8 +139,43 @@ def heuristic_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.round(measures.heuristic_gate(f), 9).alias("probability"))
 
 
+def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names, each followed by a canned phrase, and every third by that phrase again."""
+    phrases = F.array(*map(F.lit, hallucination.PHRASES))
+    p = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), "p_name", F.get(phrases, (F.col("p_partkey") % len(hallucination.PHRASES)).cast("int")).alias("phrase"))
+    again = F.when(F.col("doc_id") % 3 == 0, F.concat("phrase", F.lit("。"))).otherwise("")
+    return p.select("doc_id", F.concat("p_name", F.lit("。"), "phrase", F.lit("。"), again).alias("text"))
+
+
+def hallucination_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact matches only, so that SQL can give them too."""
+    hits = hallucination.find(_transcripts(spark, sf_dir), hallucination.FilterConfig(tau=0.0))
+    return hits.select("doc_id", "start", F.col("end").alias("stop"), "pattern", F.array_join("evidence", "|").alias("evidence"), "score")
+
+
+def hallucination_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _transcripts(spark, sf_dir)
+    return hallucination.remove(docs, hallucination.find(docs))
+
+
+def edit_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _read(spark, sf_dir, "part")
+    return p.select("p_partkey", edits.classify_edit(F.col("p_name"), F.col("p_type"), F.col("p_brand")).alias("outcome"))
+
+
+def char_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _read(spark, sf_dir, "part")
+    return edits.char_damage(p.select(F.col("p_name").alias("reference"), F.col("p_type").alias("baseline"), F.concat_ws(" ", "p_name", "p_brand").alias("corrected")))
+
+
+def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = (F.col("l_linenumber") * 3).cast("int")
+    spans = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), start.alias("start"), (start + 1 + (F.col("l_quantity") % 7).cast("int")).alias("end"), F.col("l_extendedprice").cast("double").alias("score"))
+    return edits.resolve_overlaps(spans).withColumnRenamed("end", "stop")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (phonemes_of_words, indel_profile, phoneme_ngrams, normalized_distance_pairs, gram_idf, glossary_merge, glossary_subset, surface_semi_join, surface_anti_join, cer_by_brand, term_recall, token_count_estimate, hallucination_segments, roc_auc, calibration_error, threshold_sweep, heuristic_gate)
+    own = (phonemes_of_words, indel_profile, phoneme_ngrams, normalized_distance_pairs, gram_idf, glossary_merge, glossary_subset, surface_semi_join, surface_anti_join, cer_by_brand, term_recall, token_count_estimate, hallucination_segments, roc_auc, calibration_error, threshold_sweep, heuristic_gate, hallucination_hits, hallucination_removal, edit_outcomes, char_damage, resolve_overlaps)
     return {"topk_exhaustive": flagship} | {f.__name__: f for f in own}
 
 
@@ -196,6 +231,7 @@ distances AS (SELECT k, line[-1] AS raw FROM grid WHERE i = len(pa))"""
     scored = "scored AS (SELECT quality AS y, (n_chars % 101) / 100 AS score FROM labels JOIN documents USING (doc_id))"
     grams2 = "list_transform(range(1, len(q)), lambda i: q[i] || '+' || q[i + 1])"
     grams3 = "list_transform(range(1, len(q) - 1), lambda i: q[i] || '+' || q[i + 1] || '+' || q[i + 2])"
+    ends, ordinary = hallucination.SEGMENT_ENDS.replace("\n", "\\n").replace("\r", "\\r"), "(" + ", ".join(f"'{x}'" for x in hallucination.ORDINARY) + ")"
     terms = "(VALUES ('the'), ('und'), ('les'), ('que'), ('ing'))"
     kanji, kana_class = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}々〆]", r"[\x{3041}-\x{309F}\x{30A0}-\x{30FF}]"
     n = lambda cls: f"len(regexp_extract_all(t, '{cls}'))"
@@ -231,4 +267,13 @@ SELECT doc_id, CAST(CASE WHEN n = 0 THEN 0 ELSE greatest(1, round_even(k + 0.75:
         "calibration_error": f"WITH {scored}, b AS (SELECT count(*) AS n, avg(score) AS s, avg(y) AS a FROM scored GROUP BY least(floor(score * 10), 9)) SELECT round(sum(n * abs(s - a)) / sum(n), 9) AS ece FROM b",
         "threshold_sweep": f"WITH {scored}, t AS (SELECT unnest(range(0, 101)) AS i) SELECT i / 100 AS threshold, CAST(count(*) AS BIGINT) AS accepted, CAST(sum(y) AS BIGINT) AS repairs, CAST(sum(1 - y) AS BIGINT) AS damages FROM t JOIN scored ON score * 100 + 1e-9 >= i GROUP BY i",
         "heuristic_gate": "SELECT p_partkey, round(1 / (1 + exp(-(3.2::DOUBLE - 11 * (p_size / 100) + 2.4::DOUBLE * ((p_partkey % 10) / 10) + 0.35::DOUBLE * least(length(p_name), 8) - 3 * ((p_partkey % 3) / 10) - 1.4::DOUBLE * greatest(0, 2 - length(p_name)) - 2.6::DOUBLE * (p_partkey % 2)))), 9) AS probability FROM part",
+        "hallucination_hits": f"""WITH phrases AS (SELECT unnest(range(0, {len(hallucination.PHRASES)})) AS place, unnest({_lists(hallucination.PHRASES)}) AS pattern),
+t AS (SELECT p_partkey AS doc_id, p_name || '。' || pattern || '。' || CASE WHEN p_partkey % 3 = 0 THEN pattern || '。' ELSE '' END AS text FROM part JOIN phrases ON place = p_partkey % {len(hallucination.PHRASES)}),
+r AS (SELECT *, regexp_extract_all(text, '[{ends}]+|[^{ends}]+') AS l FROM t), u AS (SELECT doc_id, text, l, unnest(l) AS run, unnest(range(1, len(l) + 1)) AS i FROM r),
+h AS (SELECT doc_id, text, pattern, pattern IN {ordinary} AS weak, (length(text) - length(replace(text, pattern, ''))) // length(pattern) > 1 AS twice,
+  CAST(length(array_to_string(l[1:i - 1], '')) + instr(run, pattern) - 1 AS INT) AS start FROM u JOIN phrases ON trim(run, '{hallucination.EDGE}') = pattern),
+e AS (SELECT *, CAST(start + length(pattern) AS INT) AS stop, length(text) - start - length(pattern) <= 40 AS tail, trim(text) = pattern AS entire FROM h)
+SELECT doc_id, start, stop, pattern, concat_ws('|', 'whole-segment', CASE WHEN twice THEN 'repeated' END, CASE WHEN tail THEN 'transcript-tail' END, CASE WHEN entire THEN 'entire-transcript' END) AS evidence,
+  1 + twice::INT + 0.5::DOUBLE * tail::INT + 1.5::DOUBLE * entire::INT - 0.5::DOUBLE * weak::INT AS score FROM e WHERE NOT weak OR twice OR entire""",
+        "edit_outcomes": "SELECT p_partkey, CASE sign(levenshtein(p_name, p_brand) - levenshtein(p_name, p_type)) WHEN -1 THEN 'repair' WHEN 1 THEN 'damage' ELSE 'neutral' END AS outcome FROM part",
     }
