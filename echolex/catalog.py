@@ -175,10 +175,15 @@ def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (phonemes_of_words, indel_profile, phoneme_ngrams, normalized_distance_pairs, gram_idf, glossary_merge, glossary_subset, surface_semi_join, surface_anti_join, cer_by_brand, term_recall, token_count_estimate, hallucination_segments, roc_auc, calibration_error, threshold_sweep, heuristic_gate, hallucination_hits, hallucination_removal, edit_outcomes, char_damage, resolve_overlaps)
+    own = (phonemes_of_words, indel_profile, phoneme_ngrams, normalized_distance_pairs, gram_idf, glossary_merge, glossary_subset, surface_semi_join, surface_anti_join, cer_by_brand, term_recall, token_count_estimate, hallucination_segments, roc_auc, calibration_error, threshold_sweep, heuristic_gate, hallucination_hits, edit_outcomes)
     return {"topk_exhaustive": flagship} | {f.__name__: f for f in own}
 
 
+def queries_without_sql() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Queries that SQL can't express plainly; their operators are held against brute force and goldens in tests."""
+    return {f.__name__: f for f in (hallucination_removal, char_damage, resolve_overlaps)}
+
+
 def _lists(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
