@@ -16,13 +16,17 @@ being the rest; repeated rows are packed each; an empty table gives no rows; oth
 from __future__ import annotations
 
 import functools
+import itertools
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,6 +112,8 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[Run]:
 
 
 _MARKS = ".,;:!?#$%&*|"
+_LOWER = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+_plain = re.compile(f"[a-z{_LOWER}]+").fullmatch
 
 
 def _parts(word: str) -> tuple[str, ...]:
@@ -119,52 +125,69 @@ def _parts(word: str) -> tuple[str, ...]:
 
 
 @functools.lru_cache(2)
-def _encoder(path: str, end: int):
-    """Token ids of texts as bytes of little-endian unsigned 32-bit numbers, with the end token.
+def _encoder(path: str, most: int = 500_000):
+    """Token ids of texts as bytes of little-endian unsigned 32-bit numbers.
 
     The tokenizer lower-cases and splits at white space, and between letters and marks, before anything else, so a
-    text's ids are those of its parts in order. Parts are encoded once in a worker and remembered (up to a fixed number)."""
-    from tokenizers import Tokenizer
+    text's ids are those of its parts in order. Words are looked up once a batch; those met lately (``most`` to twice
+    as many) are remembered across batches. Composed lower-case letters are what the tokenizer's first steps leave as
+    they are, so such parts go to its merges at once, in its alphabet of bytes."""
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    words: dict[str, bytes] = {}
-    known: dict[str, bytes] = {}
-    tail = np.array([end], "<u4").tobytes()
-
-    def encode(texts: list[str]) -> Iterator[bytes]:
-        rows = [x.replace("\n", " ").split(" ") for x in texts]
-        if len(words) > 500_000:
-            words.clear()
-            known.clear()
-        new = {w: _parts(w) for w in set().union(*rows) if w not in words}
-        missing = list({p for parts in new.values() for p in parts if p not in known})
-        for part, got in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            known[part] = np.array(got.ids, "<u4").tobytes()
+    merges, alphabet = tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    spelled = {ord(c): alphabet.pre_tokenize_str(c)[0][0] for c in _LOWER}
+    known: dict[str, bytes] = {"": b""}
+    older: dict[str, bytes] = {}
+
+    def learn(words: list[str]) -> None:
+        nonlocal known, older
+        if len(known) > most:
+            known, older = {"": b""}, known
+        words = [w for w in words if w not in known]
+        known.update((w, older[w]) for w in words if w in older)
+        new = {w: _parts(w) for w in words if w not in older}
+        missing = {p for parts in new.values() for p in parts if p not in known}
+        rest = [p for p in missing if not _plain(p)]
+        for part in missing.difference(rest):
+            known[part] = array("I", [x.id for x in merges.tokenize(part.translate(spelled))]).tobytes()
+        for part, got in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[part] = array("I", got.ids).tobytes()
         for word, parts in new.items():
-            words[word] = b"".join(map(known.__getitem__, parts))
-        for row in rows:
-            yield b"".join(map(words.__getitem__, row)) + tail
+            known[word] = b"".join(map(known.__getitem__, parts))
+
+    def encode(texts: pa.Array) -> Iterator[memoryview]:
+        rows = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        words = rows.flatten().dictionary_encode()
+        each = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        learn(each)
+        ids = pa.array(list(map(known.__getitem__, each)), pa.large_binary()).take(words.indices)
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(ids).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        at = ends[rows.offsets.to_numpy()]
+        data = memoryview(ids.buffers()[2] or b"")
+        for begin, end in itertools.pairwise(at.tolist()):
+            yield data[begin:end]
 
     return encode
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece, with its partition and its rank among equal lengths there."""
-    arrow_rows(docs.sparkSession, 500)
+    arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, ranks = _encoder(tokenizer, end), np.zeros(capacity + 1, np.int64)
-        partition = TaskContext.get().partitionId()
+        encode, ranks = _encoder(tokenizer), np.zeros(capacity + 1, np.int64)
+        partition, tail = TaskContext.get().partitionId(), np.array([end], "<u4").tobytes()
         for batch in batches:
             rows, out = [], []
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            for row, ids in enumerate(encode(texts)):
-                total = len(ids) // 4
+            for row, ids in enumerate(encode(batch.column("text"))):
+                total = len(ids) // 4 + 1
                 for i, start in enumerate(range(0, total, capacity)):
                     length = min(capacity, total - start)
-                    out.append((i, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), ranks[length]))
+                    crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
+                    out.append((i, start, length, zlib.crc32(tail, crc) if start + length == total else crc, ranks[length]))
                     ranks[length] += 1
                     rows.append(row)
             cols = np.array(out, np.int64).reshape(-1, 5)
