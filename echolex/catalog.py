@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echolex.functions import sound_tables as S
 from echolex.functions import sounds
-from echolex.operators import edits, glossary, hallucination, lookup, measures
+from echolex.operators import correction, edits, glossary, hallucination, lookup, measures
 
 LETTERS, KANA = "abcdefghijklmnopqrstuvwxyz", "アキシリエフッャイョカーュンオコトウステセヴァナマド"
 
@@ -174,14 +174,41 @@ def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.resolve_overlaps(spans).withColumnRenamed("end", "stop")
 
 
+def _unspaced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The benchmark texts as kana without blanks, and their tokens: words, of which those up to two letters count as affixes, and marks."""
+    found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[a-z]+|[^a-z\s]"), F.lit(0))
+    rows = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), found.alias("words"))
+    before = Window.partitionBy("doc_id").orderBy("tok").rowsBetween(Window.unboundedPreceding, -1)
+    tokens = rows.select("doc_id", F.posexplode("words").alias("tok", "word")).withColumn("start", F.coalesce(F.sum(F.length("word")).over(before), F.lit(0)).cast("int"))
+    letters = F.rlike("word", F.lit("^[a-z]"))
+    tokens = tokens.select("doc_id", "tok", "start", (F.col("start") + F.length("word")).alias("end"), F.when(letters, "katakana").otherwise("punct").alias("kind"), F.array(as_kana("word")).alias("readings"), (letters & (F.length("word") <= 2)).alias("blocked"), F.lit(False).alias("common"), F.lit(False).alias("proper"))
+    return rows.select("doc_id", as_kana(F.array_join("words", "")).alias("text")), tokens
+
+
+def _kana_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names_glossary(spark, sf_dir).select("entry_id", F.regexp_replace(as_kana("surface"), r"\s", "").alias("surface"), F.transform("readings", lambda r: F.regexp_replace(r, r"\s", "")).alias("readings"), "weight")
+
+
+def span_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correction.spans(*_unspaced(spark, sf_dir)).select("doc_id", "start", F.col("end").alias("stop"), "span")
+
+
+def correction_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correction.proposals(*_unspaced(spark, sf_dir), _kana_glossary(spark, sf_dir)).withColumnRenamed("end", "stop")
+
+
+def corrected_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correction.correct(*_unspaced(spark, sf_dir), _kana_glossary(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (phonemes_of_words, indel_profile, phoneme_ngrams, normalized_distance_pairs, gram_idf, glossary_merge, glossary_subset, surface_semi_join, surface_anti_join, cer_by_brand, term_recall, token_count_estimate, hallucination_segments, roc_auc, calibration_error, threshold_sweep, heuristic_gate, hallucination_hits, edit_outcomes)
+    own = (span_enumeration, phonemes_of_words, indel_profile, phoneme_ngrams, normalized_distance_pairs, gram_idf, glossary_merge, glossary_subset, surface_semi_join, surface_anti_join, cer_by_brand, term_recall, token_count_estimate, hallucination_segments, roc_auc, calibration_error, threshold_sweep, heuristic_gate, hallucination_hits, edit_outcomes)
     return {"topk_exhaustive": flagship} | {f.__name__: f for f in own}
 
 
 def queries_without_sql() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries that SQL can't express plainly; their operators are held against brute force and goldens in tests."""
-    return {f.__name__: f for f in (hallucination_removal, char_damage, resolve_overlaps)}
+    return {f.__name__: f for f in (hallucination_removal, char_damage, resolve_overlaps, correction_proposals, corrected_transcripts)}
 
 
 def _lists(values: list[str]) -> str:
@@ -280,5 +307,10 @@ h AS (SELECT doc_id, text, pattern, pattern IN {ordinary} AS weak, (length(text)
 e AS (SELECT *, CAST(start + length(pattern) AS INT) AS stop, length(text) - start - length(pattern) <= 40 AS tail, trim(text) = pattern AS entire FROM h)
 SELECT doc_id, start, stop, pattern, concat_ws('|', 'whole-segment', CASE WHEN twice THEN 'repeated' END, CASE WHEN tail THEN 'transcript-tail' END, CASE WHEN entire THEN 'entire-transcript' END) AS evidence,
   1 + twice::INT + 0.5::DOUBLE * tail::INT + 1.5::DOUBLE * entire::INT - 0.5::DOUBLE * weak::INT AS score FROM e WHERE NOT weak OR twice OR entire""",
+        "span_enumeration": f"""WITH d AS (SELECT item_id AS doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+|[^a-z\\s]') AS w FROM benchmark), e AS (SELECT doc_id, w, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+t AS (SELECT doc_id, i, NOT regexp_matches(word, '^[a-z]') AS mark, length(word) <= 2 AS short, length(word) AS n, sum(length(word)) OVER (PARTITION BY doc_id ORDER BY i) - length(word) AS start,
+  count(*) FILTER (NOT regexp_matches(word, '^[a-z]')) OVER (PARTITION BY doc_id ORDER BY i) AS marks, w FROM e)
+SELECT a.doc_id, CAST(a.start AS INT) AS start, CAST(b.start + b.n AS INT) AS stop, {kana("array_to_string(a.w[a.i:b.i], '')")} AS span
+FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 7 AND a.marks = b.marks WHERE NOT a.mark AND NOT a.short AND NOT b.short AND b.start + b.n - a.start <= 24""",
         "edit_outcomes": "SELECT p_partkey, CASE sign(levenshtein(p_name, p_brand) - levenshtein(p_name, p_type)) WHEN -1 THEN 'repair' WHEN 1 THEN 'damage' ELSE 'neutral' END AS outcome FROM part",
     }

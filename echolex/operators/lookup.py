@@ -69,26 +69,29 @@ def _candidates(queries: DataFrame, index: DataFrame, exhaustive: bool) -> DataF
 def top_k(queries: DataFrame, index: DataFrame, bounds: QueryBounds = QueryBounds(), exhaustive: bool | None = None) -> DataFrame:
     """For each query (q_key, phonemes) its ``top_k`` closest glossary entries: q_key, rank, entry_id, surface, reading, raw, nd.
 
+    Columns ``tau`` and ``max_raw`` of the queries, where present, hold instead of the bounds of that name.
     Equal phonemes are looked up once. Small indexes, and queries of fewer than three phonemes, meet every term whose
     length allows a match; larger ones only the best by shared grams."""
-    keyed = queries.select("q_key", F.col("phonemes").alias("q_phonemes"))
-    distinct = keyed.select("q_phonemes").distinct().withColumn("q_key", F.array_join("q_phonemes", " ")).where(F.size("q_phonemes") > 0)
-    distinct = distinct.withColumn("tau", F.lit(bounds.tau)).withColumn("q_morae", sounds.mora_count("q_phonemes")).withColumn("q_indel", sounds.indel_costs("q_phonemes"))
+    own = lambda name, value: F.col(name) if name in queries.columns else F.lit(value).cast("double").alias(name)
+    keyed = queries.select("q_key", F.col("phonemes").alias("q_phonemes"), own("tau", bounds.tau), own("max_raw", bounds.max_raw))
+    key = F.concat_ws("|", F.array_join("q_phonemes", " "), "tau", "max_raw")
+    distinct = keyed.select("q_phonemes", "tau", "max_raw").distinct().withColumn("q_key", key).where(F.size("q_phonemes") > 0)
+    distinct = distinct.withColumn("q_morae", sounds.mora_count("q_phonemes")).withColumn("q_indel", sounds.indel_costs("q_phonemes"))
     exhaustive = index.count() <= EXHAUSTIVE_LIMIT if exhaustive is None else exhaustive
     if exhaustive:
         met = _candidates(distinct, index, True)
     else:
         short = F.size("q_phonemes") < 3
-        columns = ["q_key", "q_phonemes", "q_morae", "q_indel", "tau", "slot", "entry_id", "surface", "weight", "reading", "t_phonemes", "t_morae", "t_indel"]
+        columns = ["q_key", "q_phonemes", "q_morae", "q_indel", "tau", "max_raw", "slot", "entry_id", "surface", "weight", "reading", "t_phonemes", "t_morae", "t_indel"]
         met = _candidates(distinct.where(~short), index, False).select(columns).union(_candidates(distinct.where(short), index, True).select(columns))
     if bounds.max_mora_ratio is not None:
         most = F.greatest("q_morae", "t_morae")
         met = met.where((most == 0) | (F.abs(F.col("q_morae") - F.col("t_morae")) / most <= bounds.max_mora_ratio + 1e-9))
     norm = F.greatest(F.lit(1), F.size("q_phonemes"), F.size("t_phonemes"))
-    budget = F.col("tau") * norm if bounds.max_raw is None else F.least(F.col("tau") * norm, F.lit(bounds.max_raw))
+    budget = F.least(F.col("tau") * norm, "max_raw")  # least() leaves a null bound out
     near = met.withColumn("raw", distance_batch.phonetic_distance("q_phonemes", "t_phonemes", "q_indel", "t_indel")).where(F.col("raw") <= budget).withColumn("nd", F.col("raw") / norm)
     one = F.row_number().over(Window.partitionBy("q_key", "entry_id").orderBy("nd", "slot"))
     best = near.withColumn("_n", one).where("_n = 1")
     rank = F.row_number().over(Window.partitionBy("q_key").orderBy("nd", F.desc("weight"), "surface", "entry_id"))
     ranked = best.withColumn("rank", rank).where(F.col("rank") <= bounds.top_k).select(F.col("q_key").alias("_k"), "rank", "entry_id", "surface", "reading", "raw", "nd")
-    return keyed.join(ranked, F.array_join("q_phonemes", " ") == F.col("_k")).select("q_key", "rank", "entry_id", "surface", "reading", "raw", "nd")
+    return keyed.join(ranked, key == F.col("_k")).select("q_key", "rank", "entry_id", "surface", "reading", "raw", "nd")
