@@ -186,7 +186,9 @@ def _unspaced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _kana_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names_glossary(spark, sf_dir).select("entry_id", F.regexp_replace(as_kana("surface"), r"\s", "").alias("surface"), F.transform("readings", lambda r: F.regexp_replace(r, r"\s", "")).alias("readings"), "weight")
+    """The longer words, to be written in hiragana."""
+    long = words(spark, sf_dir).where(F.length("word") >= 4)
+    return long.select(F.crc32("word").alias("entry_id"), sounds.to_hiragana(as_kana("word")).alias("surface"), F.array(as_kana("word")).alias("readings"), F.length("word").cast("double").alias("weight"))
 
 
 def span_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
