@@ -2,8 +2,8 @@
 
 Index: every vector, scaled to length 1, is stored in the inverted list of its nearest coarse centroid as the codes of its
 residual in subspaces of a few dimensions. Queries (every vector) probe the lists whose centroids are nearest; in a list
-they get asymmetric distances by table lookups over the codes, and what may reach the threshold (within the largest
-reconstruction error met in training, widened) is reranked by exact cosine in double precision. Centroids and codebooks are
+they get asymmetric distances by table lookups over the codes, and what may reach the threshold (within the stored
+vector's own reconstruction error, so nothing is missed) is reranked by exact cosine in double precision. Centroids and codebooks are
 trained on a bounded sample (``sample`` rows with the smallest hash of id), every row is indexed, and the number of
 lists grows with the rows, so that a list's expected length stays the same.
 
@@ -70,11 +70,10 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Coarse centroids, a codebook for each subspace, and a bound of the reconstruction error."""
+    """Coarse centroids and a codebook for each subspace."""
 
     coarse: np.ndarray
     books: list[np.ndarray]
-    error: float
 
     @property
     def edges(self) -> list[int]:
@@ -97,9 +96,7 @@ def train(x: np.ndarray, rows: int, config: PQConfig) -> Index:
     coarse = kmeans(x, max(1, min(config.most_lists, -(-rows // config.list_rows), len(x) // 8 or 1)), config.iterations, rng)
     residual = x - coarse[nearest(x, coarse)]
     books = [kmeans(residual[:, a : a + config.sub_dims], config.codes, config.iterations, rng) for a in range(0, x.shape[1], config.sub_dims)]
-    index = Index(coarse, books, 0.0)
-    index.error = 1.25 * float(np.sqrt(((residual - index.decode(index.encode(residual))) ** 2).sum(1).max()))
-    return index
+    return Index(coarse, books)
 
 
 def _classes(vectors: DataFrame) -> DataFrame:
@@ -132,7 +129,7 @@ def _compare(index: Index, config: PQConfig):
         for m, lookup in enumerate(index.tables(x[q])):
             approximate += lookup[:, codes[:, m]]
         error = np.sqrt(((x[s] - centre - index.decode(codes)) ** 2).sum(1))
-        a, b = np.nonzero(approximate >= config.threshold - np.minimum(error, index.error)[None, :] - 1e-9)
+        a, b = np.nonzero(approximate >= config.threshold - error[None, :] - 1e-9)
         pairs = []
         for begin in range(0, len(a), 1 << 16):
             i, j = q[a[begin : begin + (1 << 16)]], s[b[begin : begin + (1 << 16)]]
@@ -160,7 +157,7 @@ def _compare(index: Index, config: PQConfig):
 def links(classes: DataFrame, index: Index, rows: int, config: PQConfig) -> DataFrame:
     """(rep, links, other): for each class and each pair of blocks its number of links there, and a class it is connected to."""
     spark = classes.sparkSession
-    shared = spark.sparkContext.broadcast((index.coarse, index.books, index.error))
+    shared = spark.sparkContext.broadcast((index.coarse, index.books))
     reach = 2 * np.sin(np.arccos(config.threshold) / 2)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -249,6 +249,21 @@ def test_embeddings(spark):
     assert got[905]["component_id"] == 904
 
 
+def test_embeddings_outside_the_sample(spark):
+    rng = np.random.default_rng(9)
+    order = [r["id"] for r in spark.range(300).orderBy(F.xxhash64("id"), "id").collect()]
+    x = np.eye(16)[rng.integers(4, size=300)] + rng.normal(size=(300, 16)) * 0.002  # tight clusters
+    x[order[-2]] = rng.normal(size=16)  # a pair that is far from them, and that no sample of 50 covers
+    x[order[-1]] = x[order[-2]] + rng.normal(size=16) * 0.1
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.93
+    assert near[order[-2]].sum() == near[order[-1]].sum() == 2
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), embeddings.PQConfig(sample=50, block=64, codes=8)).collect()}
+    assert [got[i]["n_links"] for i in range(300)] == (near.sum(1) - 1).tolist()
+    assert [got[i]["component_id"] for i in range(300)] == groups(300, np.argwhere(near).tolist())
+
+
 def test_html():
     page = '<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><ul><li><a href="/x">Home page</a></ul></nav><div class="ad">Buy this now.</div><article><h1>Title here.</h1><p><b>First &amp; second\n  line.<br><p>More text, in the article.</p></article><footer>&copy; x</footer></body><foo'
     field = html_extraction.default_field()
