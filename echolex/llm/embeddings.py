@@ -100,10 +100,12 @@ def train(x: np.ndarray, rows: int, config: PQConfig) -> Index:
 
 
 def _classes(vectors: DataFrame) -> DataFrame:
-    """label, vector (array of doubles), dims, rep, count: a row for each distinct usable vector of a label."""
+    """class, label, vector (array of doubles), rep, count: a row for each distinct usable vector of a label.
+
+    ``class`` tells classes apart, of which several have one ``rep`` where a vec_id is repeated; it is stable once written."""
     v = F.col("vector")
     usable = F.col("label").isNotNull() & v.isNotNull() & F.col("vec_id").isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.where(usable).groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("count"))
+    return vectors.where(usable).groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("count")).withColumn("class", F.monotonically_increasing_id())
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -116,10 +118,10 @@ def _compare(index: Index, config: PQConfig):
 
     def run(table: pa.Table) -> pa.Table:
         stored = table.column("stored").to_numpy(zero_copy_only=False).astype(bool)
-        x, rep, count = _matrix(table.column("vector")), table.column("rep").to_numpy(), table.column("count").to_numpy()
+        x, own, rep, count = _matrix(table.column("vector")), *(table.column(c).to_numpy() for c in ("class", "rep", "count"))
         x = x / np.sqrt((x * x).sum(1))[:, None]
         q, s = np.flatnonzero(~stored), np.flatnonzero(stored)
-        empty = pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
+        empty = pa.table({"class": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
         if not len(q) or not len(s):
             return empty
         centre = index.coarse[table.column("list")[0].as_py()]
@@ -133,7 +135,7 @@ def _compare(index: Index, config: PQConfig):
         pairs = []
         for begin in range(0, len(a), 1 << 16):
             i, j = q[a[begin : begin + (1 << 16)]], s[b[begin : begin + (1 << 16)]]
-            good = (np.einsum("ij,ij->i", x[i], x[j]) >= config.threshold) & (rep[i] != rep[j])
+            good = (np.einsum("ij,ij->i", x[i], x[j]) >= config.threshold) & (own[i] != own[j])
             pairs.append((i[good], j[good]))
         if not pairs:
             return empty
@@ -149,13 +151,13 @@ def _compare(index: Index, config: PQConfig):
             np.minimum.at(least, i, low)
             np.minimum.at(least, j, low)
         some = (links > 0) | (least != rep)
-        return pa.table({"rep": pa.array(rep[some], pa.int64()), "links": pa.array(links[some]), "other": pa.array(least[some])})
+        return pa.table({"class": pa.array(own[some], pa.int64()), "rep": pa.array(rep[some], pa.int64()), "links": pa.array(links[some]), "other": pa.array(least[some])})
 
     return run
 
 
 def links(classes: DataFrame, index: Index, rows: int, config: PQConfig) -> DataFrame:
-    """(rep, links, other): for each class and each pair of blocks its number of links there, and a class it is connected to."""
+    """(class, rep, links, other): for each class and each pair of blocks its number of links there, and the ``rep`` of a class it is connected to."""
     spark = classes.sparkSession
     shared = spark.sparkContext.broadcast((index.coarse, index.books))
     reach = 2 * np.sin(np.arccos(config.threshold) / 2)
@@ -175,19 +177,19 @@ def links(classes: DataFrame, index: Index, rows: int, config: PQConfig) -> Data
             row, lists = np.concatenate([row, np.arange(len(x))]), np.concatenate([lists, home])
             stored = np.arange(len(row)) >= len(row) - len(x)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("label", "vector", "rep", "count")), pa.array(lists.astype(np.int32)), pa.array(stored)], ["label", "vector", "rep", "count", "list", "stored"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("label", "vector", "class", "rep", "count")), pa.array(lists.astype(np.int32)), pa.array(stored)], ["label", "vector", "class", "rep", "count", "list", "stored"])
 
     label = classes.schema["label"].dataType.simpleString()
-    dealt = classes.select("label", "vector", "rep", "count").mapInArrow(assign, f"label {label}, vector array<double>, rep long, count long, list int, stored boolean")
+    dealt = classes.select("label", "vector", "class", "rep", "count").mapInArrow(assign, f"label {label}, vector array<double>, class long, rep long, count long, list int, stored boolean")
     dealt = cut(dealt, "lists")
     sizes = dealt.groupBy("label", "list").agg(F.count_if("stored").alias("s"), F.count_if(~F.col("stored")).alias("q")).where("s > 0 and q > 0")
     sizes = sizes.select("label", "list", *(F.ceil(F.col(c) / config.block).cast("int").alias(f"b{c}") for c in ("s", "q")))
-    own = F.expr("cast(pmod(xxhash64(rep), case when stored then bs else bq end) as int)")
+    own = F.expr("cast(pmod(xxhash64(class), case when stored then bs else bq end) as int)")
     others = F.explode(F.expr("sequence(0, case when stored then bq else bs end - 1)")).alias("there")
-    met = dealt.join(sizes, ["label", "list"]).select("label", "list", "vector", "rep", "count", "stored", own.alias("here"), others)
-    met = met.select("label", "list", "vector", "rep", "count", "stored", F.expr("case when stored then there else here end").alias("i"), F.expr("case when stored then here else there end").alias("j"))
+    met = dealt.join(sizes, ["label", "list"]).select("label", "list", "vector", "class", "rep", "count", "stored", own.alias("here"), others)
+    met = met.select("label", "list", "vector", "class", "rep", "count", "stored", F.expr("case when stored then there else here end").alias("i"), F.expr("case when stored then here else there end").alias("j"))
     compare = _compare
-    return met.groupBy("label", "list", "i", "j").applyInArrow(lambda table: compare(Index(*shared.value), config)(table), "rep long, links long, other long")
+    return met.groupBy("label", "list", "i", "j").applyInArrow(lambda table: compare(Index(*shared.value), config)(table), "class long, rep long, links long, other long")
 
 
 def near_duplicates(vectors: DataFrame, config: PQConfig = PQConfig()) -> DataFrame:
@@ -207,9 +209,9 @@ def near_duplicates(vectors: DataFrame, config: PQConfig = PQConfig()) -> DataFr
     ids = v.select("vec_id")
     if found is None:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    counts = found.groupBy("class").agg(F.sum("links").alias("links"))
     of = F.xxhash64("label", "vector")
-    numbered = classes.join(counts, "rep", "left").select(of.alias("h"), "label", "vector", "rep", (F.coalesce("links", F.lit(0)) + F.col("count") - 1).alias("n_links"))
+    numbered = classes.join(counts, "class", "left").select(of.alias("h"), "label", "vector", "rep", (F.coalesce("links", F.lit(0)) + F.col("count") - 1).alias("n_links"))
     # hash first, then label and vector themselves: arrays as join keys are compared exactly
     rows = v.withColumn("h", of).alias("a").join(numbered.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.label") == F.col("b.label")) & (F.col("a.vector") == F.col("b.vector")), "left")
     rows = cut(rows.select("a.vec_id", "b.rep", "b.n_links"), "rows")

@@ -264,6 +264,13 @@ def test_embeddings_outside_the_sample(spark):
     assert [got[i]["component_id"] for i in range(300)] == groups(300, np.argwhere(near).tolist())
 
 
+def test_embeddings_repeated_ids(spark):
+    """One vec_id on several vectors, the smallest of each: two of them link, one is alone, one has a copy."""
+    rows = [(1, [1.0, 0.0, 0.0, 0.0], 1), (1, [1.0, 0.1, 0.0, 0.0], 1), (1, [0.0, 0.0, 0.0, 1.0], 1), (2, [1.0, 0.0, 0.0, 0.0], 1), (3, [0.0, 0.0, 1.0, 0.0], 1)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 0, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3)]
+
+
 def test_html():
     page = '<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><ul><li><a href="/x">Home page</a></ul></nav><div class="ad">Buy this now.</div><article><h1>Title here.</h1><p><b>First &amp; second\n  line.<br><p>More text, in the article.</p></article><footer>&copy; x</footer></body><foo'
     field = html_extraction.default_field()
