@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
     members = cut(neighbours_in_order(rows, partitions), "members")
     ends = members.where("edge").groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes")).where("size(nodes) > 1")  # at most two a partition
     ends = ends.select(F.explode(F.arrays_zip(F.slice("nodes", F.lit(1), F.size("nodes") - 1).alias("u"), F.slice("nodes", F.lit(2), F.size("nodes") - 1).alias("v"))).alias("e")).select("e.u", "e.v")
-    pairs = members.where("prev is not null").select(F.col("prev").alias("u"), F.col("node").alias("v")).union(ends).where("u < v").distinct()
+    pairs = members.where("prev is not null").select(F.least("prev", "node").alias("u"), F.greatest("prev", "node").alias("v")).union(ends).where("u <> v").distinct()
     links = cut(_confirmed(cut(_estimated(pairs, chosen, config), "pairs"), texts, config), "links")
     found = connected_components(links)
     mixed = cut(_mixed(members.select("key", "node"), found), "mixed")

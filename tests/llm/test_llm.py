@@ -101,6 +101,27 @@ def test_minhash_large_buckets(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in rows} == dict(enumerate(groups(70, linked)))
 
 
+def test_minhash_neighbours_in_either_order(spark, texts, monkeypatch):
+    members, pairs = [], []
+    chain, estimated = minhash.neighbours_in_order, minhash._estimated
+
+    def keep_members(rows, partitions):
+        members.append(minhash.cut(chain(rows, partitions), "members"))
+        return members[0]
+
+    def keep_pairs(found, sketches, config):
+        pairs.append({(r["u"], r["v"]) for r in found.collect()})
+        return estimated(found, sketches, config)
+
+    monkeypatch.setattr(minhash, "neighbours_in_order", keep_members)
+    monkeypatch.setattr(minhash, "_estimated", keep_pairs)
+    minhash.near_duplicates(documents(spark, texts))
+    met = [(r["prev"], r["node"]) for r in members[0].where("prev is not null").collect()]
+    assert any(a > b for a, b in met)
+    assert {(min(x), max(x)) for x in met} <= pairs[0]
+    assert all(a < b for a, b in pairs[0])
+
+
 def test_minhash_remove_keeps_columns(spark, texts):
     docs = documents(spark, texts)
     kept = minhash.remove(docs)
