@@ -268,7 +268,11 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
 
 def remove(docs: DataFrame, config: MinHashConfig = MinHashConfig()) -> DataFrame:
     """One row of each group of near-duplicates: that of its smallest doc_id (of rows that repeat it with the same
-    columns, one). Rows with empty sets or null ids all stay."""
-    found = near_duplicates(docs, config)
+    text, one; with other texts, one of each). Rows with empty sets or null ids all stay."""
+    found = cut(near_duplicates(docs, config), "found")
     gone = found.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1")
+    left = docs.join(gone, "doc_id", "left_anti").join(again, "doc_id", "left")
+    # only texts of repeated ids are shuffled
+    several = F.col("_n").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return left.where(~several).union(left.where(several).dropDuplicates(["doc_id", "text"])).select(*docs.columns)

@@ -129,6 +129,14 @@ def test_minhash_remove_keeps_columns(spark, texts):
     assert kept.count() == minhash.near_duplicates(docs).where("kept").count()
 
 
+def test_minhash_remove_repeated_rows(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (1, "other words", "x"), (2, "a b c d e f", "x"), (2, "a b c d e f", "x")]
+    rows += [(3, None, "x"), (3, None, "x"), (3, " ", "x"), (None, "a b c d e f", "x"), (None, "a b c d e f", "x"), (4, "alone", "x")]
+    kept = minhash.remove(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    found = sorted(((r["doc_id"] or 0, r["text"] or "") for r in kept))
+    assert found == sorted([(0, "a b c d e f")] * 2 + [(1, "a b c d e f"), (1, "other words"), (3, ""), (3, ""), (3, " "), (4, "alone")])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 99), (7, 7), (200, 150), (150, 300)]
     rows = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
