@@ -21,6 +21,7 @@ a doc_id are one node; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -40,6 +41,7 @@ EMPTY = np.uint16(0xFFFF)
 BLOCK_FROM = 64  # members of a bucket from which blocks are compared
 BLOCK = 640
 MANTISSA = 10
+BAND_ROWS = 2_000_000  # in a task
 
 
 @dataclass(frozen=True)
@@ -49,7 +51,7 @@ class MinHashConfig:
     rows: int = 8
     bands: int = 64
     make: Callable[[np.ndarray, int], np.ndarray] | None = None  # registers of a sorted set; None: HyperMinHash
-    partitions: int | None = None  # of the band rows; None: twice the session's shuffle partitions
+    partitions: int | None = None  # of the band rows; None: by their number (``BAND_ROWS`` each), at least twice the session's shuffle partitions
 
     @property
     def registers(self) -> int:
@@ -72,10 +74,32 @@ def registers(unique: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
+@functools.cache
+def _donors(m: int) -> np.ndarray:
+    """For each register a fixed random order of all registers, in which it looks for one to borrow from."""
+    return np.random.default_rng(m).permuted(np.broadcast_to(np.arange(m, dtype=np.int32), (m, m)), axis=1)
+
+
+def densified(regs: np.ndarray) -> np.ndarray:
+    """Registers with empty ones borrowed from the first filled one in their own fixed order (optimal densification,
+    Shrivastava, 2017), so that bands of short texts agree with the chance s**rows too. Rows without any stay empty."""
+    out, order = regs.copy(), _donors(regs.shape[1])
+    filled = regs != EMPTY
+    row, at = np.nonzero(~filled & filled.any(1)[:, None])
+    for step in range(regs.shape[1]):
+        if not len(row):
+            break
+        donor = order[at, step]
+        hit = filled[row, donor]
+        out[row[hit], at[hit]] = regs[row[hit], donor[hit]]
+        row, at = row[~hit], at[~hit]
+    return out
+
+
 def band_keys(regs: np.ndarray, rows: int) -> np.ndarray:
-    """A 64-bit key for each band with a filled register; (documents, bands) and a mask of such bands."""
+    """A 64-bit key for each band, (documents, bands), and a mask: documents without any register have no bands."""
     n, m = regs.shape
-    parts = regs.reshape(n, m // rows, rows)
+    parts = densified(regs).reshape(n, m // rows, rows)
     key = np.broadcast_to(np.arange(m // rows, dtype=np.uint64) + np.uint64(1), (n, m // rows)).copy()
     for j in range(rows):
         key = K.mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, j])
@@ -238,7 +262,6 @@ def _across_blocks(mixed: DataFrame, docs: DataFrame, config: MinHashConfig) ->
 def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     spark = docs.sparkSession
-    partitions = config.partitions or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sketches = cut(sketch(docs, config), "sketches")
     # one class for each distinct set; its smallest document stands for it
     classes = cut(sketches.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
@@ -248,6 +271,7 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
     # in a bucket those are neighbours that share the next bands too, so most links are met here
     at = F.posexplode("bands").alias("i", "key")
+    partitions = config.partitions or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chosen.count() * config.bands // BAND_ROWS))
     rows = chosen.select(at, "bands", "node").select("key", *(F.coalesce(F.get("bands", F.col("i") + j), F.lit(0)).alias(f"o{j}") for j in (1, 2)), "node")
     members = cut(neighbours_in_order(rows, partitions), "members")
     ends = members.where("edge").groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes")).where("size(nodes) > 1")  # at most two a partition
