@@ -9,6 +9,8 @@ bins from c on, m a bin, from offset o"), which tasks apply to whole partitions
 A piece's rank among equal lengths is its place in its partition plus the counts of earlier partitions, a sum over
 (length, partition) counts; no task holds all pieces of a length.
 
+Ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``: the string of a special token in a text is that token.
+
 Defined cases: null or empty text is the end token alone; documents longer than the capacity are cut, the last piece
 being the rest; repeated rows are packed each; an empty table gives no rows; other columns are not read.
 """
@@ -19,6 +21,7 @@ import functools
 import itertools
 import os
 import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -117,11 +120,18 @@ _plain = re.compile(f"[a-z{_LOWER}]+").fullmatch
 
 
 def _parts(word: str) -> tuple[str, ...]:
-    """A blank-free string as parts that the tokenizer separates anyway: letters, and the marks after them."""
+    """A blank-free string as parts that the tokenizer separates anyway: letters, and the marks after them.
+
+    The tokenizer composes and lower-cases first: a string whose letters do not all stay letters by that (İ becomes i
+    and a mark, which joins the marks after it), or that may hold a special token, is left whole."""
     letters = word.rstrip(_MARKS)
-    if letters == word or not letters.isalpha():
-        return (word.lower() if word.isascii() else word,)
-    return (letters.lower() if letters.isascii() else letters, word[len(letters) :])
+    if word.isascii():
+        if letters == word or not letters.isalpha():
+            return (word if "<|" in word else word.lower(),)
+        return (letters.lower(), word[len(letters) :])
+    if letters == word or not letters.isalpha() or not unicodedata.normalize("NFC", letters).lower().isalpha():
+        return (word,)
+    return (letters, word[len(letters) :])
 
 
 @functools.lru_cache(2)
@@ -135,7 +145,6 @@ def _encoder(path: str, most: int = 500_000):
     from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     merges, alphabet = tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     spelled = {ord(c): alphabet.pre_tokenize_str(c)[0][0] for c in _LOWER}
     known: dict[str, bytes] = {"": b""}
@@ -227,4 +236,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1) ->
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     schema = T.StructType([docs.schema["doc_id"]]).add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long").add("sequence_id", "long").add("offset", "long")
-    return cuts.join(base, ["partition", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", "rank", "base").mapInArrow(place, schema)
+    # the counts grow with the partitions: no broadcast, and a (partition, length) is a small key
+    return cuts.join(base.hint("merge"), ["partition", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", "rank", "base").mapInArrow(place, schema)
