@@ -8,7 +8,7 @@ a budget of tokens, its weight times the total.
 A source is realised as a budgeted permutation of blocks: rows are dealt by a seeded hash into blocks of about
 ``block_rows`` rows, blocks are put in order by a seeded hash, and rows within a block too. Whole passes over the
 source fill the budget as often as they fit; of one more pass, in that order, rows are taken as long as their tokens fit. Running sums
-go over blocks and then inside blocks, so no task holds a source, however large.
+go over spans of blocks, blocks in a span and rows in a block, so no task holds a source or its blocks, however large.
 
 Tokens are estimated as UTF-8 bytes / 4, rounded up (``tokens``: an expression over the input's columns).
 
@@ -100,8 +100,9 @@ def source_weights(sizes: DataFrame, config: MixConfig) -> DataFrame:
 
 
 def plan(docs: DataFrame, config: MixConfig = MixConfig(), size: Column | None = None) -> DataFrame:
-    """doc_id, source, digest, rows, n_tokens, weight, block, copies of every unit: the rows that agree in id, source
-    and text, which are taken together. ``n_tokens`` is a row's, ``copies`` how often each row is taken."""
+    """doc_id, source, digest, rows, n_tokens, weight, block, place, copies of every unit: the rows that agree in id,
+    source and text, which are taken together. ``n_tokens`` is a row's, ``place`` that of its first row in its source's
+    permutation (from 0, without gaps), ``copies`` how often each row is taken."""
     small = docs.select("doc_id", "source", (tokens() if size is None else size).alias("n_tokens"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
     units = small.groupBy("doc_id", "source", "digest").agg(F.count("*").alias("rows"), F.max("n_tokens").alias("n_tokens"))
     return _planned(cut(units, "units"), config)
@@ -119,21 +120,45 @@ def _planned(units: DataFrame, config: MixConfig) -> DataFrame:
     rows = rows.withColumn("_h", _hash(seed, "doc_id", "digest")).withColumn("block", F.pmod("_h", blocks))
     rows = rows.withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens") + 1e-9)).otherwise(1))
     rows = cut(rows.withColumn("_rest", F.when(F.col("tokens") > 0, F.col("budget") - F.col("epochs") * F.col("tokens") + 1e-6).otherwise(0.0)), "blocks")
-    sums = rows.groupBy("source", "block").agg(F.sum(whole).alias("_t"))
-    before = Window.partitionBy("source").orderBy(_hash(seed, F.lit("block"), "source", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("_s"), F.col("block").alias("_b"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"))
-    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))).drop("_s", "_b")
-    upto = Window.partitionBy("source", "block").orderBy("_h", "doc_id", "digest").rowsBetween(Window.unboundedPreceding, 0)
-    extra = ((F.col("tokens") > 0) & (F.col("_start") + F.sum(whole).over(upto) <= F.col("_rest"))).cast("long")
-    return rows.select("doc_id", "source", "digest", "rows", "n_tokens", "weight", "block", (F.col("epochs") + extra).alias("copies"))
-
-
-def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as its source's budget takes it."""
+    sums = rows.groupBy("source", "block").agg(F.sum(whole).alias("_t"), F.sum("rows").alias("_n")).withColumn("_o", _hash(seed, F.lit("block"), "source", "block"))
+    # in two levels, so that no task holds all blocks of a source: blocks come in order of a 60-bit hash, whose first
+    # twelve bits are a span of blocks
+    spans = cut(sums.withColumn("_span", F.shiftright("_o", 48)), "sums")
+    upto, before = Window.unboundedPreceding, -1
+    inside = Window.partitionBy("source", "_span").orderBy("_o", "block").rowsBetween(upto, before)
+    earlier = Window.partitionBy("source").orderBy("_span").rowsBetween(upto, before)  # at most 4096 rows
+    heads = spans.groupBy("source", "_span").agg(F.sum("_t").alias("_t"), F.sum("_n").alias("_n"))
+    zero = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    heads = heads.select(F.col("source").alias("_hs"), F.col("_span").alias("_hp"), zero("_t", earlier).alias("_ht"), zero("_n", earlier).alias("_hn"))
+    starts = spans.select("source", "block", "_span", zero("_t", inside).alias("_it"), zero("_n", inside).alias("_in"))
+    starts = starts.join(heads, F.col("source").eqNullSafe(F.col("_hs")) & (F.col("_span") == F.col("_hp")))
+    starts = starts.select(F.col("source").alias("_s"), F.col("block").alias("_b"), (F.col("_ht") + F.col("_it")).alias("_start"), (F.col("_hn") + F.col("_in")).alias("_first"))
+    rows = rows.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))).drop("_s", "_b")
+    own = Window.partitionBy("source", "block").orderBy("_h", "doc_id", "digest")
+    extra = ((F.col("tokens") > 0) & (F.col("_start") + F.sum(whole).over(own.rowsBetween(upto, 0)) <= F.col("_rest"))).cast("long")
+    place = F.col("_first") + zero("rows", own.rowsBetween(upto, before))
+    return rows.select("doc_id", "source", "digest", "rows", "n_tokens", "weight", "block", place.cast("long").alias("place"), (F.col("epochs") + extra).alias("copies"))
+
+
+def mix(docs: DataFrame, config: MixConfig = MixConfig(), order: str | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as its source's budget takes it.
+
+    ``order`` names a column to add: a row's place in its source's stream (pass after pass, each in the order of the
+    permutation; from 0, without gaps up to the last whole pass), to sort or to deal batches by."""
     names = docs.columns
     d = docs.toDF(*[f"c{i}" for i in range(len(names))])
     of = {c: F.col(f"c{names.index(c)}") for c in ("doc_id", "source", "text")}
-    planned = plan(docs, config).where("copies > 0").select("doc_id", "source", "digest", "copies")
+    planned = plan(docs, config).where("copies > 0")
+    if order is None:
+        planned = planned.select("doc_id", "source", "digest", "copies")
+    else:
+        totals = planned.groupBy("source").agg(F.sum("rows").alias("_all"))  # a row a source
+        planned = planned.join(totals.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "source", "digest", "copies", "place", "rows", "_all")
     same = of["doc_id"].eqNullSafe(F.col("doc_id")) & of["source"].eqNullSafe(F.col("source")) & (F.md5(F.coalesce(of["text"], F.lit(""))) == F.col("digest"))
-    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return d.join(planned, same).select(*d.columns, copies.alias("_copy")).drop("_copy").toDF(*names)
+    copies = F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("_copy")
+    if order is None:
+        return d.join(planned, same).select(*d.columns, copies).drop("_copy").toDF(*names)
+    # rows that agree in id, source and text stand one after another
+    among = F.row_number().over(Window.partitionBy(of["doc_id"], of["source"], "digest").orderBy(*d.columns)) - 1
+    met = d.join(planned, same).withColumn("_among", among).select(*d.columns, "place", "_among", "_all", copies)
+    return met.select(*d.columns, (F.col("_copy") * F.col("_all") + F.col("place") + F.col("_among")).cast("long").alias("_order")).toDF(*names, order)

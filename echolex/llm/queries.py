@@ -42,10 +42,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each document: its source's weight (9 places), its block, and how often it is taken."""
+    """A row for each document: its source's weight (9 places), its block, its place in the source's permutation, and
+    how often it is taken."""
     units = mixing.plan(_read(spark, sf_dir, "documents"))
-    each = F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("_row")
-    return units.select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), "block", "copies", each).drop("_row")
+    each = F.explode(F.sequence(F.lit(0), F.col("rows").cast("int") - 1)).alias("_row")
+    rows = units.select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), "block", "place", "copies", each)
+    return rows.withColumn("place", F.col("place") + F.col("_row")).drop("_row")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +66,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(_read(spark, sf_dir, "documents"))
 
 
+def fingerprint_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of the fingerprints' method: signature bands joined, Jaccard similarity verified, components."""
+    return fingerprints.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html, op2_licenses, op3_packing, op4_embeddings, op5_mixing, op6_quality, op7_minhash, op8_sharding, op9_toxicity, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_html, op2_licenses, op3_packing, op4_embeddings, op5_mixing, op6_quality, op7_minhash, op8_sharding, op9_toxicity, op10_fingerprints, fingerprint_components)}
 
 
 MIXING_SQL = """
@@ -93,14 +100,14 @@ dealt AS (
     CASE WHEN w.tokens > 0 THEN CAST(floor(w.budget / w.tokens + 1e-9) AS BIGINT) ELSE 1 END AS epochs
   FROM units u JOIN weights w ON u.source IS NOT DISTINCT FROM w.source),
 placed AS (SELECT *, h % blocks AS block, CASE WHEN tokens > 0 THEN budget - epochs * tokens + 1e-6 ELSE 0 END AS rest FROM dealt),
-sums AS (SELECT source, block, sum(n_tokens * rows) AS t FROM placed GROUP BY source, block),
+sums AS (SELECT source, block, sum(n_tokens * rows) AS t, sum(rows) AS n, ('0x' || substr(md5('mix|block|' || coalesce(source, '') || '|' || CAST(block AS VARCHAR)), 1, 15))::BIGINT AS o FROM placed GROUP BY source, block),
 starts AS (
-  SELECT source, block, coalesce(sum(t) OVER (PARTITION BY source ORDER BY ('0x' || substr(md5('mix|block|' || coalesce(source, '') || '|' || CAST(block AS VARCHAR)), 1, 15))::BIGINT, block
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sums),
+  SELECT source, block, coalesce(sum(t) OVER w, 0) AS start, coalesce(sum(n) OVER w, 0) AS first
+  FROM sums WINDOW w AS (PARTITION BY source ORDER BY o, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 taken AS (
-  SELECT p.*, epochs + CASE WHEN tokens > 0 AND start + sum(n_tokens * rows) OVER (PARTITION BY p.source, p.block ORDER BY h, doc_id, digest ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS copies
+  SELECT p.*, first + coalesce(sum(rows) OVER (PARTITION BY p.source, p.block ORDER BY h, doc_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place, epochs + CASE WHEN tokens > 0 AND start + sum(n_tokens * rows) OVER (PARTITION BY p.source, p.block ORDER BY h, doc_id, digest ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS copies
   FROM placed p JOIN starts s ON p.source IS NOT DISTINCT FROM s.source AND p.block = s.block)
-SELECT doc_id, source, n_tokens, round(weight, 9) AS weight, CAST(block AS BIGINT) AS block, CAST(copies AS BIGINT) AS copies FROM (SELECT *, unnest(range(rows)) AS r FROM taken)
+SELECT doc_id, source, n_tokens, round(weight, 9) AS weight, CAST(block AS BIGINT) AS block, CAST(place + r AS BIGINT) AS place, CAST(copies AS BIGINT) AS copies FROM (SELECT *, unnest(range(rows)) AS r FROM taken)
 """
 
 
