@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -14,7 +17,11 @@ SIBLINGS = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "t
 #: Block-level elements that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<(?=/?[a-zA-Z])[^<]*\Z", re.S)
+#: Of the elements that a block stands in, so many outermost and so many innermost ones are kept.
+OUTER = INNER = 32
+
+_MARK = re.compile(r"['\">]")
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -25,49 +32,94 @@ class Block:
     linked: int  # characters that stand in links
 
 
+class _Ends:
+    """Where tags end: the first ``>`` outside quotes. Each quote is looked at once, so a page costs linear time
+    however its quotes and brackets are broken."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.marks = [m.start() for m in _MARK.finditer(page)]
+        self.known: dict[int, int] = {}  # an opening quote -> the end of a tag in which it opens
+
+    def after(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag whose attributes begin at ``at``; -1 without."""
+        chain, end = [], -1
+        while (i := bisect_left(self.marks, at)) < len(self.marks):
+            mark = self.marks[i]
+            if self.page[mark] == ">":
+                end = mark
+                break
+            if mark in self.known:
+                end = self.known[mark]
+                break
+            chain.append(mark)
+            at = self.page.find(self.page[mark], mark + 1) + 1
+            if not at:
+                break
+        self.known.update(dict.fromkeys(chain, end))
+        return end
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(begin, end, tag, closes, attributes) of everything that is markup; comments and declarations have no tag.
+
+    A ``<`` that no tag, comment or declaration begins with, or whose tag never ends, is text; the last such tag is dropped."""
+    ends, at = _Ends(page), page.find("<")
+    while at >= 0:
+        head = page[at + 1 : at + 2]
+        end, tag, closes, attributes = -1, "", False, ""
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4) + 3
+            end = end if end > 2 else len(page)
+        elif head and head in "!?":
+            end = page.find(">", at + 2) + 1 or len(page)
+        elif name := _NAME.match(page, at + 1):
+            close = ends.after(name.end())
+            if close >= 0:
+                end, tag, closes, attributes = close + 1, name[2].lower(), bool(name[1]), page[name.end() : close]
+            elif page.find("<", at + 1) < 0:
+                end = len(page)
+        if end < 0:
+            at = page.find("<", at + 1)
+            continue
+        if tag in RAW and not closes and not attributes.rstrip().endswith("/"):
+            over = re.compile(rf"</{tag}\s*>", re.I).search(page, end)
+            end = over.end() if over else len(page)
+        yield at, end, tag, closes, attributes
+        at = page.find("<", end)
+
+
 def blocks(page: str) -> list[Block]:
     """The page's leaf blocks in order; scripts, styles, comments and markup are no text, white space is one blank."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # tag, tag with its words
+    stack: list[list] = []  # block-level elements: tag, tag with its words, links open inside
+    count: Counter[str] = Counter()  # open elements of each tag
     parts: list[str] = []
-    linked = links = 0
-    path: tuple[str, ...] = ()
+    linked = links = outside = 0  # characters in links; links open, and those open outside of all elements
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(path, text, min(linked, len(text))))
+                path = stack if len(stack) <= OUTER + INNER else [*stack[:OUTER], *stack[-INNER:]]
+                out.append(Block(tuple(x[1] for x in path), text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
-    def renew() -> None:
-        nonlocal path, links
-        path = tuple(x[1] for x in stack if x[0] not in INLINE)
-        links = sum(x[0] == "a" for x in stack)
+    def pop() -> None:
+        nonlocal links
+        tag, _, inside = stack.pop()
+        count[tag] -= 1
+        links -= inside
 
-    at, skip = 0, ""
-    for m in _TAG.finditer(page):
-        if m.start() < at:
-            continue
-        if m.start() > at and not skip:
-            piece = page[at : m.start()]
-            parts.append(piece)
-            linked += links and len(piece)
-        at = m.end()
-        tag = (m.group(2) or "").lower()
-        if not tag:
-            continue
-        close = m.group(1) == "/"
-        if skip:
-            if close and tag == skip:
-                skip = ""
-            continue
-        if tag in RAW:
-            if not close and not m.group(3).rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+    at = 0
+    for begin, end, tag, closes, attributes in _tags(page):
+        if begin > at:
+            parts.append(page[at:begin])
+            linked += (begin - at) if links else 0
+        at = end
+        if not tag or tag in RAW:
             continue
         if tag == "br":
             parts.append(" ")
@@ -75,37 +127,31 @@ def blocks(page: str) -> list[Block]:
             if tag not in ("wbr", "img", "input"):
                 flush()
         elif tag in INLINE:
-            if not close:
-                stack.append((tag, tag))
-                links += tag == "a"
-            else:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i]
-                        links -= tag == "a"
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
+            if tag == "a":
+                open_here = stack[-1][2] if stack else outside
+                step = 1 if not closes else -1 if open_here else 0
+                links += step
+                if stack:
+                    stack[-1][2] += step
+                else:
+                    outside += step
         else:
             flush()
-            if close:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+            if closes:
+                if count[tag]:
+                    while stack[-1][0] != tag:
+                        pop()
+                    pop()
             else:
                 ends = SIBLINGS.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ends:
-                        del stack[i:]
-                        break
-                    if stack[i][0] not in INLINE and not (tag == "tr" and stack[i][0] in ("tbody", "thead")):
-                        break
-                if not m.group(3).rstrip().endswith("/"):
-                    words = " ".join(a or b or c for a, b, c in _ATTR.findall(m.group(3))) if "=" in m.group(3) else ""
-                    stack.append((tag, f"{tag} {words}".strip().lower()))
-            renew()
-    if at < len(page) and not skip:
+                while stack and stack[-1][0] in ends:
+                    pop()
+                if not attributes.rstrip().endswith("/"):
+                    words = " ".join(a or b or c for a, b, c in _ATTR.findall(attributes)) if "=" in attributes else ""
+                    stack.append([tag, f"{tag} {words}".strip().lower(), 0])
+                    count[tag] += 1
+    if at < len(page):
         parts.append(page[at:])
+        linked += (len(page) - at) if links else 0
     flush()
     return out
