@@ -17,6 +17,8 @@ one another have the same result each; an empty table gives no rows; other colum
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,8 +90,8 @@ def words_of(docs: DataFrame) -> DataFrame:
     def run(i: Column) -> Column:
         return F.struct(i.alias("p"), F.array_join(F.slice("words", i + 1, K), " ").alias("run"))
 
-    # a run begins where the next K - 1 words are in the vocabulary too
-    whole = F.filter("at", lambda i: F.array_contains("at", i + 1) & F.array_contains("at", i + 2) if K == 3 else F.lit(True))
+    # a run begins where the next K - 1 words are in the vocabulary too; each is looked up at its place
+    whole = F.filter("at", lambda i: functools.reduce(Column.__and__, (F.coalesce(F.get("words", i + j).isin(vocabulary), F.lit(False)) for j in range(1, K))))
     base = {label: _starts("at", phrase) for label, phrase in BASE.items()}
     rows = rows.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), *(x.alias(f"base {label}") for label, x in base.items()), F.transform(whole, run).alias("runs"))
     return rows
