@@ -35,6 +35,7 @@ from echolex.llm.scratch import arrow_rows
 
 PERMUTATIONS = 128
 SHINGLE = 5
+RANGE_BYTES = 16 << 20  # of texts in a range of doc_id
 _rng = np.random.default_rng(271828)
 _A = _rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
@@ -106,7 +107,9 @@ def fingerprint_edits(docs: DataFrame, partitions: int | None = None) -> DataFra
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     spark = docs.sparkSession
     arrow_rows(spark)
-    partitions = partitions or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if partitions is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        partitions = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     id_type = docs.schema["doc_id"].dataType
 
