@@ -173,8 +173,7 @@ def test_packing(spark, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
-    tokenizer.encode_special_tokens = True
-    odd = [*texts, "<|endoftext|> don't  x y\tz　q é İ \x1c a"]
+    odd = [*texts, "<|endoftext|> don't  x y\tz　q é İ \x1c a", "İSTANBUL BELEDİYESİ, TÜRKİYE. x<|endoftext|>! <|ENDOFTEXT|>", "שׁ. क़! Σ."]
     rows = packing.pack(documents(spark, odd), queries.tokenizer_path(), 512).collect()
     found = {(r["doc_id"], r["piece"]): r for r in rows}
     assert len(found) == len(rows)
