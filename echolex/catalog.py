@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from echolex.functions import sound_tables as S
 from echolex.functions import sounds
+from echolex.functions.characters import CLASSES
 from echolex.operators import correction, edits, glossary, hallucination, lookup, measures
 
 LETTERS, KANA = "abcdefghijklmnopqrstuvwxyz", "アキシリエフッャイョカーュンオコトウステセヴァナマド"
@@ -65,6 +66,14 @@ def normalized_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a", "b", F.round(sounds.normalized_distance("pa", "pb"), 6).alias("nd"))
 
 
+def bounded_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs' distance by the second name's length and by their mean length, where it is at most 0.4."""
+    g = names_glossary(spark, sf_dir).select(F.col("surface").alias("a"), sounds.phonemes(as_kana("surface")).alias("pa"))
+    h = g.withColumnsRenamed({"a": "b", "pa": "pb"})
+    pairs = g.join(h, (F.substring("a", 1, 1) == F.substring("b", 1, 1)) & (F.col("a") < F.col("b")))
+    return pairs.select("a", "b", *(F.round(sounds.bounded_normalized_distance("pa", "pb", 0.4, by), 6).alias(f"by_{by}") for by in ("term", "mean")))
+
+
 def gram_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = words(spark, sf_dir).select(F.xxhash64("word").alias("entry_id"), F.col("word").alias("surface"), F.lit(1.0).alias("weight"), F.array(as_kana("word")).alias("readings"))
     return lookup.gram_stats(lookup.readings(g)).select(F.replace("gram", F.lit("\u001f"), F.lit("+")).alias("gram"), "df", F.round("idf", 9).alias("idf"))
@@ -98,13 +107,10 @@ def cer_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def term_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of five terms, by language, after a corruption that loses some of them."""
-    terms = ["the", "und", "les", "que", "ing"]
-    d = _read(spark, sf_dir, "documents").select("lang", F.coalesce("text", F.lit("")).alias("gold")).withColumn("hyp", F.replace("gold", F.lit(" the "), F.lit(" teh ")))
-    gold = [measures.count_occurrences(F.col("gold"), t) for t in terms]
-    hyp = [measures.count_occurrences(F.col("hyp"), t) for t in terms]
-    each = F.explode(F.array(*(F.struct(F.lit(t).alias("term"), g.alias("gold"), F.least(g, h).alias("found")) for t, g, h in zip(terms, gold, hyp, strict=True)))).alias("e")
-    sums = d.select("lang", each).groupBy("lang", "e.term").agg(F.sum("e.gold").alias("gold"), F.sum("e.found").alias("found"))
-    return sums.withColumn("recall", F.round(F.coalesce(F.try_divide(F.col("found").cast("double"), F.col("gold")), F.lit(0.0)), 9))
+    terms = spark.createDataFrame([(x,) for x in ("the", "und", "les", "que", "ing")], "term string")
+    d = _read(spark, sf_dir, "documents").select("lang", F.coalesce("text", F.lit("")).alias("reference")).withColumn("hypothesis", F.replace("reference", F.lit(" the "), F.lit(" teh ")))
+    rows = measures.term_recall(d, terms, ["lang", "term"])
+    return rows.select("lang", "term", F.col("total").alias("gold"), "found", F.round("recall", 9).alias("recall"))
 
 
 def token_count_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +202,8 @@ def span_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def correction_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correction.proposals(*_unspaced(spark, sf_dir), _kana_glossary(spark, sf_dir)).withColumnRenamed("end", "stop")
+    found = correction.proposals(*_unspaced(spark, sf_dir), _kana_glossary(spark, sf_dir))
+    return found.withColumnRenamed("end", "stop").drop("phonemes", "t_phonemes", "features")
 
 
 def corrected_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +211,7 @@ def corrected_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (span_enumeration, phonemes_of_words, indel_profile, phoneme_ngrams, normalized_distance_pairs, gram_idf, glossary_merge, glossary_subset, surface_semi_join, surface_anti_join, cer_by_brand, term_recall, token_count_estimate, hallucination_segments, roc_auc, calibration_error, threshold_sweep, heuristic_gate, hallucination_hits, edit_outcomes)
+    own = (bounded_distance, span_enumeration, phonemes_of_words, indel_profile, phoneme_ngrams, normalized_distance_pairs, gram_idf, glossary_merge, glossary_subset, surface_semi_join, surface_anti_join, cer_by_brand, term_recall, token_count_estimate, hallucination_segments, roc_auc, calibration_error, threshold_sweep, heuristic_gate, hallucination_hits, edit_outcomes)
     return {"topk_exhaustive": flagship} | {f.__name__: f for f in own}
 
 
@@ -217,18 +224,25 @@ def _lists(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-def oracle_sql() -> dict[str, str]:
-    table = S.tokens()
+def kana_sql(c: str) -> str:
+    return f"translate(lower({c}), '{LETTERS}', '{KANA}')"
+
+
+def phonemes_sql(kana: str) -> str:
+    """The phonemes of a reading, as SQL."""
+    table, vowels = S.tokens(), "('a', 'i', 'u', 'e', 'o')"
     keys = _lists(list(table))
     values = "[" + ", ".join(_lists(v) + "::VARCHAR[]" for v in table.values()) + "]"
-    vowels = "('a', 'i', 'u', 'e', 'o')"
+    parts = f"regexp_extract_all({kana}, '(?:{'|'.join(S.digraphs())}|.)')"
+    flat = f"flatten(list_transform({parts}, lambda t: coalesce(map({keys}, {values})[t], ['?'])))"
+    long = f"list_reduce({flat}, lambda acc, p: CASE WHEN p <> 'R' THEN list_append(acc, p) WHEN len(acc) > 0 AND acc[-1] IN {vowels} THEN list_append(acc, acc[-1]) ELSE acc END, []::VARCHAR[])".replace("lambda acc, p:", "lambda acc, p:")
+    long = long.replace(flat, f"list_transform({flat}, lambda x: [x])").replace("p <> 'R'", "p[1] <> 'R'").replace("list_append(acc, p)", "list_append(acc, p[1])")
+    return f"list_reduce(list_transform({long}, lambda x: [x]), lambda acc, p: CASE WHEN len(acc) > 0 AND ((acc[-1] = 'o' AND p[1] = 'u') OR (acc[-1] = 'e' AND p[1] = 'i')) THEN list_append(acc, acc[-1]) ELSE list_append(acc, p[1]) END, []::VARCHAR[])"
 
-    def phonemes(kana: str) -> str:
-        parts = f"regexp_extract_all({kana}, '(?:{'|'.join(S.digraphs())}|.)')"
-        flat = f"flatten(list_transform({parts}, lambda t: coalesce(map({keys}, {values})[t], ['?'])))"
-        long = f"list_reduce({flat}, lambda acc, p: CASE WHEN p <> 'R' THEN list_append(acc, p) WHEN len(acc) > 0 AND acc[-1] IN {vowels} THEN list_append(acc, acc[-1]) ELSE acc END, []::VARCHAR[])".replace("lambda acc, p:", "lambda acc, p:")
-        long = long.replace(flat, f"list_transform({flat}, lambda x: [x])").replace("p <> 'R'", "p[1] <> 'R'").replace("list_append(acc, p)", "list_append(acc, p[1])")
-        return f"list_reduce(list_transform({long}, lambda x: [x]), lambda acc, p: CASE WHEN len(acc) > 0 AND ((acc[-1] = 'o' AND p[1] = 'u') OR (acc[-1] = 'e' AND p[1] = 'i')) THEN list_append(acc, acc[-1]) ELSE list_append(acc, p[1]) END, []::VARCHAR[])"
+
+def oracle_sql() -> dict[str, str]:
+    table = S.tokens()
+    vowels = "('a', 'i', 'u', 'e', 'o')"
 
     def indel(ph: str) -> str:
         at = lambda d: f"coalesce({ph}[i {d}], '')"
@@ -240,9 +254,8 @@ def oracle_sql() -> dict[str, str]:
 
     costs = S.confusions()
     cost_map = f"map({_lists([f'{a}|{b}' for a, b in costs])}, [{', '.join(f'{c}::DOUBLE' for c in costs.values())}])"
-    kana = lambda c: f"translate(lower({c}), '{LETTERS}', '{KANA}')"
     words_cte = f"""raw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark),
-words AS MATERIALIZED (SELECT word, {phonemes(kana('word'))} AS ph FROM raw)"""
+words AS MATERIALIZED (SELECT word, {phonemes_sql(kana_sql('word'))} AS ph FROM raw)"""
     special = "('a', 'i', 'u', 'e', 'o', 'N', 'Q', 'R')"
     symbol = f"CASE WHEN {{0}} IN {vowels} THEN 'v' WHEN {{0}} IN ('N', 'Q', 'R') THEN 's' ELSE 'c' END"
     # a row of the recursion is one row of the edit matrix
@@ -261,13 +274,13 @@ grid AS (
   FROM grid, subs WHERE i < len(pa)),
 distances AS (SELECT k, line[-1] AS raw FROM grid WHERE i = len(pa))"""
     morae = lambda c: f"len(list_filter({c}, lambda p: p IN {special}))"
-    names = f"""names AS MATERIALIZED (SELECT p_name AS surface, min(p_partkey) AS entry_id, max(p_size)::DOUBLE AS weight, {phonemes(kana('p_name'))} AS ph FROM part GROUP BY p_name)"""
+    names = f"""names AS MATERIALIZED (SELECT p_name AS surface, min(p_partkey) AS entry_id, max(p_size)::DOUBLE AS weight, {phonemes_sql(kana_sql('p_name'))} AS ph FROM part GROUP BY p_name)"""
     scored = "scored AS (SELECT quality AS y, (n_chars % 101) / 100 AS score FROM labels JOIN documents USING (doc_id))"
     grams2 = "list_transform(range(1, len(q)), lambda i: q[i] || '+' || q[i + 1])"
     grams3 = "list_transform(range(1, len(q) - 1), lambda i: q[i] || '+' || q[i + 1] || '+' || q[i + 2])"
     ends, ordinary = hallucination.SEGMENT_ENDS.replace("\n", "\\n").replace("\r", "\\r"), "(" + ", ".join(f"'{x}'" for x in hallucination.ORDINARY) + ")"
     terms = "(VALUES ('the'), ('und'), ('les'), ('que'), ('ing'))"
-    kanji, kana_class = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}々〆]", r"[\x{3041}-\x{309F}\x{30A0}-\x{30FF}]"
+    kinds = lambda *names: "[" + "".join(CLASSES[x] for x in names) + "]"
     n = lambda cls: f"len(regexp_extract_all(t, '{cls}'))"
     return {
         "phonemes_of_words": f"WITH {words_cte} SELECT word, array_to_string(ph, ' ') AS phonemes, CAST({morae('ph')} AS INT) AS morae FROM words",
@@ -279,6 +292,13 @@ SELECT gram, count(*) AS df, round(ln(1 + (SELECT count(*) FROM p) / (1 + count(
         "normalized_distance_pairs": f"""WITH RECURSIVE {names}, two AS (SELECT surface, ph, {indel('ph')} AS c FROM names),
 pairs AS MATERIALIZED (SELECT a.surface || '~' || b.surface AS k, a.surface AS a, b.surface AS b, a.ph AS pa, b.ph AS pb, a.c AS ca, b.c AS cb FROM two a JOIN two b ON a.surface[1] = b.surface[1] AND a.surface < b.surface),
 {distance} SELECT a, b, round(raw / greatest(1, len(pa), len(pb)), 6) AS nd FROM pairs JOIN distances USING (k)""",
+        "phonetic_alignment": f"""WITH RECURSIVE {names}, two AS (SELECT surface, ph, {indel('ph')} AS c FROM names),
+pairs AS MATERIALIZED (SELECT a.surface || '~' || b.surface AS k, a.surface AS a, b.surface AS b, a.ph AS pa, b.ph AS pb, a.c AS ca, b.c AS cb FROM two a JOIN two b ON a.surface[1] = b.surface[1] AND a.surface < b.surface),
+{distance} SELECT a, b, round(raw, 6) AS cost FROM pairs JOIN distances USING (k)""",
+        "bounded_distance": f"""WITH RECURSIVE {names}, two AS (SELECT surface, ph, {indel('ph')} AS c FROM names),
+pairs AS MATERIALIZED (SELECT a.surface || '~' || b.surface AS k, a.surface AS a, b.surface AS b, a.ph AS pa, b.ph AS pb, a.c AS ca, b.c AS cb FROM two a JOIN two b ON a.surface[1] = b.surface[1] AND a.surface < b.surface),
+{distance}, n AS (SELECT a, b, raw, greatest(1, len(pb)) AS by_term, greatest(1, (len(pa) + len(pb)) / 2) AS by_mean FROM pairs JOIN distances USING (k))
+SELECT a, b, CASE WHEN raw <= 0.4::DOUBLE * by_term THEN round(raw / by_term, 6) END AS by_term, CASE WHEN raw <= 0.4::DOUBLE * by_mean THEN round(raw / by_mean, 6) END AS by_mean FROM n""",
         "topk_exhaustive": f"""WITH RECURSIVE {words_cte}, {names}, w AS (SELECT word, ph, {indel('ph')} AS c, {morae('ph')} AS m FROM words WHERE len(ph) > 0), t AS (SELECT *, {indel('ph')} AS c, {morae('ph')} AS m FROM names WHERE len(ph) > 0),
 pairs AS MATERIALIZED (SELECT word || '~' || surface AS k, word, surface, entry_id, weight, w.ph AS pa, t.ph AS pb, w.c AS ca, t.c AS cb FROM w JOIN t
   ON abs(len(w.ph) - len(t.ph)) * 0.15::DOUBLE <= 0.6::DOUBLE * greatest(len(w.ph), len(t.ph)) + 1e-9::DOUBLE AND (greatest(w.m, t.m) = 0 OR abs(w.m - t.m) / greatest(w.m, t.m) <= 0.34::DOUBLE + 1e-9::DOUBLE)),
@@ -293,8 +313,8 @@ SELECT entry_id, surface, reading, array_to_string(list_filter(every, lambda x,
         "surface_anti_join": f"WITH {words_cte} SELECT word FROM words WHERE word NOT IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM documents)",
         "cer_by_brand": "SELECT p_brand, CAST(sum(levenshtein(p_name, p_type)) AS BIGINT) AS edits, CAST(sum(length(p_name)) AS BIGINT) AS chars, round(sum(levenshtein(p_name, p_type)) / sum(length(p_name)), 9) AS cer FROM part GROUP BY p_brand",
         "term_recall": f"""WITH d AS (SELECT lang, coalesce(text, '') AS gold, replace(coalesce(text, ''), ' the ', ' teh ') AS hyp FROM documents), c AS (SELECT lang, term, (length(gold) - length(replace(gold, term, ''))) // length(term) AS g, (length(hyp) - length(replace(hyp, term, ''))) // length(term) AS h FROM d, {terms} t(term))
-SELECT lang, term, CAST(sum(g) AS BIGINT) AS gold, CAST(sum(least(g, h)) AS BIGINT) AS found, round(CASE WHEN sum(g) = 0 THEN 0 ELSE sum(least(g, h)) / sum(g) END, 9) AS recall FROM c GROUP BY lang, term""",
-        "token_count_estimate": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c AS (SELECT doc_id, length(t) AS n, {n(kanji)} AS k, {n(kana_class)} AS h, {n('[A-Za-z]')} AS l, {n('[0-9]')} AS d FROM d)
+SELECT lang, term, CAST(sum(g) AS BIGINT) AS gold, CAST(sum(least(g, h)) AS BIGINT) AS found, round(CASE WHEN sum(g) = 0 THEN 0 ELSE sum(least(g, h)) / sum(g) END, 9) AS recall FROM c GROUP BY lang, term HAVING sum(g) > 0""",
+        "token_count_estimate": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c AS (SELECT doc_id, length(t) AS n, {n(kinds('kanji'))} AS k, {n(kinds('hiragana', 'katakana'))} AS h, {n(kinds('latin'))} AS l, {n(kinds('digit'))} AS d FROM d)
 SELECT doc_id, CAST(CASE WHEN n = 0 THEN 0 ELSE greatest(1, round_even(k + 0.75::DOUBLE * h + 0.25::DOUBLE * l + 0.5::DOUBLE * d + (n - k - h - l - d), 0)) END AS BIGINT) AS tokens FROM c""",
         "hallucination_segments": "WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[。．.\\n\\r！!？?]+'), lambda x: x <> '') AS s FROM documents) SELECT doc_id, CAST(len(s) AS BIGINT) AS segments, CAST(coalesce(list_max(list_transform(s, lambda x: length(x))), 0) AS BIGINT) AS longest FROM d",
         "roc_auc": f"WITH {scored}, r AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS k FROM scored) SELECT round((sum(k) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 9) AS auc FROM r",
@@ -312,7 +332,7 @@ SELECT doc_id, start, stop, pattern, concat_ws('|', 'whole-segment', CASE WHEN t
         "span_enumeration": f"""WITH d AS (SELECT item_id AS doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+|[^a-z\\s]') AS w FROM benchmark), e AS (SELECT doc_id, w, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
 t AS (SELECT doc_id, i, NOT regexp_matches(word, '^[a-z]') AS mark, length(word) <= 2 AS short, length(word) AS n, sum(length(word)) OVER (PARTITION BY doc_id ORDER BY i) - length(word) AS start,
   count(*) FILTER (NOT regexp_matches(word, '^[a-z]')) OVER (PARTITION BY doc_id ORDER BY i) AS marks, w FROM e)
-SELECT a.doc_id, CAST(a.start AS INT) AS start, CAST(b.start + b.n AS INT) AS stop, {kana("array_to_string(a.w[a.i:b.i], '')")} AS span
+SELECT a.doc_id, CAST(a.start AS INT) AS start, CAST(b.start + b.n AS INT) AS stop, {kana_sql("array_to_string(a.w[a.i:b.i], '')")} AS span
 FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 7 AND a.marks = b.marks WHERE NOT a.mark AND NOT a.short AND NOT b.short AND b.start + b.n - a.start <= 24""",
         "edit_outcomes": "SELECT p_partkey, CASE sign(levenshtein(p_name, p_brand) - levenshtein(p_name, p_type)) WHEN -1 THEN 'repair' WHEN 1 THEN 'damage' ELSE 'neutral' END AS outcome FROM part",
     }

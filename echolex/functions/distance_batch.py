@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from echolex.functions import sound_tables as S
 
-_SYMBOLS = sorted({p for v in S.tokens().values() for p in v} | {S.UNKNOWN, "R"})
+_SYMBOLS = S.alphabet()
 _NUMBER = {p: i for i, p in enumerate(_SYMBOLS)}
 
 
@@ -48,24 +48,77 @@ def _padded(column: pa.Array, symbols: bool) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def distances(a: pa.Array, b: pa.Array, indel_a: pa.Array, indel_b: pa.Array) -> pa.Array:
+def distances(a: pa.Array, b: pa.Array, indel_a: pa.Array, indel_b: pa.Array, budget: pa.Array | None = None) -> pa.Array:
+    """The distance of each pair; with a ``budget``, null where it is over that. Pairs whose whole row is over are given up."""
     (pa_, na), (pb, nb), (ca, _), (cb, _) = _padded(a, True), _padded(b, True), _padded(indel_a, False), _padded(indel_b, False)
     n, wide = len(na), pb.shape[1]
+    most = np.full(n, np.inf) if budget is None else np.nan_to_num(budget.to_numpy(zero_copy_only=False), nan=-1.0)
     row = np.zeros((wide + 1, n))
     for j in range(wide):
         row[j + 1] = row[j] + cb[:, j]
-    each, out = np.arange(n), row[nb, np.arange(n)].copy()
+    out, at = np.full(n, np.inf), np.arange(n)  # ``at``: the pairs still followed
+    out[na == 0] = row[nb, at][na == 0]
+    each = at.copy()
     for i in range(pa_.shape[1]):
+        if budget is not None:
+            go = (na > i) & (row.min(0) <= most)
+            if go.sum() < 0.7 * len(go):
+                pa_, na, pb, nb, ca, cb, most, at = (x[go] for x in (pa_, na, pb, nb, ca, cb, most, at))
+                row, each = row[:, go], np.arange(len(at))
+                wide = int(nb.max(initial=0))
+                row = row[: wide + 1]
         new = np.empty_like(row)
         new[0] = row[0] + ca[:, i]
         for j in range(wide):
             new[j + 1] = np.minimum(np.minimum(row[j + 1] + ca[:, i], new[j] + cb[:, j]), row[j] + SUBSTITUTION[pa_[:, i], pb[:, j]])
         row = new
         done = na == i + 1
-        out[done] = row[nb[done], each[done]]
-    return pa.array(out, mask=np.array(a.is_null()) | np.array(b.is_null()))
+        out[at[done]] = row[nb[done], each[done]]
+    over = np.zeros(n, bool) if budget is None else ~(out <= np.nan_to_num(budget.to_numpy(zero_copy_only=False), nan=-1.0))
+    return pa.array(out, mask=over | np.array(a.is_null()) | np.array(b.is_null()))
 
 
 @F.arrow_udf(T.DoubleType())
 def phonetic_distance(a: pa.Array, b: pa.Array, indel_a: pa.Array, indel_b: pa.Array) -> pa.Array:
     return distances(a, b, indel_a, indel_b)
+
+
+@F.arrow_udf(T.DoubleType())
+def bounded_distance(a: pa.Array, b: pa.Array, indel_a: pa.Array, indel_b: pa.Array, budget: pa.Array) -> pa.Array:
+    return distances(a, b, indel_a, indel_b, budget)
+
+
+OPERATION = T.ArrayType(T.StructType().add("op", "string").add("a", "string").add("b", "string").add("cost", "double"))
+
+
+def _aligned(a: list[str], b: list[str], ca: list[float], cb: list[float]) -> list[dict]:
+    """Operations of a cheapest alignment, read from its end: a substitution before a deletion before an insertion."""
+    pair = [[SUBSTITUTION[_NUMBER.get(x, _NUMBER[S.UNKNOWN]), _NUMBER.get(y, _NUMBER[S.UNKNOWN])] if x != y else 0.0 for y in b] for x in a]
+    rows = [[0.0]]
+    for c in cb:
+        rows[0].append(rows[0][-1] + c)
+    for i, c in enumerate(ca):
+        new = [rows[-1][0] + c]
+        for j, d in enumerate(cb):
+            new.append(min(rows[-1][j] + pair[i][j], rows[-1][j + 1] + c, new[-1] + d))
+        rows.append(new)
+    out, i, j = [], len(a), len(b)
+    while i or j:
+        if i and j and rows[i][j] == rows[i - 1][j - 1] + pair[i - 1][j - 1]:
+            i, j = i - 1, j - 1
+            out.append({"op": "=" if a[i] == b[j] else "~", "a": a[i], "b": b[j], "cost": float(pair[i][j])})
+        elif i and (not j or rows[i][j] == rows[i - 1][j] + ca[i - 1]):
+            i -= 1
+            out.append({"op": "-", "a": a[i], "b": "", "cost": ca[i]})
+        else:
+            j -= 1
+            out.append({"op": "+", "a": "", "b": b[j], "cost": cb[j]})
+    return out[::-1]
+
+
+@F.arrow_udf(OPERATION)
+def alignment(a: pa.Array, b: pa.Array, indel_a: pa.Array, indel_b: pa.Array) -> pa.Array:
+    """How one sequence of phonemes becomes the other: = ~ - + with their costs. For rows that are shown, not for searching."""
+    rows = zip(*(x.to_pylist() for x in (a, b, indel_a, indel_b)), strict=True)
+    kind = pa.list_(pa.struct([("op", pa.string()), ("a", pa.string()), ("b", pa.string()), ("cost", pa.float64())]))
+    return pa.array([None if r[0] is None or r[1] is None else _aligned(*r) for r in rows], kind)

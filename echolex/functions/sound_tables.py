@@ -35,19 +35,25 @@ PLAIN_H, HALF_VOICED = "ハヒフヘホ", "パピプペポ"
 LONG_MARKS = "〜~－—―–ｰ"
 SKIPPED = " 　・=＝-‐"
 
-# Costs of hearing one sound as another, by kind of confusion.
-CONFUSIONS = """
-k g .30, ky gy .30, s z .30, sh j .30, t d .30, ch j .32, ts z .40, h b .38, hy by .38, b p .30, by py .30, f v .30, kw gw .30, t ts .40, d z .40
-s sh .35, z j .30, sh ch .35, ch ts .35, s ts .40, t ch .40, d j .40, s h .50, sh h .50, sh hy .45
-k ky .40, g gy .40, n ny .38, h hy .40, b by .40, p py .40, m my .40, r ry .40, f fy .40, v vy .40, t ty .40, d dy .40, ty ch .35, dy j .35
-n m .35, n N .28, m N .30, ny N .42, my N .45, N u .62, N o .66, N i .70
-r d .45, r n .50, r w .55, r l .10, y i .40, w u .40, y ny .45, w v .45, w b .50, h w .55, y r .55
-h f .38, f p .45, f b .50, h k .55, v b .35, f s .50
-t k .60, k p .65, t p .65, d g .60, b d .60, b g .65, k kw .30, g gw .30
-i e .35, u o .35, a o .45, a e .50, u i .45, o e .50, a u .55, a i .55, i o .60, e u .50
-Q t .55, Q k .55, Q s .55, Q ts .55, Q ch .58, Q p .58, Q sh .58
-R a .20, R i .20, R u .20, R e .20, R o .20
-"""
+# Costs of hearing one sound as another.
+CONFUSIONS = [
+    ("k", "g", 0.30), ("ky", "gy", 0.30), ("s", "z", 0.30), ("sh", "j", 0.30), ("t", "d", 0.30), ("ch", "j", 0.32),
+    ("ts", "z", 0.40), ("h", "b", 0.38), ("hy", "by", 0.38), ("b", "p", 0.30), ("by", "py", 0.30), ("f", "v", 0.30),
+    ("kw", "gw", 0.30), ("t", "ts", 0.40), ("d", "z", 0.40), ("s", "sh", 0.35), ("z", "j", 0.30), ("sh", "ch", 0.35),
+    ("ch", "ts", 0.35), ("s", "ts", 0.40), ("t", "ch", 0.40), ("d", "j", 0.40), ("s", "h", 0.50), ("sh", "h", 0.50),
+    ("sh", "hy", 0.45), ("k", "ky", 0.40), ("g", "gy", 0.40), ("n", "ny", 0.38), ("h", "hy", 0.40), ("b", "by", 0.40),
+    ("p", "py", 0.40), ("m", "my", 0.40), ("r", "ry", 0.40), ("f", "fy", 0.40), ("v", "vy", 0.40), ("t", "ty", 0.40),
+    ("d", "dy", 0.40), ("ty", "ch", 0.35), ("dy", "j", 0.35), ("n", "m", 0.35), ("n", "N", 0.28), ("m", "N", 0.30),
+    ("ny", "N", 0.42), ("my", "N", 0.45), ("N", "u", 0.62), ("N", "o", 0.66), ("N", "i", 0.70), ("r", "d", 0.45),
+    ("r", "n", 0.50), ("r", "w", 0.55), ("r", "l", 0.10), ("y", "i", 0.40), ("w", "u", 0.40), ("y", "ny", 0.45),
+    ("w", "v", 0.45), ("w", "b", 0.50), ("h", "w", 0.55), ("y", "r", 0.55), ("h", "f", 0.38), ("f", "p", 0.45),
+    ("f", "b", 0.50), ("h", "k", 0.55), ("v", "b", 0.35), ("f", "s", 0.50), ("t", "k", 0.60), ("k", "p", 0.65),
+    ("t", "p", 0.65), ("d", "g", 0.60), ("b", "d", 0.60), ("b", "g", 0.65), ("k", "kw", 0.30), ("g", "gw", 0.30),
+    ("i", "e", 0.35), ("u", "o", 0.35), ("a", "o", 0.45), ("a", "e", 0.50), ("u", "i", 0.45), ("o", "e", 0.50),
+    ("a", "u", 0.55), ("a", "i", 0.55), ("i", "o", 0.60), ("e", "u", 0.50), ("Q", "t", 0.55), ("Q", "k", 0.55),
+    ("Q", "s", 0.55), ("Q", "ts", 0.55), ("Q", "ch", 0.58), ("Q", "p", 0.58), ("Q", "sh", 0.58), ("R", "a", 0.20),
+    ("R", "i", 0.20), ("R", "u", 0.20), ("R", "e", 0.20), ("R", "o", 0.20),
+]
 VOWEL_VOWEL, CONSONANT_CONSONANT, CROSS_CLASS, UNKNOWN_SUB = 0.60, 1.00, 1.10, 0.95
 INDEL = {"consonant": 1.00, "vowel": 0.85, "Q": 0.25, "N": 0.40, "R": 0.15, "long": 0.15, "glide": 0.50, "epenthetic": 0.50, "unknown": 0.95}
 EPENTHESIS_U = "s sh ts z j k g t d ch b p f v".split()
@@ -63,8 +69,17 @@ def digraphs() -> dict[str, tuple[str, ...]]:
 
 
 def confusions() -> dict[tuple[str, str], float]:
-    rows = [x.split() for line in CONFUSIONS.split("\n") for x in line.split(",") if x.strip()]
-    return {tuple(sorted((a, b))): float(c) for a, b, c in rows}
+    return {tuple(sorted((a, b))): c for a, b, c in CONFUSIONS}
+
+
+def cost_model() -> list[tuple[float, str, str]]:
+    """Every confusion, cheapest first."""
+    return sorted((c, a, b) for (a, b), c in confusions().items())
+
+
+def alphabet() -> list[str]:
+    """All phonemes: onsets, vowels, the special ones and the unknown one."""
+    return sorted({p for v in tokens().values() for p in v} | set(SPECIALS) | {UNKNOWN})
 
 
 def canonical(phonemes: list[str]) -> list[str]:

@@ -36,14 +36,16 @@ def to_hiragana(text: Column | str) -> Column:
     return F.translate(_col(text), _KATAKANA, _HIRAGANA)
 
 
-def canonicalize(phonemes: Column | str) -> Column:
-    """Long marks repeat the vowel before them, then o u becomes o o and e i becomes e e (in cascade)."""
+def canonicalize(phonemes: Column | str, collapse: bool = False) -> Column:
+    """Long marks repeat the vowel before them, then o u becomes o o and e i becomes e e (in cascade). ``collapse``: then
+    runs of one vowel become one."""
     vowels = list(S.VOWELS)
     none = F.array().cast("array<string>")
     last = lambda a: F.when(F.size(a) > 0, F.element_at(a, -1)).otherwise("")
     long = F.aggregate(_col(phonemes), none, lambda a, p: F.when(p != "R", F.concat(a, F.array(p))).when(last(a).isin(vowels), F.concat(a, F.array(last(a)))).otherwise(a))
     fold = lambda a, p: ((last(a) == "o") & (p == "u")) | ((last(a) == "e") & (p == "i"))
-    return F.aggregate(long, none, lambda a, p: F.concat(a, F.array(F.when(fold(a, p), last(a)).otherwise(p))))
+    folded = F.aggregate(long, none, lambda a, p: F.concat(a, F.array(F.when(fold(a, p), last(a)).otherwise(p))))
+    return F.filter(folded, lambda p, i: ~(p.isin(vowels) & (i > 0) & (F.get(folded, i - 1) == p))) if collapse else folded
 
 
 def phonemes(kana: Column | str) -> Column:
@@ -95,8 +97,22 @@ def phonetic_distance(a: Column | str, b: Column | str, indel_a: Column | str |
     return F.aggregate(places(a), start, step, lambda row: F.element_at(row, -1))
 
 
-def normalized_distance(a: Column | str, b: Column | str) -> Column:
-    return phonetic_distance(a, b) / F.greatest(F.lit(1), F.size(_col(a)), F.size(_col(b)))
+def normalizer(a: Column | str, b: Column | str, by: str = "max") -> Column:
+    """What a distance is divided by: the longer length (``max``), the second one (``term``) or their mean, 1 at least."""
+    na, nb = F.size(_col(a)), F.size(_col(b))
+    if by not in ("max", "term", "mean"):
+        raise ValueError(f"no normaliser {by}")
+    return F.greatest(F.lit(1.0), {"max": F.greatest(na, nb), "term": nb, "mean": (na + nb) / 2}[by].cast("double"))
+
+
+def normalized_distance(a: Column | str, b: Column | str, by: str = "max") -> Column:
+    return phonetic_distance(a, b) / normalizer(a, b, by)
+
+
+def bounded_normalized_distance(a: Column | str, b: Column | str, most: Column | float, by: str = "max") -> Column:
+    """The normalised distance where it is at most ``most``, else null."""
+    raw, norm = phonetic_distance(a, b), normalizer(a, b, by)
+    return F.when(raw <= F.lit(most) * norm, raw / norm)
 
 
 def phoneme_ngrams(phonemes: Column | str, n: int = 2) -> Column:

@@ -49,8 +49,12 @@ def edit_score(probability: Column, nd: Column, start: Column, end: Column) -> C
 
 
 def splice(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """doc_id, text with its edits (start, end, replacement, nd, tau; no overlaps) applied. An edit beyond its bound raises."""
-    bound = F.when(F.col("nd") <= F.col("tau") + 1e-9, F.col("replacement")).otherwise(F.raise_error(F.lit("hard phonetic constraint violated")))
+    """doc_id, text with its edits (start, end, replacement, nd, tau and, where given, raw and max_raw; no overlaps) applied.
+    An edit beyond a bound raises."""
+    within = F.col("nd") <= F.col("tau") + 1e-9
+    if {"raw", "max_raw"} <= set(edits.columns):
+        within = within & (F.col("raw") <= F.col("max_raw") + 1e-9)
+    bound = F.when(within, F.col("replacement")).otherwise(F.raise_error(F.lit("hard phonetic constraint violated")))
     own = edits.groupBy("doc_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("start", "end", bound.alias("new"))))).alias("edits"))
     put = lambda t, e: F.concat(F.substring(t, F.lit(1), e["start"]), e["new"], F.substring(t, e["end"] + 1, F.length(t)))
     joined = docs.select("doc_id", "text").join(own, "doc_id", "left")

@@ -21,6 +21,7 @@ class QueryBounds:
     top_k: int = 5
     max_raw: float | None = None
     max_mora_ratio: float | None = 0.34
+    prefilter: int | None = PREFILTER  # candidates by shared grams; None: all that share one
 
 
 def readings(glossary: DataFrame) -> DataFrame:
@@ -39,8 +40,8 @@ def grams(phonemes: str) -> F.Column:
     return F.array_distinct(F.when(F.size(phonemes) >= 4, F.concat(two, three)).otherwise(two))
 
 
-def postings(index: DataFrame) -> DataFrame:
-    return index.select("slot", F.size(grams("phonemes")).alias("n_grams"), F.explode(grams("phonemes")).alias("gram"))
+def postings(index: DataFrame, *more: F.Column) -> DataFrame:
+    return index.select("slot", F.size(grams("phonemes")).alias("n_grams"), *more, F.explode(grams("phonemes")).alias("gram"))
 
 
 def gram_stats(index: DataFrame) -> DataFrame:
@@ -50,24 +51,32 @@ def gram_stats(index: DataFrame) -> DataFrame:
     return postings(index).groupBy("gram").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("gram", "df", F.log(1 + F.col("n") / (1 + F.col("df"))).alias("idf"))
 
 
-def _candidates(queries: DataFrame, index: DataFrame, exhaustive: bool) -> DataFrame:
+def _candidates(queries: DataFrame, index: DataFrame, exhaustive: bool, prefilter: int | None = PREFILTER) -> DataFrame:
     side = index.select("slot", "entry_id", "surface", "weight", "reading", F.col("phonemes").alias("t_phonemes"), F.col("morae").alias("t_morae"), F.col("indel").alias("t_indel"))
-    near = F.abs(F.size("q_phonemes") - F.size("t_phonemes")) * LEAST_INDEL <= F.col("tau") * F.greatest(F.size("q_phonemes"), F.size("t_phonemes")) + 1e-9
     if exhaustive:
-        return queries.join(side, near)
+        # an equi-join on lengths: a query meets those of the index's lengths (as many as the longest reading at most) that it allows
+        lengths = index.select(F.size("phonemes").alias("t_size")).distinct()
+        fits = F.abs(F.size("q_phonemes") - F.col("t_size")) * LEAST_INDEL <= F.col("tau") * F.greatest(F.size("q_phonemes"), F.col("t_size")) + 1e-9
+        asked = queries.join(F.broadcast(lengths), fits)
+        return asked.join(side.withColumn("_size", F.size("t_phonemes")), F.col("t_size") == F.col("_size")).drop("t_size", "_size")
     n = index.count()
     common = max(1, int(MAX_DF * n))
     stats = gram_stats(index).where(F.col("df") <= common)
-    terms = postings(index).join(stats, "gram")
-    asked = queries.withColumn("q_grams", grams("q_phonemes")).select("q_key", F.size("q_grams").alias("q_n"), F.explode("q_grams").alias("gram"))
-    scored = asked.join(terms, "gram").groupBy("q_key", "slot").agg((F.sum("idf") / (F.sqrt(F.first("q_n")) * F.sqrt(F.first("n_grams")))).alias("score"))
-    met = scored.join(queries, "q_key").join(side, "slot").where(near)
-    first = F.row_number().over(Window.partitionBy("q_key").orderBy(F.desc("score"), "slot"))
-    return met.withColumn("_n", first).where(F.col("_n") <= PREFILTER).drop("_n", "score")
+    terms = postings(index, F.size("phonemes").alias("t_size")).join(stats, "gram")
+    asked = queries.withColumn("q_grams", grams("q_phonemes")).select("q_key", "tau", F.size("q_phonemes").alias("q_size"), F.size("q_grams").alias("q_n"), F.explode("q_grams").alias("gram"))
+    # only numbers are joined, summed and ranked; phonemes come to the candidates that are left
+    one = lambda c: F.first(c).alias(c)
+    scored = asked.join(terms, "gram").groupBy("q_key", "slot").agg((F.sum("idf") / (F.sqrt(F.first("q_n")) * F.sqrt(F.first("n_grams")))).alias("score"), one("tau"), one("q_size"), one("t_size"))
+    longer = F.greatest("q_size", "t_size")
+    scored = scored.where(F.abs(F.col("q_size") - F.col("t_size")) * LEAST_INDEL <= F.col("tau") * longer + 1e-9)
+    if prefilter is not None:
+        first = F.row_number().over(Window.partitionBy("q_key").orderBy(F.desc("score"), "slot"))
+        scored = scored.withColumn("_n", first).where(F.col("_n") <= prefilter)
+    return scored.select("q_key", "slot").join(queries, "q_key").join(side, "slot")
 
 
 def top_k(queries: DataFrame, index: DataFrame, bounds: QueryBounds = QueryBounds(), exhaustive: bool | None = None) -> DataFrame:
-    """For each query (q_key, phonemes) its ``top_k`` closest glossary entries: q_key, rank, entry_id, surface, reading, raw, nd.
+    """For each query (q_key, phonemes) its ``top_k`` closest glossary entries: q_key, rank, entry_id, surface, reading, raw, nd, weight, t_phonemes.
 
     Columns ``tau`` and ``max_raw`` of the queries, where present, hold instead of the bounds of that name.
     Equal phonemes are looked up once. Small indexes, and queries of fewer than three phonemes, meet every term whose
@@ -76,22 +85,61 @@ def top_k(queries: DataFrame, index: DataFrame, bounds: QueryBounds = QueryBound
     keyed = queries.select("q_key", F.col("phonemes").alias("q_phonemes"), own("tau", bounds.tau), own("max_raw", bounds.max_raw))
     key = F.concat_ws("|", F.array_join("q_phonemes", " "), "tau", "max_raw")
     distinct = keyed.select("q_phonemes", "tau", "max_raw").distinct().withColumn("q_key", key).where(F.size("q_phonemes") > 0)
-    distinct = distinct.withColumn("q_morae", sounds.mora_count("q_phonemes")).withColumn("q_indel", sounds.indel_costs("q_phonemes"))
+    # both are read several times below; they stay cached (spilling to disk) until the session clears its cache
+    distinct = distinct.withColumn("q_morae", sounds.mora_count("q_phonemes")).withColumn("q_indel", sounds.indel_costs("q_phonemes")).persist()
+    index = index.persist()
     exhaustive = index.count() <= EXHAUSTIVE_LIMIT if exhaustive is None else exhaustive
     if exhaustive:
         met = _candidates(distinct, index, True)
     else:
         short = F.size("q_phonemes") < 3
         columns = ["q_key", "q_phonemes", "q_morae", "q_indel", "tau", "max_raw", "slot", "entry_id", "surface", "weight", "reading", "t_phonemes", "t_morae", "t_indel"]
-        met = _candidates(distinct.where(~short), index, False).select(columns).union(_candidates(distinct.where(short), index, True).select(columns))
+        met = _candidates(distinct.where(~short), index, False, bounds.prefilter).select(columns).union(_candidates(distinct.where(short), index, True).select(columns))
     if bounds.max_mora_ratio is not None:
         most = F.greatest("q_morae", "t_morae")
         met = met.where((most == 0) | (F.abs(F.col("q_morae") - F.col("t_morae")) / most <= bounds.max_mora_ratio + 1e-9))
     norm = F.greatest(F.lit(1), F.size("q_phonemes"), F.size("t_phonemes"))
     budget = F.least(F.col("tau") * norm, "max_raw")  # least() leaves a null bound out
-    near = met.withColumn("raw", distance_batch.phonetic_distance("q_phonemes", "t_phonemes", "q_indel", "t_indel")).where(F.col("raw") <= budget).withColumn("nd", F.col("raw") / norm)
+    near = met.withColumn("raw", distance_batch.bounded_distance("q_phonemes", "t_phonemes", "q_indel", "t_indel", budget)).where(F.col("raw").isNotNull()).withColumn("nd", F.col("raw") / norm)
     one = F.row_number().over(Window.partitionBy("q_key", "entry_id").orderBy("nd", "slot"))
     best = near.withColumn("_n", one).where("_n = 1")
     rank = F.row_number().over(Window.partitionBy("q_key").orderBy("nd", F.desc("weight"), "surface", "entry_id"))
-    ranked = best.withColumn("rank", rank).where(F.col("rank") <= bounds.top_k).select(F.col("q_key").alias("_k"), "rank", "entry_id", "surface", "reading", "raw", "nd")
-    return keyed.join(ranked, key == F.col("_k")).select("q_key", "rank", "entry_id", "surface", "reading", "raw", "nd")
+    ranked = best.withColumn("rank", rank).where(F.col("rank") <= bounds.top_k).select(F.col("q_key").alias("_k"), "rank", "entry_id", "surface", "reading", "raw", "nd", "weight", "t_phonemes")
+    return keyed.join(ranked, key == F.col("_k")).select("q_key", "rank", "entry_id", "surface", "reading", "raw", "nd", "weight", "t_phonemes")
+
+
+def index_stats(glossary: DataFrame, index: DataFrame) -> DataFrame:
+    """One row: entries, indexed_readings, reachable_terms, grams, mean_posting, max_posting, shortest, longest."""
+    sizes = postings(index).groupBy("gram").agg(F.count("*").alias("n"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    grams_ = sizes.agg(F.count("*").alias("grams"), zero(F.avg("n")).alias("mean_posting"), zero(F.max("n")).alias("max_posting"))
+    length = F.size("phonemes")
+    own = index.agg(F.count("*").alias("indexed_readings"), F.count_distinct("entry_id").alias("reachable_terms"), zero(F.min(length)).alias("shortest"), zero(F.max(length)).alias("longest"))
+    # three single rows
+    return glossary.agg(F.count("*").alias("entries")).join(F.broadcast(own)).join(F.broadcast(grams_)).select("entries", "indexed_readings", "reachable_terms", "grams", "mean_posting", "max_posting", "shortest", "longest")
+
+
+def screen(queries: DataFrame, index: DataFrame, least_share: float = 0.34) -> DataFrame:
+    """Those of the queries (q_key, phonemes, tau, ...) that may match anything: their length is within reach of the
+    index's, and of their 2-grams, repeated ones counted, at least that share stands in the index (short ones pass)."""
+    queries = queries.persist()  # read for each branch below
+    lengths = index.agg(F.min(F.size("phonemes")).alias("_lo"), F.max(F.size("phonemes")).alias("_hi"))
+    n = F.size("phonemes")
+    slack = F.col("tau") * F.greatest(n, F.col("_hi")) / LEAST_INDEL
+    # one row; without readings its ends are null and nothing passes
+    near = queries.join(F.broadcast(lengths)).where((n > 0) & (n + slack >= F.col("_lo")) & (n - slack <= F.col("_hi"))).drop("_lo", "_hi")
+    own = sounds.phoneme_ngrams("phonemes", 2)
+    asked = near.select("phonemes").distinct().where(n >= 3).select("phonemes", F.greatest(F.lit(1), F.floor(F.size(own) * least_share)).alias("needed"), F.explode(own).alias("gram"))
+    known = asked.join(postings(index).select("gram").distinct(), "gram", "left_semi")
+    passed = known.groupBy("phonemes").agg(F.count("*").alias("hits"), F.first("needed").alias("needed")).where("hits >= needed").select("phonemes")
+    return near.where(n < 3).union(near.where(n >= 3).join(passed, "phonemes", "left_semi").select(near.columns))
+
+
+def retrieval_recall(queries: DataFrame, index: DataFrame, bounds: QueryBounds = QueryBounds()) -> DataFrame:
+    """One row: queries, exhaustive_hits, recovered, missed, recall of the gram join's terms against all terms within reach."""
+    pairs = lambda exhaustive: top_k(queries, index, bounds, exhaustive).select("q_key", "surface").distinct()
+    slow = pairs(True).join(pairs(False).withColumn("found", F.lit(1)), ["q_key", "surface"], "left")
+    sums = slow.agg(F.count("*").alias("exhaustive_hits"), F.count("found").alias("recovered"))
+    sums = sums.join(F.broadcast(queries.agg(F.count("*").alias("queries"))))
+    recall = F.coalesce(F.try_divide(F.col("recovered").cast("double"), F.col("exhaustive_hits")), F.lit(1.0))
+    return sums.select("queries", "exhaustive_hits", "recovered", (F.col("exhaustive_hits") - F.col("recovered")).alias("missed"), recall.alias("recall"))

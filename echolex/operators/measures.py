@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from echolex.functions.characters import CLASSES, units
+from echolex.functions.columns import let
+
 
 def cer(reference: Column, hypothesis: Column) -> Column:
     """Character error rate of one pair; an empty reference gives 0 for an empty hypothesis, else 1."""
@@ -18,6 +21,101 @@ def corpus_cer(pairs: DataFrame, by: str) -> DataFrame:
     return sums.withColumn("cer", F.coalesce(F.try_divide(F.col("edits").cast("double"), F.col("chars")), F.lit(0.0)))
 
 
+def unit_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two arrays of texts: each distinct one becomes a character, and the strings are compared."""
+    def distance(known: Column) -> Column:
+        # characters beyond the surrogates, as UTF-32
+        spelled = lambda x: F.decode(F.unhex(F.array_join(F.transform(x, lambda u: F.lpad(F.hex(F.array_position(known, u) + 0x10000), 8, "0")), "")), "UTF-32")
+        return F.levenshtein(spelled(a), spelled(b))
+
+    return let(F.array_distinct(F.concat(a, b)), distance)
+
+
+def corpus_wer(pairs: DataFrame, by: str) -> DataFrame:
+    """Micro-averaged word error rate of (reference, hypothesis) in each group; words are runs of one kind of character."""
+    own = pairs.select(by, units("reference").alias("r"), units("hypothesis").alias("h"))
+    sums = own.groupBy(by).agg(F.sum(unit_distance(F.col("r"), F.col("h"))).cast("long").alias("edits"), F.sum(F.size("r")).cast("long").alias("words"))
+    return sums.withColumn("wer", F.coalesce(F.try_divide(F.col("edits").cast("double"), F.col("words")), F.lit(0.0)))
+
+
+def count_places(text: Column, term: Column) -> Column:
+    """Places of a term (a column) that do not overlap; none of an empty term."""
+    return F.when(F.length(term) > 0, ((F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def term_pairs(pairs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``pairs`` (reference, ...) with each term (term, ...) that stands in the reference.
+
+    Only texts' distinct runs of characters as long as some term meet the terms, by an equi-join: not each text each term."""
+    own = terms.where(F.coalesce(F.length("term"), F.lit(0)) > 0).dropDuplicates(["term"])
+    lengths = [r[0] for r in own.select(F.length("term").alias("n")).distinct().orderBy("n").collect()]  # as many as the longest term at most
+    keyed = pairs.withColumn("_d", F.md5("reference"))
+    none = F.array().cast("array<string>")
+
+    def runs(letters: Column) -> Column:
+        of = lambda n: F.when(F.size(letters) >= n, F.transform(F.sequence(F.lit(1), F.size(letters) - n + 1), lambda i: F.array_join(F.slice(letters, i, n), ""))).otherwise(none)
+        return F.array_distinct(F.flatten(F.array(*map(of, lengths))))
+
+    every = let(F.regexp_extract_all("reference", F.lit(r"[\x{0}-\x{10FFFF}]"), F.lit(0)), runs) if lengths else none
+    # only digests of texts travel with their runs
+    met = keyed.select("_d", F.explode(every).alias("term")).join(own, "term").distinct()
+    return keyed.join(met, "_d").drop("_d")
+
+
+def term_recall(pairs: DataFrame, terms: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, found, total, recall: of the terms' places in the references, those that the hypotheses have too."""
+    gold = count_places(F.col("reference"), F.col("term"))
+    met = term_pairs(pairs, terms).withColumn("_g", gold).withColumn("_h", F.least(count_places(F.col("hypothesis"), F.col("term")), "_g"))
+    sums = met.groupBy(*by).agg(F.sum("_h").cast("long").alias("found"), F.sum("_g").cast("long").alias("total"))
+    return sums.withColumn("recall", F.coalesce(F.try_divide(F.col("found").cast("double"), F.col("total")), F.lit(0.0)))
+
+
+def _zero_safe(a: str, b: str) -> Column:
+    return F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
+
+
+def term_damage(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """One row for all (reference, baseline, corrected): terms right before, broken and fixed by the correction, damage rate."""
+    n = {c: count_places(F.col(c), F.col("term")) for c in ("reference", "baseline", "corrected")}
+    met = term_pairs(rows, terms).select(F.least(n["baseline"], n["reference"]).alias("b"), F.least(n["corrected"], n["reference"]).alias("a"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    sums = met.agg(zero(F.col("b")).alias("correct_before"), zero(F.greatest(F.lit(0), F.col("b") - F.col("a"))).alias("broken"), zero(F.greatest(F.lit(0), F.col("a") - F.col("b"))).alias("fixed"))
+    return sums.withColumn("damage_rate", _zero_safe("broken", "correct_before"))
+
+
+def removal_rate(rows: DataFrame, patterns: list[str]) -> DataFrame:
+    """One row: canned phrases that the baseline made up, how many are gone, those that were really said, and how many of
+    these went too; ``patterns`` is a short list."""
+    sums = []
+    for p in patterns:
+        r, b, c = (count_occurrences(F.col(x), p) for x in ("reference", "baseline", "corrected"))
+        made_up = F.greatest(F.lit(0), b - r)
+        sums.append((made_up, F.greatest(F.lit(0), F.least(made_up, b - c)), r, F.when(r > 0, F.greatest(F.lit(0), F.least(r, b) - c)).otherwise(0)))
+    names = ["hallucinations", "removed", "legitimate", "false_removals"]
+    total = lambda i: F.coalesce(F.sum(sum((s[i] for s in sums), F.lit(0))), F.lit(0)).cast("long")
+    out = rows.agg(*(total(i).alias(n) for i, n in enumerate(names)))
+    return out.withColumn("removal_rate", _zero_safe("removed", "hallucinations")).withColumn("false_removal_rate", _zero_safe("false_removals", "legitimate"))
+
+
+def summarize(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """One row of all measures of (reference, baseline, corrected): n, error rates and recall of both, and their gains."""
+    d, u = (lambda c: F.levenshtein("reference", c)), (lambda c: unit_distance(units("reference"), units(c)))
+    own = rows.agg(
+        F.count("*").alias("n"), F.sum(F.length("reference")).alias("chars"), F.sum(F.size(units("reference"))).alias("words"),
+        *(F.sum(f(c)).alias(f"{name}_{c}") for c in ("baseline", "corrected") for name, f in (("c", d), ("w", u))),
+    )
+    gold = count_places(F.col("reference"), F.col("term"))
+    met = term_pairs(rows, terms).select(gold.alias("g"), *(F.least(count_places(F.col(c), F.col("term")), gold).alias(c) for c in ("baseline", "corrected")))
+    found = met.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"t_{c}") for c in ("baseline", "corrected")), F.coalesce(F.sum("g"), F.lit(0)).alias("t"))
+    out = own.join(F.broadcast(found))  # two single rows
+    out = out.select(
+        "n", _zero_safe("c_corrected", "chars").alias("cer"), _zero_safe("c_baseline", "chars").alias("cer_baseline"), _zero_safe("w_corrected", "words").alias("wer"), _zero_safe("w_baseline", "words").alias("wer_baseline"),
+        _zero_safe("t_corrected", "t").alias("term_recall"), _zero_safe("t_baseline", "t").alias("term_recall_baseline"),
+    )
+    out = out.withColumn("cer_improvement", F.col("cer_baseline") - F.col("cer")).withColumn("term_recall_gain", F.col("term_recall") - F.col("term_recall_baseline"))
+    return out.withColumn("cer_improvement_rel", _zero_safe("cer_improvement", "cer_baseline"))
+
+
 def count_occurrences(text: Column, term: str) -> Column:
     """Places of a term that do not overlap; none of an empty term."""
     return ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("long") if term else F.lit(0).cast("long")
@@ -25,9 +123,9 @@ def count_occurrences(text: Column, term: str) -> Column:
 
 def count_tokens(text: Column) -> Column:
     """Estimated tokens: kanji 1, kana .75, Latin letters .25, digits .5, others 1; rounded half to even, 1 at least; empty 0."""
-    n = lambda cls: F.regexp_count(text, F.lit(cls))
-    kanji, kana, latin, digit = n(r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}々〆]"), n(r"[\x{3041}-\x{309F}\x{30A0}-\x{30FF}]"), n("[A-Za-z]"), n("[0-9]")
-    total = kanji + 0.75 * kana + 0.25 * latin + 0.5 * digit + (F.length(text) - kanji - kana - latin - digit)
+    n = lambda *names: F.regexp_count(text, F.lit("[" + "".join(CLASSES[x] for x in names) + "]"))
+    # what each kind costs less than 1; a text is passed once for each kind
+    total = F.length(text) - 0.25 * n("hiragana", "katakana") - 0.75 * n("latin") - 0.5 * n("digit")
     return F.when(F.length(text) == 0, 0).otherwise(F.greatest(F.lit(1), F.bround(total))).cast("long")
 
 
