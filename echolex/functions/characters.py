@@ -37,7 +37,9 @@ def _escaped(characters: str) -> str:
 def _digits() -> str:
     """Decimal digits, and the other characters that stand for one digit (superscripts, circled ones and so on)."""
     odd = [c for c in range(0x80, 0x20000) if chr(c).isdigit() and unicodedata.category(chr(c)) != "Nd"]
-    return r"\p{Nd}" + _escaped("".join(map(chr, odd)))
+    starts = [c for c in odd if c - 1 not in odd]
+    ends = [c for c in odd if c + 1 not in odd]
+    return r"\p{Nd}" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True))
 
 
 #: Insides of character classes; each character is of the first kind that has it.

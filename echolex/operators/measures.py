@@ -43,11 +43,20 @@ def count_places(text: Column, term: Column) -> Column:
     return F.when(F.length(term) > 0, ((F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
+LISTED = 64
+
+
 def term_pairs(pairs: DataFrame, terms: DataFrame) -> DataFrame:
     """``pairs`` (reference, ...) with each term (term, ...) that stands in the reference.
 
-    Only texts' distinct runs of characters as long as some term meet the terms, by an equi-join: not each text each term."""
+    Only texts' distinct runs of characters as long as some term meet the terms, by an equi-join: not each text each term.
+    Up to ``LISTED`` terms are looked for directly."""
     own = terms.where(F.coalesce(F.length("term"), F.lit(0)) > 0).dropDuplicates(["term"])
+    listed = [r["term"] for r in own.select("term").limit(LISTED + 1).collect()]
+    if len(listed) <= LISTED:
+        # so few that looking for each is cheaper than making the text's runs; the same pairs come out
+        held = F.filter(F.array(*map(F.lit, listed)) if listed else F.array().cast("array<string>"), lambda t: F.contains("reference", t))
+        return pairs.withColumn("term", F.explode(held)).join(own, "term")
     lengths = [r[0] for r in own.select(F.length("term").alias("n")).distinct().orderBy("n").collect()]  # as many as the longest term at most
     keyed = pairs.withColumn("_d", F.md5("reference"))
     none = F.array().cast("array<string>")
