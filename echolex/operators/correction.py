@@ -178,7 +178,7 @@ def receipts(found: DataFrame, threshold: float) -> DataFrame:
 def explain(docs: DataFrame, tokens: DataFrame, glossary: DataFrame, config: CorrectionConfig = CorrectionConfig(), gate: Gate = Gate()) -> DataFrame:
     """The evidence for every proposal: receipts with the alignment of their phonemes (costs to three places). Accepted ones
     that lost to an overlapping edit have ``applied`` false; in each text accepted ones come first, then by place."""
-    found = receipts(proposals(docs, tokens, glossary, config, gate), config.gate)
+    found = receipts(proposals(docs, tokens, glossary, config, gate), config.gate).persist()  # read twice below
     chosen = edits.resolve_overlaps(found.where("accepted").select("doc_id", "start", "end", "score")).select("doc_id", "start", "end", F.lit(True).alias("applied"))
     ops = F.transform(distance_batch.alignment("phonemes", "t_phonemes", sounds.indel_costs("phonemes"), sounds.indel_costs("t_phonemes")), lambda o: F.struct(o["op"].alias("op"), o["a"].alias("a"), o["b"].alias("b"), F.round(o["cost"], 3).alias("cost")))
     rows = found.withColumn("alignment", ops).join(chosen, ["doc_id", "start", "end"], "left").withColumn("applied", F.coalesce("applied", F.lit(False)))
