@@ -145,6 +145,29 @@ def test_components(spark):
     assert all(found[i] == 0 for i in range(51)) and found[100] == 99 and found[300] == 150
 
 
+def test_components_of_hot_nodes(spark):
+    """Nodes with many smaller and with many larger neighbours, repeated edges and chains, against plain union-find."""
+    rng = np.random.default_rng(5)
+    edges = [(0, i) for i in range(1, 700)] + [(5000, i) for i in range(1000, 1700)] + [(i, i + 1) for i in range(2000, 2040)]
+    edges += [(int(a), int(b)) for a, b in rng.integers(3000, 3400, (300, 2))] + edges[:50] + [(699, 1000), (4000, None)]
+    parent = {x: x for e in edges for x in e if x is not None}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if b is not None:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    order = rng.permutation(len(edges))
+    frame = spark.createDataFrame([edges[i] for i in order], "a long, b long").repartition(12)
+    rows = connected_components(frame).collect()
+    linked = {x for a, b in edges if b is not None and a != b for x in (a, b)}
+    assert {r["node"]: r["component"] for r in rows} == {x: root(x) for x in linked} and len(rows) == len(linked)
+
+
 def test_fingerprints(spark, texts):
     docs = documents(spark, texts)
     rows = {r["doc_id"]: r for r in fingerprints.fingerprint_edits(docs, 5).collect()}
