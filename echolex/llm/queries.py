@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolex.llm import embeddings, fingerprints, html_extraction, licenses, minhash, mixing, packing, quality, sharding, toxicity
+from echolex.llm import embeddings, fim, fingerprints, html_extraction, licenses, minhash, mixing, packing, quality, sharding, toxicity, vector_codes, vector_graph
 
 
 def tokenizer_path() -> str:
@@ -71,8 +71,20 @@ def fingerprint_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(_read(spark, sf_dir, "documents"))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.nearest(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html, op2_licenses, op3_packing, op4_embeddings, op5_mixing, op6_quality, op7_minhash, op8_sharding, op9_toxicity, op10_fingerprints, fingerprint_components)}
+    return {f.__name__: f for f in (op1_html, op2_licenses, op3_packing, op4_embeddings, op5_mixing, op6_quality, op7_minhash, op8_sharding, op9_toxicity, op10_fingerprints, fingerprint_components, op11_codes, op12_fim, op13_neighbours)}
 
 
 MIXING_SQL = """
@@ -112,4 +124,4 @@ SELECT doc_id, source, n_tokens, round(weight, 9) AS weight, CAST(block AS BIGIN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": licenses.oracle_sql(), "op5_mixing": MIXING_SQL}
+    return {"op2_licenses": licenses.oracle_sql(), "op5_mixing": MIXING_SQL, "op11_codes": vector_codes.oracle_sql(), "op12_fim": fim.oracle_sql()}
