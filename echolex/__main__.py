@@ -6,11 +6,13 @@ import argparse
 import json
 import sys
 from dataclasses import asdict, replace
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolex.functions import characters
+from echolex.functions.cost_model import DEFAULT, CostModel
 from echolex.operators import correction, gate, sweeps
 from echolex.sources import glossaries, pairs
 
@@ -27,6 +29,10 @@ def _texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
 
 
+def _model(path: str | None) -> CostModel:
+    return CostModel.from_dict(json.loads(Path(path).read_text("utf-8"))) if path else DEFAULT
+
+
 def _parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="echolex", description="Corrects transcripts to a glossary, within phonetic bounds.")
     of = top.add_subparsers(dest="command", required=True)
@@ -39,6 +45,7 @@ def _parser() -> argparse.ArgumentParser:
             p.add_argument("--pairs", required=True)
         p.add_argument("--glossary", "-g", required=trained)
         p.add_argument("--kanji", help="readings of kanji, JSON lines of kanji and readings")
+        p.add_argument("--phonetic-config", help="JSON object of the phonetic model's settings; what it does not name stays as it is")
         p.add_argument("--tau", type=float, default=0.28)
         p.add_argument("--output", "-o", default="-")
         return p
@@ -75,9 +82,10 @@ def main(arguments: list[str] | None = None) -> int:
     kanji = _kanji(spark, a.kanji)
     empty = spark.createDataFrame([], "entry_id long, surface string, reading string, aliases array<string>, category string, weight double, notes string")
     glossary = glossaries.with_readings(glossaries.read(spark, a.glossary, kanji) if a.glossary else empty)
+    model = _model(a.phonetic_config)
     own = gate.load(a.gate) if getattr(a, "gate", None) else gate.Gate()
     if a.command in ("fix", "explain"):
-        config = correction.CorrectionConfig(tau=a.tau, gate=a.gate_threshold, most_tokens=a.max_span_tokens, remove_hallucinations=not a.keep_hallucinations)
+        config = correction.CorrectionConfig(tau=a.tau, gate=a.gate_threshold, most_tokens=a.max_span_tokens, remove_hallucinations=not a.keep_hallucinations, model=model)
         docs = _texts(spark, a.transcript)
         if a.command == "fix":
             _write(correction.correct_texts(docs, glossary, kanji, config, own), a.output)
@@ -88,11 +96,11 @@ def main(arguments: list[str] | None = None) -> int:
     terms = glossary.select(F.col("surface").alias("term"))
     propose = sweeps.proposer(rows, glossary, kanji, own)
     if a.command == "sweep":
-        _write(sweeps.operating_points(rows, propose(correction.CorrectionConfig(tau=a.tau)), terms, 100), a.output)
+        _write(sweeps.operating_points(rows, propose(correction.CorrectionConfig(tau=a.tau, model=model)), terms, 100), a.output)
         return 0
-    decisions = sweeps.training_rows(rows, propose(sweeps.WIDE))
+    decisions = sweeps.training_rows(rows, propose(replace(sweeps.WIDE, model=model)))
     fitted = gate.fit(decisions, ["doc_id", "start", "end"], gate.FitConfig(negative_weight=a.negative_weight))
-    points = sweeps.operating_points(rows, sweeps.proposer(rows, glossary, kanji, fitted)(correction.CorrectionConfig(tau=a.tau)), terms, 100)
+    points = sweeps.operating_points(rows, sweeps.proposer(rows, glossary, kanji, fitted)(correction.CorrectionConfig(tau=a.tau, model=model)), terms, 100)
     fitted = replace(fitted, threshold=gate.pick_threshold(points, a.max_damage_rate).first()["threshold"])
     if a.output == "-":
         print(json.dumps(asdict(fitted), ensure_ascii=False))

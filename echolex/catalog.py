@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from echolex.functions import sound_tables as S
 from echolex.functions import sounds
 from echolex.functions.characters import CLASSES
+from echolex.functions.cost_model import DEFAULT, CostModel
 from echolex.operators import correction, edits, glossary, hallucination, lookup, measures
 
 LETTERS, KANA = "abcdefghijklmnopqrstuvwxyz", "アキシリエフッャイョカーュンオコトウステセヴァナマド"
@@ -228,30 +229,38 @@ def kana_sql(c: str) -> str:
     return f"translate(lower({c}), '{LETTERS}', '{KANA}')"
 
 
-def phonemes_sql(kana: str) -> str:
+def phonemes_sql(kana: str, model: CostModel = DEFAULT) -> str:
     """The phonemes of a reading, as SQL."""
-    table, vowels = S.tokens(), "('a', 'i', 'u', 'e', 'o')"
+    table, vowels = S.tokens(model), "('a', 'i', 'u', 'e', 'o')"
     keys = _lists(list(table))
     values = "[" + ", ".join(_lists(v) + "::VARCHAR[]" for v in table.values()) + "]"
     parts = f"regexp_extract_all({kana}, '(?:{'|'.join(S.digraphs())}|.)')"
-    flat = f"flatten(list_transform({parts}, lambda t: coalesce(map({keys}, {values})[t], ['?'])))"
-    long = f"list_reduce({flat}, lambda acc, p: CASE WHEN p <> 'R' THEN list_append(acc, p) WHEN len(acc) > 0 AND acc[-1] IN {vowels} THEN list_append(acc, acc[-1]) ELSE acc END, []::VARCHAR[])".replace("lambda acc, p:", "lambda acc, p:")
-    long = long.replace(flat, f"list_transform({flat}, lambda x: [x])").replace("p <> 'R'", "p[1] <> 'R'").replace("list_append(acc, p)", "list_append(acc, p[1])")
-    return f"list_reduce(list_transform({long}, lambda x: [x]), lambda acc, p: CASE WHEN len(acc) > 0 AND ((acc[-1] = 'o' AND p[1] = 'u') OR (acc[-1] = 'e' AND p[1] = 'i')) THEN list_append(acc, acc[-1]) ELSE list_append(acc, p[1]) END, []::VARCHAR[])"
+    out = f"flatten(list_transform({parts}, lambda t: coalesce(map({keys}, {values})[t], ['?'])))"
+    each = "list_reduce(list_transform({0}, lambda x: [x]), lambda acc, p: {1}, []::VARCHAR[])"
+    if model.expand_long_vowel_mark:
+        out = each.format(out, f"CASE WHEN p[1] <> 'R' THEN list_append(acc, p[1]) WHEN len(acc) > 0 AND acc[-1] IN {vowels} THEN list_append(acc, acc[-1]) ELSE acc END")
+    pairs = [f"(acc[-1] = '{x}' AND p[1] = '{y}')" for x, y, on in (("o", "u", model.fold_ou_to_oo), ("e", "i", model.fold_ei_to_ee)) if on]
+    if pairs:
+        out = each.format(out, f"CASE WHEN len(acc) > 0 AND ({' OR '.join(pairs)}) THEN list_append(acc, acc[-1]) ELSE list_append(acc, p[1]) END")
+    if model.collapse_long_vowels:
+        out = each.format(out, f"CASE WHEN len(acc) > 0 AND acc[-1] = p[1] AND p[1] IN {vowels} THEN acc ELSE list_append(acc, p[1]) END")
+    return out
+
+
+def indel_sql(ph: str, m: CostModel = DEFAULT) -> str:
+    """Costs of inserting or deleting each phoneme, as SQL."""
+    vowels, at = "('a', 'i', 'u', 'e', 'o')", lambda d: f"coalesce({ph}[i {d}], '')"
+    return f"""list_transform(range(1, len({ph}) + 1), lambda i: CASE WHEN {ph}[i] = '?' THEN {m.indel_unknown} WHEN {ph}[i] = 'Q' THEN {m.indel_Q} WHEN {ph}[i] = 'N' THEN {m.indel_N} WHEN {ph}[i] = 'R' THEN {m.indel_R}
+          WHEN {ph}[i] IN {vowels} THEN CASE WHEN (i > 1 AND {at('- 1')} = {ph}[i]) OR {at('+ 1')} = {ph}[i] THEN {m.indel_long_vowel} WHEN i > 1 AND {ph}[i] = 'u' AND list_contains({_lists(S.EPENTHESIS_U)}, {at('- 1')}) THEN {m.indel_epenthetic}
+            WHEN i > 1 AND {ph}[i] = 'i' AND list_contains({_lists(S.EPENTHESIS_I)}, {at('- 1')}) THEN {m.indel_epenthetic} ELSE {m.indel_vowel} END
+          WHEN {ph}[i] IN ('y', 'w') THEN {m.indel_glide} ELSE {m.indel_consonant} END::DOUBLE)"""
 
 
 def oracle_sql() -> dict[str, str]:
     table = S.tokens()
     vowels = "('a', 'i', 'u', 'e', 'o')"
 
-    def indel(ph: str) -> str:
-        at = lambda d: f"coalesce({ph}[i {d}], '')"
-        c = S.INDEL
-        return f"""list_transform(range(1, len({ph}) + 1), lambda i: CASE WHEN {ph}[i] = '?' THEN {c['unknown']} WHEN {ph}[i] = 'Q' THEN {c['Q']} WHEN {ph}[i] = 'N' THEN {c['N']} WHEN {ph}[i] = 'R' THEN {c['R']}
-          WHEN {ph}[i] IN {vowels} THEN CASE WHEN (i > 1 AND {at('- 1')} = {ph}[i]) OR {at('+ 1')} = {ph}[i] THEN {c['long']} WHEN i > 1 AND {ph}[i] = 'u' AND list_contains({_lists(S.EPENTHESIS_U)}, {at('- 1')}) THEN {c['epenthetic']}
-            WHEN i > 1 AND {ph}[i] = 'i' AND list_contains({_lists(S.EPENTHESIS_I)}, {at('- 1')}) THEN {c['epenthetic']} ELSE {c['vowel']} END
-          WHEN {ph}[i] IN ('y', 'w') THEN {c['glide']} ELSE {c['consonant']} END::DOUBLE)"""
-
+    indel, m = indel_sql, DEFAULT
     costs = S.confusions()
     cost_map = f"map({_lists([f'{a}|{b}' for a, b in costs])}, [{', '.join(f'{c}::DOUBLE' for c in costs.values())}])"
     words_cte = f"""raw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark),
@@ -259,8 +268,8 @@ words AS MATERIALIZED (SELECT word, {phonemes_sql(kana_sql('word'))} AS ph FROM
     special = "('a', 'i', 'u', 'e', 'o', 'N', 'Q', 'R')"
     symbol = f"CASE WHEN {{0}} IN {vowels} THEN 'v' WHEN {{0}} IN ('N', 'Q', 'R') THEN 's' ELSE 'c' END"
     # a row of the recursion is one row of the edit matrix
-    sub = f"""CASE WHEN a = b THEN 0::DOUBLE WHEN a = '?' OR b = '?' THEN {S.UNKNOWN_SUB}::DOUBLE ELSE coalesce({cost_map}[least(a, b) || '|' || greatest(a, b)],
-      CASE {symbol.format('a')} || {symbol.format('b')} WHEN 'vv' THEN {S.VOWEL_VOWEL}::DOUBLE WHEN 'cc' THEN {S.CONSONANT_CONSONANT}::DOUBLE ELSE {S.CROSS_CLASS}::DOUBLE END) END"""
+    sub = f"""CASE WHEN a = b THEN 0::DOUBLE WHEN a = '?' OR b = '?' THEN {m.unknown_sub_cost}::DOUBLE ELSE coalesce({cost_map}[least(a, b) || '|' || greatest(a, b)],
+      CASE {symbol.format('a')} || {symbol.format('b')} WHEN 'vv' THEN {m.vowel_vowel_default}::DOUBLE WHEN 'cc' THEN {m.consonant_consonant_default}::DOUBLE ELSE {m.cross_class_default}::DOUBLE END) END"""
     symbols = sorted({p for v in table.values() for p in v} | {"?"})
     distance = f"""alphabet AS (SELECT unnest({_lists(symbols)}) AS x),
 subs AS MATERIALIZED (SELECT map(list(a || '|' || b), list({sub})) AS m FROM (SELECT p.x AS a, q.x AS b FROM alphabet p, alphabet q)),
@@ -292,9 +301,6 @@ SELECT gram, count(*) AS df, round(ln(1 + (SELECT count(*) FROM p) / (1 + count(
         "normalized_distance_pairs": f"""WITH RECURSIVE {names}, two AS (SELECT surface, ph, {indel('ph')} AS c FROM names),
 pairs AS MATERIALIZED (SELECT a.surface || '~' || b.surface AS k, a.surface AS a, b.surface AS b, a.ph AS pa, b.ph AS pb, a.c AS ca, b.c AS cb FROM two a JOIN two b ON a.surface[1] = b.surface[1] AND a.surface < b.surface),
 {distance} SELECT a, b, round(raw / greatest(1, len(pa), len(pb)), 6) AS nd FROM pairs JOIN distances USING (k)""",
-        "phonetic_alignment": f"""WITH RECURSIVE {names}, two AS (SELECT surface, ph, {indel('ph')} AS c FROM names),
-pairs AS MATERIALIZED (SELECT a.surface || '~' || b.surface AS k, a.surface AS a, b.surface AS b, a.ph AS pa, b.ph AS pb, a.c AS ca, b.c AS cb FROM two a JOIN two b ON a.surface[1] = b.surface[1] AND a.surface < b.surface),
-{distance} SELECT a, b, round(raw, 6) AS cost FROM pairs JOIN distances USING (k)""",
         "bounded_distance": f"""WITH RECURSIVE {names}, two AS (SELECT surface, ph, {indel('ph')} AS c FROM names),
 pairs AS MATERIALIZED (SELECT a.surface || '~' || b.surface AS k, a.surface AS a, b.surface AS b, a.ph AS pa, b.ph AS pb, a.c AS ca, b.c AS cb FROM two a JOIN two b ON a.surface[1] = b.surface[1] AND a.surface < b.surface),
 {distance}, n AS (SELECT a, b, raw, greatest(1, len(pb)) AS by_term, greatest(1, (len(pa) + len(pb)) / 2) AS by_mean FROM pairs JOIN distances USING (k))

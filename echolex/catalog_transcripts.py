@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolex import catalog
-from echolex.functions import characters, distance_batch, sounds
+from echolex.functions import characters, sounds
 from echolex.functions import sound_tables as S
 from echolex.operators import correction, glossary, hallucination, lookup, measures, prompts, synthesis
 from echolex.operators import gate as gates
@@ -154,15 +154,6 @@ def candidate_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_type", prompts.candidate_pattern(F.col("c")).alias("pattern"), prompts.choose(F.col("c")).alias("first"))
 
 
-def phonetic_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of part names of one first letter; the costs of their alignment add up to their distance."""
-    g = catalog.names_glossary(spark, sf_dir).select(F.col("surface").alias("a"), sounds.phonemes(catalog.as_kana("surface")).alias("pa"))
-    h = g.withColumnsRenamed({"a": "b", "pa": "pb"})
-    pairs_ = g.join(h, (F.substring("a", 1, 1) == F.substring("b", 1, 1)) & (F.col("a") < F.col("b")))
-    ops = pairs_.select("a", "b", distance_batch.alignment("pa", "pb", sounds.indel_costs("pa"), sounds.indel_costs("pb")).alias("ops"))
-    return ops.select("a", "b", F.round(F.aggregate("ops", F.lit(0.0), lambda s, o: s + o["cost"]), 6).alias("cost"))
-
-
 def missing_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = catalog.words(spark, sf_dir)
     none, empty = F.array().cast("array<string>"), F.lit("")
@@ -255,7 +246,7 @@ def correction_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         tokenize, char_kind_histogram, wer_tokens, corpus_wer, term_recall_by_category, term_damage, metric_summary, hallucination_rate, index_stats, screen_spans, topk_indexed, retrieval_recall, logistic_gate, gate_sweep,
-        pick_threshold, prompt_capacity, candidate_pattern, phonetic_alignment, missing_readings, synthetic_glossary, disjoint_glossaries, sized_glossary, carrier_sentences, pathology_labels, label_histogram, pathology_tables,
+        pick_threshold, prompt_capacity, candidate_pattern, missing_readings, synthetic_glossary, disjoint_glossaries, sized_glossary, carrier_sentences, pathology_labels, label_histogram, pathology_tables,
         cost_model, exact_removal, closest_spans, span_counts, correction_receipts,
     )
     return {f.__name__: f for f in own}

@@ -6,29 +6,25 @@ some hundred times faster on many pairs.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echolex.functions import sound_tables as S
+from echolex.functions.cost_model import DEFAULT, CostModel
 
 _SYMBOLS = S.alphabet()
 _NUMBER = {p: i for i, p in enumerate(_SYMBOLS)}
 
 
-def _table() -> np.ndarray:
-    costs, n = S.confusions(), len(_SYMBOLS)
-    out = np.zeros((n, n))
-    for i, a in enumerate(_SYMBOLS):
-        for j, b in enumerate(_SYMBOLS):
-            va, vb, special = a in S.VOWELS, b in S.VOWELS, a in S.SPECIALS or b in S.SPECIALS
-            rest = S.VOWEL_VOWEL if va and vb else S.CONSONANT_CONSONANT if not (va or vb or special) else S.CROSS_CLASS
-            out[i, j] = 0.0 if a == b else S.UNKNOWN_SUB if S.UNKNOWN in (a, b) else costs.get(tuple(sorted((a, b))), rest)
-    return out
-
-
-SUBSTITUTION = _table()
+@cache
+def substitutions(model: CostModel = DEFAULT) -> np.ndarray:
+    """Costs by the symbols' numbers."""
+    return np.array([[S.substitution(a, b, model) for b in _SYMBOLS] for a in _SYMBOLS])
 
 
 def _padded(column: pa.Array, symbols: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -48,10 +44,10 @@ def _padded(column: pa.Array, symbols: bool) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def distances(a: pa.Array, b: pa.Array, indel_a: pa.Array, indel_b: pa.Array, budget: pa.Array | None = None) -> pa.Array:
+def distances(a: pa.Array, b: pa.Array, indel_a: pa.Array, indel_b: pa.Array, budget: pa.Array | None = None, model: CostModel = DEFAULT) -> pa.Array:
     """The distance of each pair; with a ``budget``, null where it is over that. Pairs whose whole row is over are given up."""
     (pa_, na), (pb, nb), (ca, _), (cb, _) = _padded(a, True), _padded(b, True), _padded(indel_a, False), _padded(indel_b, False)
-    n, wide = len(na), pb.shape[1]
+    n, wide, costs = len(na), pb.shape[1], substitutions(model)
     most = np.full(n, np.inf) if budget is None else np.nan_to_num(budget.to_numpy(zero_copy_only=False), nan=-1.0)
     row = np.zeros((wide + 1, n))
     for j in range(wide):
@@ -70,7 +66,7 @@ def distances(a: pa.Array, b: pa.Array, indel_a: pa.Array, indel_b: pa.Array, bu
         new = np.empty_like(row)
         new[0] = row[0] + ca[:, i]
         for j in range(wide):
-            new[j + 1] = np.minimum(np.minimum(row[j + 1] + ca[:, i], new[j] + cb[:, j]), row[j] + SUBSTITUTION[pa_[:, i], pb[:, j]])
+            new[j + 1] = np.minimum(np.minimum(row[j + 1] + ca[:, i], new[j] + cb[:, j]), row[j] + costs[pa_[:, i], pb[:, j]])
         row = new
         done = na == i + 1
         out[at[done]] = row[nb[done], each[done]]
@@ -78,22 +74,29 @@ def distances(a: pa.Array, b: pa.Array, indel_a: pa.Array, indel_b: pa.Array, bu
     return pa.array(out, mask=over | np.array(a.is_null()) | np.array(b.is_null()))
 
 
-@F.arrow_udf(T.DoubleType())
-def phonetic_distance(a: pa.Array, b: pa.Array, indel_a: pa.Array, indel_b: pa.Array) -> pa.Array:
-    return distances(a, b, indel_a, indel_b)
+def phonetic_distance(a: Column | str, b: Column | str, indel_a: Column | str, indel_b: Column | str, model: CostModel = DEFAULT) -> Column:
+    @F.arrow_udf(T.DoubleType())
+    def distance(a: pa.Array, b: pa.Array, indel_a: pa.Array, indel_b: pa.Array) -> pa.Array:
+        return distances(a, b, indel_a, indel_b, None, model)
+
+    return distance(a, b, indel_a, indel_b)
 
 
-@F.arrow_udf(T.DoubleType())
-def bounded_distance(a: pa.Array, b: pa.Array, indel_a: pa.Array, indel_b: pa.Array, budget: pa.Array) -> pa.Array:
-    return distances(a, b, indel_a, indel_b, budget)
+def bounded_distance(a: Column | str, b: Column | str, indel_a: Column | str, indel_b: Column | str, budget: Column | str, model: CostModel = DEFAULT) -> Column:
+    @F.arrow_udf(T.DoubleType())
+    def distance(a: pa.Array, b: pa.Array, indel_a: pa.Array, indel_b: pa.Array, budget: pa.Array) -> pa.Array:
+        return distances(a, b, indel_a, indel_b, budget, model)
+
+    return distance(a, b, indel_a, indel_b, budget)
 
 
 OPERATION = T.ArrayType(T.StructType().add("op", "string").add("a", "string").add("b", "string").add("cost", "double"))
 
 
-def _aligned(a: list[str], b: list[str], ca: list[float], cb: list[float]) -> list[dict]:
+def _aligned(a: list[str], b: list[str], ca: list[float], cb: list[float], model: CostModel) -> list[dict]:
     """Operations of a cheapest alignment, read from its end: a substitution before a deletion before an insertion."""
-    pair = [[SUBSTITUTION[_NUMBER.get(x, _NUMBER[S.UNKNOWN]), _NUMBER.get(y, _NUMBER[S.UNKNOWN])] if x != y else 0.0 for y in b] for x in a]
+    costs, number = substitutions(model), lambda x: _NUMBER.get(x, _NUMBER[S.UNKNOWN])
+    pair = [[costs[number(x), number(y)] if x != y else 0.0 for y in b] for x in a]
     rows = [[0.0]]
     for c in cb:
         rows[0].append(rows[0][-1] + c)
@@ -116,9 +119,13 @@ def _aligned(a: list[str], b: list[str], ca: list[float], cb: list[float]) -> li
     return out[::-1]
 
 
-@F.arrow_udf(OPERATION)
-def alignment(a: pa.Array, b: pa.Array, indel_a: pa.Array, indel_b: pa.Array) -> pa.Array:
+def alignment(a: Column | str, b: Column | str, indel_a: Column | str, indel_b: Column | str, model: CostModel = DEFAULT) -> Column:
     """How one sequence of phonemes becomes the other: = ~ - + with their costs. For rows that are shown, not for searching."""
-    rows = zip(*(x.to_pylist() for x in (a, b, indel_a, indel_b)), strict=True)
-    kind = pa.list_(pa.struct([("op", pa.string()), ("a", pa.string()), ("b", pa.string()), ("cost", pa.float64())]))
-    return pa.array([None if r[0] is None or r[1] is None else _aligned(*r) for r in rows], kind)
+
+    @F.arrow_udf(OPERATION)
+    def align(a: pa.Array, b: pa.Array, indel_a: pa.Array, indel_b: pa.Array) -> pa.Array:
+        rows = zip(*(x.to_pylist() for x in (a, b, indel_a, indel_b)), strict=True)
+        kind = pa.list_(pa.struct([("op", pa.string()), ("a", pa.string()), ("b", pa.string()), ("cost", pa.float64())]))
+        return pa.array([None if r[0] is None or r[1] is None else _aligned(*r, model) for r in rows], kind)
+
+    return align(a, b, indel_a, indel_b)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import cache
+
+from echolex.functions.cost_model import DEFAULT, CostModel
+
 VOWELS = "aiueo"
 SPECIALS = ("N", "Q", "R")
 UNKNOWN = "?"
@@ -54,8 +58,6 @@ CONFUSIONS = [
     ("Q", "s", 0.55), ("Q", "ts", 0.55), ("Q", "ch", 0.58), ("Q", "p", 0.58), ("Q", "sh", 0.58), ("R", "a", 0.20),
     ("R", "i", 0.20), ("R", "u", 0.20), ("R", "e", 0.20), ("R", "o", 0.20),
 ]
-VOWEL_VOWEL, CONSONANT_CONSONANT, CROSS_CLASS, UNKNOWN_SUB = 0.60, 1.00, 1.10, 0.95
-INDEL = {"consonant": 1.00, "vowel": 0.85, "Q": 0.25, "N": 0.40, "R": 0.15, "long": 0.15, "glide": 0.50, "epenthetic": 0.50, "unknown": 0.95}
 EPENTHESIS_U = "s sh ts z j k g t d ch b p f v".split()
 EPENTHESIS_I = "ch j sh k g r t d".split()
 
@@ -68,6 +70,7 @@ def digraphs() -> dict[str, tuple[str, ...]]:
     return {first + small: (onset, SMALL[small]) for first, onset, smalls in DIGRAPHS for small in smalls}
 
 
+@cache
 def confusions() -> dict[tuple[str, str], float]:
     return {tuple(sorted((a, b))): c for a, b, c in CONFUSIONS}
 
@@ -82,22 +85,26 @@ def alphabet() -> list[str]:
     return sorted({p for v in tokens().values() for p in v} | set(SPECIALS) | {UNKNOWN})
 
 
-def canonical(phonemes: list[str]) -> list[str]:
-    """Long marks repeat the vowel before them (a leading one goes); o u becomes o o and e i becomes e e, in cascade."""
+def canonical(phonemes: list[str], model: CostModel = DEFAULT) -> list[str]:
+    """Long marks repeat the vowel before them (a leading one goes); o u becomes o o and e i becomes e e, in cascade; runs of
+    one vowel become one: each as the model says."""
     out: list[str] = []
     for p in phonemes:
-        if p != "R":
+        if p != "R" or not model.expand_long_vowel_mark:
             out.append(p)
         elif out and out[-1] in VOWELS:
             out.append(out[-1])
+    pairs = {pair for pair, on in ((("o", "u"), model.fold_ou_to_oo), (("e", "i"), model.fold_ei_to_ee)) if on}
     folded: list[str] = []
     for p in out:
         last = folded[-1] if folded else ""
-        folded.append(last if (last, p) in (("o", "u"), ("e", "i")) else p)
+        folded.append(last if (last, p) in pairs else p)
+    if model.collapse_long_vowels:
+        folded = [p for i, p in enumerate(folded) if not (i and p in VOWELS and folded[i - 1] == p)]
     return folded
 
 
-def spoken(kana: str) -> list[str]:
+def spoken(kana: str, model: CostModel = DEFAULT) -> list[str]:
     """Phonemes of a spoken name in kana of these tables."""
     two, one, out, i = digraphs(), monographs(), [], 0
     while i < len(kana):
@@ -107,12 +114,23 @@ def spoken(kana: str) -> list[str]:
             continue
         out += {"ッ": ["Q"], "ン": ["N"], "ー": ["R"]}.get(kana[i]) or one[kana[i]]
         i += 1
-    return canonical(out)
+    return canonical(out, model)
 
 
-def tokens() -> dict[str, list[str]]:
+def tokens(model: CostModel = DEFAULT) -> dict[str, list[str]]:
     """Phonemes of everything that a reading may hold; what is not here is unknown."""
     out = {k: list(v) for k, v in (monographs() | digraphs()).items()} | {"ッ": ["Q"], "ン": ["N"], "ー": ["R"]} | {c: [] for c in SKIPPED}
     for c, name in LETTER_NAMES.items():
-        out[c] = out[c.upper()] = spoken(name)
-    return out | {c: spoken(name) for c, name in DIGIT_NAMES.items()}
+        out[c] = out[c.upper()] = spoken(name, model)
+    return out | {c: spoken(name, model) for c, name in DIGIT_NAMES.items()}
+
+
+def substitution(a: str, b: str, model: CostModel = DEFAULT) -> float:
+    """What hearing one phoneme as the other costs."""
+    if a == b:
+        return 0.0
+    if UNKNOWN in (a, b):
+        return model.unknown_sub_cost
+    va, vb, special = a in VOWELS, b in VOWELS, a in SPECIALS or b in SPECIALS
+    rest = model.vowel_vowel_default if va and vb else model.consonant_consonant_default if not (va or vb or special) else model.cross_class_default
+    return confusions().get(tuple(sorted((a, b))), rest)

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from echolex.functions import characters, distance_batch, sounds
 from echolex.functions.columns import let
+from echolex.functions.cost_model import DEFAULT, CostModel
 from echolex.operators import edits, hallucination, lookup
 from echolex.operators.gate import FEATURES, Gate
+from echolex.sources.checkpoints import written
 
 #: Scores (doubles) of the options, an array of texts, between the texts before and after them.
 Rerank = Callable[[Column, Column, Column], Column]
@@ -45,8 +47,9 @@ class CorrectionConfig:
     has_pos: bool = True  # without parts of speech, spans with kanji count as common words
     rendaku: bool = False  # voiced forms of later tokens' readings too
     screen: bool = True  # ask the index only for readings whose grams it largely has
-    exact: bool = False  # compare with every term whose length allows a match, whatever the size of the glossary
+    exact: bool = True  # else spans of three phonemes and more meet only the terms that share the most grams
     remove_hallucinations: bool = True  # in ``correct_texts``
+    model: CostModel = DEFAULT
 
 
 def spans(docs: DataFrame, tokens: DataFrame, config: CorrectionConfig = CorrectionConfig()) -> DataFrame:
@@ -99,8 +102,10 @@ def reading_variants(run: Column, most: int) -> Column:
 
 def _asked(own: DataFrame, config: CorrectionConfig) -> DataFrame:
     """The variants of spans with phonemes, bounds and the key of their look-up."""
-    asked = own.select("doc_id", "start", "end", "span", "common", F.posexplode("variants").alias("variant", "reading")).withColumn("phonemes", sounds.phonemes("reading"))
-    asked = asked.withColumn("morae", sounds.mora_count("phonemes")).where(F.col("morae") >= config.least_morae)
+    asked = own.select("doc_id", "start", "end", "span", "common", F.posexplode("variants").alias("variant", "reading"))
+    # a generator, so that what is made for the filter is not made again
+    long = F.filter(sounds.heard("reading", config.model), lambda h: h["morae"] >= config.least_morae)
+    asked = asked.select("doc_id", "start", "end", "span", "common", "variant", F.inline(long))
     tau = F.when(F.col("common"), min(config.tau_common, config.tau)).when(F.col("morae") <= config.short_morae, config.tau_short).otherwise(config.tau)
     max_raw = config.max_raw + config.max_raw_slope * F.sqrt("morae")
     asked = asked.select("doc_id", "start", "end", "span", "variant", "phonemes", "morae", tau.alias("tau"), max_raw.alias("max_raw"))
@@ -136,13 +141,13 @@ def proposals(docs: DataFrame, tokens: DataFrame, glossary: DataFrame, config: C
     Spans that are a glossary surface, or all hiragana, are left alone; so is a span that contains, or is contained in,
     the surface of any candidate. Equal readings under the same bound are looked up once. ``rerank`` only weighs the best
     candidate against the span in its context (feature lm_delta, from -5 to 5); it adds none."""
-    index = lookup.readings(glossary).persist()
+    index = lookup.readings(glossary, config.model)
     own = _candidate_spans(docs, tokens, glossary, config)
     asked = _asked(own, config)
     distinct = asked.select("q_key", "phonemes", "tau", "max_raw").dropDuplicates(["q_key"])
     if config.screen:
-        distinct = lookup.screen(distinct, index)
-    found = lookup.top_k(distinct, index, lookup.QueryBounds(config.tau, config.top_k, None, config.max_mora_ratio), exhaustive=True if config.exact else None)
+        distinct = lookup.screen(distinct, index, model=config.model)
+    found = lookup.top_k(distinct, index, lookup.QueryBounds(config.tau, config.top_k, None, config.max_mora_ratio), exhaustive=config.exact, model=config.model)
     met = asked.join(found, "q_key")
     span = ["doc_id", "start", "end"]
     inside = F.contains("span", "surface") | F.contains("surface", "span")
@@ -178,9 +183,9 @@ def receipts(found: DataFrame, threshold: float) -> DataFrame:
 def explain(docs: DataFrame, tokens: DataFrame, glossary: DataFrame, config: CorrectionConfig = CorrectionConfig(), gate: Gate = Gate()) -> DataFrame:
     """The evidence for every proposal: receipts with the alignment of their phonemes (costs to three places). Accepted ones
     that lost to an overlapping edit have ``applied`` false; in each text accepted ones come first, then by place."""
-    found = receipts(proposals(docs, tokens, glossary, config, gate), config.gate).persist()  # read twice below
+    found = written(receipts(proposals(docs, tokens, glossary, config, gate), config.gate))  # read twice below
     chosen = edits.resolve_overlaps(found.where("accepted").select("doc_id", "start", "end", "score")).select("doc_id", "start", "end", F.lit(True).alias("applied"))
-    ops = F.transform(distance_batch.alignment("phonemes", "t_phonemes", sounds.indel_costs("phonemes"), sounds.indel_costs("t_phonemes")), lambda o: F.struct(o["op"].alias("op"), o["a"].alias("a"), o["b"].alias("b"), F.round(o["cost"], 3).alias("cost")))
+    ops = F.transform(distance_batch.alignment("phonemes", "t_phonemes", sounds.indel_costs("phonemes", config.model), sounds.indel_costs("t_phonemes", config.model), config.model), lambda o: F.struct(o["op"].alias("op"), o["a"].alias("a"), o["b"].alias("b"), F.round(o["cost"], 3).alias("cost")))
     rows = found.withColumn("alignment", ops).join(chosen, ["doc_id", "start", "end"], "left").withColumn("applied", F.coalesce("applied", F.lit(False)))
     return rows.orderBy("doc_id", F.desc("accepted"), "start", "end")
 
@@ -190,7 +195,7 @@ def span_counts(docs: DataFrame, tokens: DataFrame, glossary: DataFrame, config:
     those with readings."""
     every = spans(docs, tokens, config)
     asked = _asked(_candidate_spans(docs, tokens, glossary, config), config)
-    passed = lookup.screen(asked.select("q_key", "phonemes", "tau", "max_raw").dropDuplicates(["q_key"]), lookup.readings(glossary)).select("q_key", F.lit(1).alias("passed"))
+    passed = lookup.screen(asked.select("q_key", "phonemes", "tau", "max_raw").dropDuplicates(["q_key"]), lookup.readings(glossary, config.model), model=config.model).select("q_key", F.lit(1).alias("passed"))
     met = asked.join(passed, "q_key", "left").groupBy("doc_id", "start", "end").agg(F.max("passed").alias("passed")).groupBy("doc_id")
     met = met.agg(F.count("passed").alias("queried"), F.count_if(F.col("passed").isNull()).alias("screened_out"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
@@ -212,7 +217,7 @@ def _without_parts_of_speech(config: CorrectionConfig) -> CorrectionConfig:
 def correct_texts(docs: DataFrame, glossary: DataFrame, kanji: DataFrame, config: CorrectionConfig = CorrectionConfig(), gate: Gate = Gate(), rerank: Rerank | None = None) -> DataFrame:
     """doc_id, text corrected, from texts alone: canned phrases go first, tokens and readings are made (``characters.tokens``)."""
     if config.remove_hallucinations:
-        docs = hallucination.remove(docs, hallucination.find(docs)).select("doc_id", "text")
+        docs = hallucination.remove(docs, hallucination.find(docs, hallucination.FilterConfig(model=config.model))).select("doc_id", "text")
     return correct(docs, characters.tokens(docs, kanji), glossary, _without_parts_of_speech(config), gate, rerank)
 
 
@@ -225,6 +230,6 @@ def candidate_set(asked: DataFrame, glossary: DataFrame, kanji: DataFrame, confi
     own = runs.select("doc_id", _all_variants(F.col("run"), _without_parts_of_speech(config)).alias("variants"))
     own = own.select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("span"), F.lit(False).alias("common"), "variants")
     rows = _asked(own, replace(config, least_morae=0))
-    found = lookup.top_k(rows.select("q_key", "phonemes", "tau", "max_raw").dropDuplicates(["q_key"]), lookup.readings(glossary), lookup.QueryBounds(config.tau, config.top_k, None, config.max_mora_ratio), exhaustive=True if config.exact else None)
+    found = lookup.top_k(rows.select("q_key", "phonemes", "tau", "max_raw").dropDuplicates(["q_key"]), lookup.readings(glossary, config.model), lookup.QueryBounds(config.tau, config.top_k, None, config.max_mora_ratio), exhaustive=config.exact, model=config.model)
     met = rows.join(found, "q_key").groupBy("doc_id", "surface").agg(F.min_by(F.struct("entry_id", "raw", "nd"), F.struct("nd", "variant")).alias("hit"))
     return met.select("doc_id", "surface", "hit.entry_id", "hit.raw", "hit.nd")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echolex.functions import distance_batch, sounds
+from echolex.functions.cost_model import DEFAULT, CostModel
 
 # The phrases, and those among them that are ordinary speech too.
 PHRASES = [
@@ -48,6 +49,7 @@ class FilterConfig:
     tau: float = 0.12  # 0: exact matches only
     least_score: float = 1.0
     tail: int = 40
+    model: CostModel = DEFAULT
 
 
 def _strip(x: Column, characters: str = "") -> Column:
@@ -81,11 +83,11 @@ def find(docs: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:
     met = exact.select("doc_id", "start", "segment", "matched", "place", "pattern", "ordinary")
     if config.tau > 0:
         heard = short.select(_strip(F.col("segment")).alias("matched")).where("matched <> ''").distinct()
-        heard = heard.withColumn("ph", sounds.phonemes("matched")).where(F.size("ph") > 0).withColumn("c", sounds.indel_costs("ph"))
-        said = phrases.withColumn("p_ph", sounds.phonemes("pattern")).where(F.size("p_ph") > 0).withColumn("p_c", sounds.indel_costs("p_ph"))
+        heard = heard.withColumn("ph", sounds.phonemes("matched", config.model)).where(F.size("ph") > 0).withColumn("c", sounds.indel_costs("ph", config.model))
+        said = phrases.withColumn("p_ph", sounds.phonemes("pattern", config.model)).where(F.size("p_ph") > 0).withColumn("p_c", sounds.indel_costs("p_ph", config.model))
         ratio = F.length("matched") / F.length("pattern")
         near = heard.join(F.broadcast(said), ratio.between(0.6, 1.6))  # twenty rows
-        nd = distance_batch.phonetic_distance("ph", "p_ph", "c", "p_c") / F.greatest(F.lit(1), F.size("ph"), F.size("p_ph"))
+        nd = distance_batch.phonetic_distance("ph", "p_ph", "c", "p_c", config.model) / F.greatest(F.lit(1), F.size("ph"), F.size("p_ph"))
         near = near.where(nd <= config.tau).select("matched", "place", "pattern", "ordinary")
         own = short.withColumn("matched", _strip(F.col("segment")))
         own = own.where(F.col("core") == _strip(F.col("matched"), EDGE)).join(near, "matched").where(~F.contains("segment", "pattern"))

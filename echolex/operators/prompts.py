@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echolex.functions import distance_batch, sounds
+from echolex.functions.cost_model import DEFAULT, CostModel
 from echolex.operators import measures
 
 TOKEN_LIMIT = 244
@@ -86,7 +87,7 @@ def choose(candidates: Column, scores: Column | None = None) -> Column:
     return F.get(candidates, (F.array_position(scores, F.array_max(scores)) - 1).cast("int"))
 
 
-def closest_spans(tokens: DataFrame, terms: DataFrame, most: float = 0.5, longest: int = 6) -> DataFrame:
+def closest_spans(tokens: DataFrame, terms: DataFrame, most: float = 0.5, longest: int = 6, model: CostModel = DEFAULT) -> DataFrame:
     """doc_id, term, start, end, nd: for each (doc_id, term, reading) the run of up to ``longest`` tokens of that text that
     sounds most like the reading, at most ``most`` away; the first of equal ones. Runs end before marks and white space."""
     ahead = Window.partitionBy("doc_id").orderBy("tok").rowsBetween(0, longest - 1)
@@ -97,13 +98,13 @@ def closest_spans(tokens: DataFrame, terms: DataFrame, most: float = 0.5, longes
     upto = F.when(first > 0, first - 1).otherwise(F.size("run"))
     spans = runs.where(upto > 0).select("doc_id", "tok", "start", "run", F.explode(F.sequence(F.lit(1), upto)).alias("n"))
     spans = spans.select("doc_id", "tok", "n", "start", F.get("run", F.col("n") - 1)["end"].alias("end"), F.array_join(F.transform(F.slice("run", F.lit(1), F.col("n")), lambda t: t["r"]), "").alias("spoken"))
-    spans = spans.withColumn("ph", sounds.phonemes("spoken")).where(F.size("ph") > 0)
-    own = terms.select("doc_id", "term", sounds.phonemes("reading").alias("t_ph")).where(F.size("t_ph") > 0)
+    spans = spans.withColumn("ph", sounds.phonemes("spoken", model)).where(F.size("ph") > 0)
+    own = terms.select("doc_id", "term", sounds.phonemes("reading", model).alias("t_ph")).where(F.size("t_ph") > 0)
     met = spans.join(own, "doc_id")
     # lengths that differ too much cannot be near
     longer = F.greatest(F.size("ph"), F.size("t_ph"))
-    met = met.where(F.abs(F.size("ph") - F.size("t_ph")) * 0.15 <= most * longer + 1e-9)
-    raw = distance_batch.bounded_distance("ph", "t_ph", sounds.indel_costs("ph"), sounds.indel_costs("t_ph"), most * longer)
+    met = met.where(F.abs(F.size("ph") - F.size("t_ph")) * model.least_indel <= most * longer + 1e-9)
+    raw = distance_batch.bounded_distance("ph", "t_ph", sounds.indel_costs("ph", model), sounds.indel_costs("t_ph", model), most * longer, model)
     near = met.withColumn("nd", raw / longer).where(F.col("nd") <= most)
     best = near.groupBy("doc_id", "term").agg(F.min_by(F.struct("start", "end", "nd"), F.struct("nd", "tok", "n")).alias("b"))
     return best.select("doc_id", "term", "b.start", "b.end", "b.nd")
