@@ -11,14 +11,14 @@ from echolex import catalog
 from echolex.functions import distance_batch, sounds
 from echolex.functions import sound_tables as S
 from echolex.functions.cost_model import DEFAULT, CostModel
-from echolex.operators import lookup
+from echolex.operators import hallucination, lookup, term_automaton
 
 _read = catalog._read
 #: Another phonetic model: marks stay, other costs, distances by the mean length.
 OTHER = CostModel(expand_long_vowel_mark=False, fold_ou_to_oo=False, collapse_long_vowels=True, vowel_vowel_default=0.42, indel_vowel=0.7, indel_Q=0.11, indel_R=0.2, indel_glide=0.33, normalize_by="mean")
 #: How words are misheard: letters that change, and letters that go.
 HEARD = ("etlsdn", "adrz")
-TAU = 0.28
+TAU = 0.2
 
 
 def _document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +57,51 @@ def phonetic_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("word", "heard", line.alias("operations"), F.round(F.aggregate("ops", F.lit(0.0), lambda s, o: s + o["cost"]), 6).alias("cost"))
 
 
+LONG = "[a-z]{10,}"
+#: Pieces that begin, end or go over the ends of segments, besides whole words.
+PIECES = [". the", ".\n", "e. ", "\nthe ", "is a", "! ", "? w"]
+
+
+def _long_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(LONG), F.lit(0))).alias("term")).distinct()
+    return found.select("term", F.substring("term", 1, 1).alias("category"))
+
+
+def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All longer words of all documents as terms, some ten thousand: in how many texts each stands, in how many places, and how many of these
+    are left where a letter is misheard."""
+    docs = _read(spark, sf_dir, "documents").select(F.col("text").alias("reference"), F.replace("text", F.lit("ent"), F.lit("ant")).alias("hypothesis"))
+    found = term_automaton.counts(docs, _long_words(spark, sf_dir), ["reference", "hypothesis"], [], ["term", "category"])
+    return found.groupBy("category", "term").agg(F.count("*").alias("texts"), F.sum("n_0").cast("long").alias("places"), F.sum(F.least("n_0", "n_1")).cast("long").alias("kept"))
+
+
+def terms_in_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the benchmark's longest words and some pieces stand in the documents, and the segment around each place, which places over
+    an end of a sentence have not."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    words = _read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{10,}"), F.lit(0))).alias("term"))
+    terms = words.union(spark.createDataFrame([(x,) for x in PIECES], "term string")).distinct()
+    found = hallucination.containing(term_automaton.places(docs, terms, "text", ["doc_id"], ["term"]), hallucination.segments(docs))
+    return found.select("doc_id", "term", "start", F.col("end").alias("stop"), F.md5("segment").alias("segment"))
+
+
+def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names with a canned phrase as a segment of its own, within one, at both ends of one, and alone."""
+    phrases = F.array(*map(F.lit, hallucination.PHRASES))
+    p = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("n"), F.get(phrases, (F.col("p_partkey") % len(hallucination.PHRASES)).cast("int")).alias("p"))
+    kind, stop = F.col("doc_id") % 7, F.lit("。")
+    text = F.when(kind == 0, F.concat("n", stop, "p", stop)).when(kind == 1, F.concat("n", "p", "n", stop)).when(kind == 2, F.concat("p", "n", "p")).when(kind == 3, F.col("p")).when(kind == 4, F.concat("p", stop, "p", "n"))
+    return p.select("doc_id", text.otherwise(F.concat("n", stop, F.repeat("n", 9), "p")).alias("text"))
+
+
+def phrase_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canned phrases anywhere in the texts, by the evidence alone; of overlapping ones the best."""
+    hits = hallucination.find(_embedded(spark, sf_dir), hallucination.FilterConfig(tau=0.0, least_score=0.5, require_segment=False))
+    return hits.select("doc_id", "start", F.col("end").alias("stop"), "pattern", F.array_join("evidence", "|").alias("evidence"), "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (topk_terms, phonemes_by_model, phonetic_alignment)}
+    return {f.__name__: f for f in (topk_terms, phonemes_by_model, phonetic_alignment, term_counts, terms_in_segments, phrase_evidence)}
 
 
 def _swaps(model: CostModel) -> str:
@@ -93,6 +136,9 @@ grid AS (
     lambda acc, c: CASE WHEN len(acc) = 0 THEN [c[1]] ELSE list_append(acc, least(c[1], acc[-1] + c[2])) END, []::DOUBLE[])
   FROM grid JOIN pairs USING (k), swaps WHERE i < len(na))"""
 
+    pieces = "[" + ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in PIECES) + "]"
+    ends = hallucination.SEGMENT_ENDS.replace("\n", "\\n").replace("\r", "\\r")
+    ends_plain, ordinary = "。．.！!？?", "(" + ", ".join(f"'{x}'" for x in hallucination.ORDINARY) + ")"
     # one pair at a time, given up (a line of -1) once a whole row is over the bound
     most = f"{TAU}::DOUBLE * greatest(len(na), len(nb)) + 1e-6"
     row = "list_reduce(list_transform(range(0, len(cb) + 1), lambda j: CASE WHEN j = 0 THEN [acc[1] + e[1], 0::DOUBLE] ELSE [least(acc[j + 1] + e[1], acc[j] + e[j + 1]), cb[j]] END), lambda l, c: CASE WHEN len(l) = 0 THEN [c[1]] ELSE list_append(l, least(c[1], l[-1] + c[2])) END, []::DOUBLE[])"
@@ -108,6 +154,28 @@ measured AS (SELECT p_name, word, {one_by_one} AS raw, greatest(1, len(na), len(
 near AS (SELECT p_name, word, raw, raw / longer AS nd FROM measured WHERE raw >= 0 AND raw <= {TAU}::DOUBLE * longer),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY nd, length(word) DESC, word) AS rank FROM near)
 SELECT p_name AS name, CAST(rank AS INT) AS rank, word, round(raw, 6) AS raw, round(nd, 6) AS nd FROM ranked WHERE rank <= 5""",
+        "term_counts": f"""WITH terms AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{LONG}')) AS term FROM documents),
+d AS (SELECT text AS r, replace(text, 'ent', 'ant') AS h FROM documents WHERE text IS NOT NULL),
+c AS (SELECT term, (length(r) - length(replace(r, term, ''))) // length(term) AS n, (length(h) - length(replace(h, term, ''))) // length(term) AS m FROM d JOIN terms ON contains(r, term))
+SELECT term[1] AS category, term, count(*) AS texts, CAST(sum(n) AS BIGINT) AS places, CAST(sum(least(n, m)) AS BIGINT) AS kept FROM c GROUP BY term""",
+        "terms_in_segments": f"""WITH terms AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{{10,}}')) AS term FROM benchmark UNION SELECT unnest({pieces})),
+s AS (SELECT doc_id, term, string_split(text, term) AS l FROM documents JOIN terms ON contains(text, term)),
+e AS (SELECT doc_id, term, unnest(l[:len(l) - 1]) AS x, unnest(range(1, len(l))) AS i FROM s),
+p AS (SELECT doc_id, term, sum(length(x) + length(term)) OVER (PARTITION BY doc_id, term ORDER BY i) AS stop FROM e),
+r AS (SELECT doc_id, regexp_extract_all(text, '[{ends}]+|[^{ends}]+') AS l FROM documents), u AS (SELECT doc_id, unnest(l) AS run, unnest(range(1, len(l) + 1)) AS i FROM r),
+g AS (SELECT doc_id, run, sum(length(run)) OVER (PARTITION BY doc_id ORDER BY i) AS s_end FROM u)
+SELECT p.doc_id, term, CAST(stop - length(term) AS INT) AS start, CAST(stop AS INT) AS stop, md5(run) AS segment FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND s_end - length(run) <= stop - length(term) AND stop <= s_end AND NOT regexp_matches(run, '^[{ends}]')""",
+        "phrase_evidence": f"""WITH ph AS (SELECT unnest(range(0, {len(hallucination.PHRASES)})) AS place, unnest({catalog._lists(hallucination.PHRASES)}) AS pattern),
+n AS (SELECT p_partkey AS doc_id, p_name AS n, pattern AS p FROM part JOIN ph ON place = p_partkey % {len(hallucination.PHRASES)}),
+t AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN n || '。' || p || '。' WHEN 1 THEN n || p || n || '。' WHEN 2 THEN p || n || p WHEN 3 THEN p WHEN 4 THEN p || '。' || p || n ELSE n || '。' || repeat(n, 9) || p END AS text FROM n),
+s AS (SELECT doc_id, text, place, pattern, string_split(text, pattern) AS l FROM t JOIN ph ON contains(text, pattern)), e AS (SELECT *, unnest(l[:len(l) - 1]) AS x, unnest(range(1, len(l))) AS i FROM s),
+o AS (SELECT doc_id, text, place, pattern, len(l) > 2 AS twice, CAST(sum(length(x) + length(pattern)) OVER (PARTITION BY doc_id, pattern ORDER BY i) AS INT) AS stop FROM e),
+w AS (SELECT *, CAST(stop - length(pattern) AS INT) AS start, length(text) - stop <= 40 AS tail, trim(text) = pattern AS entire, pattern IN {ordinary} AS weak,
+  (stop = length(text) OR contains('{ends_plain}', text[stop + 1])) AND (stop = length(pattern) OR contains('{ends_plain}', text[stop - length(pattern)])) AS whole FROM o),
+h AS (SELECT *, whole::INT + twice::INT + 0.5::DOUBLE * tail::INT + 1.5::DOUBLE * entire::INT - 0.5::DOUBLE * weak::INT AS score FROM w WHERE NOT weak OR whole::INT + twice::INT + entire::INT >= 2),
+k AS (SELECT * FROM h WHERE score >= 0.5::DOUBLE)
+SELECT doc_id, start, stop, pattern, concat_ws('|', CASE WHEN whole THEN 'whole-segment' END, CASE WHEN twice THEN 'repeated' END, CASE WHEN tail THEN 'transcript-tail' END, CASE WHEN entire THEN 'entire-transcript' END) AS evidence, score
+FROM k WHERE NOT EXISTS (SELECT 1 FROM k b WHERE b.doc_id = k.doc_id AND b.start < k.stop AND k.start < b.stop AND (b.score, b.stop - b.start, -b.start) > (k.score, k.stop - k.start, -k.start))""",
         "phonemes_by_model": f"""WITH RECURSIVE {pairs(OTHER)}
 SELECT word, array_to_string(pa, ' ') AS phonemes, round(list_reduce(list_concat([0::DOUBLE], ca), lambda acc, v: acc + v), 6) AS indel, round(line[-1] / greatest(1, (len(pa) + len(pb)) / 2), 6) AS nd FROM pairs JOIN grid USING (k) WHERE i = len(na)""",
         "phonetic_alignment": f"""WITH RECURSIVE {pairs(DEFAULT)}, whole AS MATERIALIZED (SELECT k, list(line ORDER BY i) AS d FROM grid GROUP BY k),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echolex.functions import sound_tables as S
-from echolex.functions.columns import let
+from echolex.functions.columns import let, offsets
 
 # White space, and the marks that end a span whatever their Unicode category.
 SPACE = " 　\t\n\r"
@@ -87,12 +87,12 @@ def tokens(docs: DataFrame, kanji: DataFrame) -> DataFrame:
 
     ``kanji`` (kanji, readings: best first) is the table of readings. Kana read as themselves, Latin letters and digits by
     their spoken names; what has no reading has none. Without parts of speech no token is common or proper. Repeated
-    doc_ids are not told apart; null and empty texts have no tokens. A text's tokens meet in one task for their places."""
+    doc_ids are not told apart; null and empty texts have no tokens. Places are summed up within a text's row."""
     # kinds are made inside the array, once a token, before the rows are
     each = F.transform(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), lambda s: F.struct(s.alias("surface"), kind(F.substring(s, 1, 1)).alias("kind")))
-    found = docs.select("doc_id", F.posexplode(each).alias("tok", "t")).select("doc_id", "tok", "t.surface", "t.kind")
-    upto = Window.partitionBy("doc_id").orderBy("tok").rowsBetween(Window.unboundedPreceding, 0)
-    found = found.withColumn("end", F.sum(F.length("surface")).over(upto).cast("int")).withColumn("start", F.col("end") - F.length("surface"))
+    found = docs.select("doc_id", each.alias("t")).select("doc_id", "t", offsets(F.transform("t", lambda t: F.length(t["surface"]))).alias("start"))
+    found = found.select("doc_id", F.posexplode(F.arrays_zip("t", "start")).alias("tok", "x")).select("doc_id", "tok", "x.t.surface", "x.t.kind", "x.start")
+    found = found.withColumn("end", F.col("start") + F.length("surface"))
     table = kanji.select(F.col("kanji").alias("_k"), F.col("readings").alias("_r"))
     found = found.join(table, (F.col("kind") == "kanji") & (F.col("surface") == F.col("_k")), "left")
     one = F.when(F.col("kind").isin("hiragana", "katakana"), F.col("surface"))

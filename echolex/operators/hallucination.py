@@ -1,19 +1,24 @@
 """Canned phrases that speech recognisers make up on silence: found by structural evidence, then removed.
 
-A phrase is only ever removed where it is a whole segment, so a hit is a segment that equals a phrase or sounds like one. That
-makes the search an equi-join of short segments to phrases; those that only sound alike are sought once for each distinct
-segment. Segments longer than any match may be travel as lengths alone.
+Phrases are sought anywhere in a text by one pass of an automaton, and in whole segments by their sound, once for each distinct
+segment. Each place then meets the segment around it by a range join in bins of positions, so a long text's segments spread
+over tasks. As a rule a phrase is only removed where it is a whole segment; ``require_segment`` = False lets the evidence alone decide.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from echolex.functions import distance_batch, sounds
+from echolex.functions.columns import nullable, offsets
 from echolex.functions.cost_model import DEFAULT, CostModel
+from echolex.operators import term_automaton
 
 # The phrases, and those among them that are ordinary speech too.
 PHRASES = [
@@ -49,6 +54,7 @@ class FilterConfig:
     tau: float = 0.12  # 0: exact matches only
     least_score: float = 1.0
     tail: int = 40
+    require_segment: bool = True  # hits are whole segments only
     model: CostModel = DEFAULT
 
 
@@ -63,47 +69,98 @@ def _phrases(docs: DataFrame) -> DataFrame:
 
 
 def segments(docs: DataFrame, longest: int | None = None) -> DataFrame:
-    """doc_id, start, segment of every run between sentence ends; where more than ``longest`` characters stay without their edges, the text is null."""
-    runs = F.posexplode(F.regexp_extract_all("text", F.lit(f"[{SEGMENT_ENDS}]+|[^{SEGMENT_ENDS}]+"), F.lit(0))).alias("pos", "run")
-    rows = docs.select("doc_id", runs).withColumn("n", F.length("run"))
-    if longest is not None:
-        rows = rows.withColumn("run", F.when(F.length(_strip(_strip(F.col("run")), EDGE)) <= longest, F.col("run")))
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int"))
-    return rows.where(F.col("run").isNull() | ~F.col("run").rlike(f"^[{SEGMENT_ENDS}]")).select("doc_id", "start", F.col("run").alias("segment"))
+    """doc_id, start, end, segment of every run between sentence ends; where more than ``longest`` characters stay without their edges, the text is null."""
+    runs = F.regexp_extract_all("text", F.lit(f"[{SEGMENT_ENDS}]+|[^{SEGMENT_ENDS}]+"), F.lit(0))
+    rows = docs.select("doc_id", runs.alias("run")).select("doc_id", "run", offsets(F.transform("run", lambda r: F.length(r))).alias("start"))
+    rows = rows.select("doc_id", F.inline(F.arrays_zip("run", "start"))).where(~F.rlike("run", F.lit(f"^[{SEGMENT_ENDS}]")))
+    rows = rows.withColumn("end", F.col("start") + F.length("run"))
+    segment = F.col("run") if longest is None else F.when(F.length(_strip(_strip(F.col("run")), EDGE)) <= longest, F.col("run"))
+    return rows.select("doc_id", "start", "end", segment.alias("segment"))
+
+
+def occurrences(docs: DataFrame, segments_: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:
+    """doc_id, start, end, matched, place, pattern, ordinary: where a phrase stands, or a whole segment sounds like one that
+    does not stand in it."""
+    phrases = _phrases(docs)
+    found = term_automaton.places(docs, phrases.withColumn("term", F.col("pattern")), "text", ["doc_id"], ["place", "pattern", "ordinary"])
+    found = found.select("doc_id", "start", "end", F.col("pattern").alias("matched"), "place", "pattern", "ordinary")
+    if config.tau <= 0:
+        return found
+    short = segments_.where(F.col("segment").isNotNull()).withColumn("matched", _strip(F.col("segment")))
+    heard = short.select("matched").where("matched <> ''").distinct()
+    heard = heard.withColumn("ph", sounds.phonemes("matched", config.model)).where(F.size("ph") > 0).withColumn("c", sounds.indel_costs("ph", config.model))
+    said = phrases.withColumn("p_ph", sounds.phonemes("pattern", config.model)).where(F.size("p_ph") > 0).withColumn("p_c", sounds.indel_costs("p_ph", config.model))
+    ratio = F.length("matched") / F.length("pattern")
+    near = heard.join(F.broadcast(said), ratio.between(0.6, 1.6))  # twenty rows
+    nd = distance_batch.phonetic_distance("ph", "p_ph", "c", "p_c", config.model) / F.greatest(F.lit(1), F.size("ph"), F.size("p_ph"))
+    near = near.where(nd <= config.tau).select("matched", "place", "pattern", "ordinary")
+    own = short.join(near, "matched").where(~F.contains("segment", "pattern"))
+    start = (F.col("start") + F.position("matched", "segment") - 1).cast("int")
+    return found.union(own.select("doc_id", start.alias("start"), (start + F.length("matched")).alias("end"), "matched", "place", "pattern", "ordinary"))
+
+
+BIN = 1024  # characters
+
+
+def containing(found: DataFrame, segments_: DataFrame) -> DataFrame:
+    """``found`` (doc_id, start, end, ...) with the ``segment`` that holds all of it, else null (as of segments whose text is
+    null). A range join: both meet in the bins of positions where the place begins, of which a segment has as many as it is long."""
+    bin_of = lambda c: F.floor(F.col(c) / BIN)
+    bins = F.explode(F.sequence(bin_of("s_start"), bin_of("s_end"))).alias("_bin")
+    around = segments_.select("doc_id", F.col("start").alias("s_start"), F.col("end").alias("s_end"), "segment").select("*", bins)
+    inside = (F.col("s_start") <= F.col("start")) & (F.col("end") <= F.col("s_end"))
+    met = found.withColumn("_bin", bin_of("start")).alias("f").join(around.alias("s"), (F.col("f.doc_id") == F.col("s.doc_id")) & (F.col("f._bin") == F.col("s._bin")) & inside, "left")
+    return met.select(*(F.col(f"f.{c}").alias(c) for c in found.columns), "segment")
+
+
+_HIT = "start int, end int, text string, pattern string, evidence array<string>, score double"
+
+
+def apart(hits: DataFrame) -> DataFrame:
+    """Of overlapping hits of a text (doc_id, start, end, text, pattern, evidence, score, place) the best stays: by score, then
+    length, then start; those left are held against each one taken before."""
+
+    def run(table: pa.Table) -> pa.Table:
+        start, end, score, place = (table.column(c).to_pylist() for c in ("start", "end", "score", "place"))
+        starts: list[int] = []  # of those taken, in order, which are apart
+        ends: list[int] = []
+        taken = []
+        for i in sorted(range(len(start)), key=lambda i: (-score[i], start[i] - end[i], start[i], place[i])):
+            at = bisect_right(starts, start[i])
+            free = (at == 0 or ends[at - 1] <= start[i]) and (at == len(starts) or end[i] <= starts[at])
+            if free:
+                starts.insert(at, start[i])
+                ends.insert(at, end[i])
+                taken.append(i)
+        return nullable(table.take(pa.array(taken, pa.int64())).select(["doc_id", *(f.name for f in hit)]))
+
+    hit = StructType.fromDDL(_HIT)
+    return hits.groupBy("doc_id").applyInArrow(run, f"doc_id {hits.schema['doc_id'].dataType.simpleString()}, {_HIT}")
 
 
 def find(docs: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:
-    """Hits in texts (doc_id unique, text): doc_id, start, end, text, pattern, evidence, score. Of hits in one segment the
-    best stays: by score, then length. Null and blank texts have none."""
-    phrases = _phrases(docs)
+    """Hits in texts (doc_id unique, text): doc_id, start, end, text, pattern, evidence, score. Of overlapping hits the best
+    stays: by score, then length, then start. Null and blank texts have none."""
+    docs = docs.select("doc_id", "text")
     longest = int(1.6 * max(map(len, PHRASES)))
-    short = segments(docs, longest).where(F.col("segment").isNotNull()).withColumn("core", _strip(F.col("segment"), EDGE))
-    exact = short.join(F.broadcast(phrases), F.col("core") == F.col("pattern")).withColumn("matched", F.col("pattern"))
-    met = exact.select("doc_id", "start", "segment", "matched", "place", "pattern", "ordinary")
-    if config.tau > 0:
-        heard = short.select(_strip(F.col("segment")).alias("matched")).where("matched <> ''").distinct()
-        heard = heard.withColumn("ph", sounds.phonemes("matched", config.model)).where(F.size("ph") > 0).withColumn("c", sounds.indel_costs("ph", config.model))
-        said = phrases.withColumn("p_ph", sounds.phonemes("pattern", config.model)).where(F.size("p_ph") > 0).withColumn("p_c", sounds.indel_costs("p_ph", config.model))
-        ratio = F.length("matched") / F.length("pattern")
-        near = heard.join(F.broadcast(said), ratio.between(0.6, 1.6))  # twenty rows
-        nd = distance_batch.phonetic_distance("ph", "p_ph", "c", "p_c", config.model) / F.greatest(F.lit(1), F.size("ph"), F.size("p_ph"))
-        near = near.where(nd <= config.tau).select("matched", "place", "pattern", "ordinary")
-        own = short.withColumn("matched", _strip(F.col("segment")))
-        own = own.where(F.col("core") == _strip(F.col("matched"), EDGE)).join(near, "matched").where(~F.contains("segment", "pattern"))
-        met = met.union(own.select("doc_id", "start", "segment", "matched", "place", "pattern", "ordinary"))
-    met = met.withColumn("start", (F.col("start") + F.position("matched", "segment") - 1).cast("int"))
-    met = met.withColumn("end", F.col("start") + F.length("matched")).join(docs.select("doc_id", F.col("text").alias("_all")), "doc_id")
+    around = segments(docs, longest)
+    met = containing(occurrences(docs, around, config), around)
+    # a segment whose text does not travel is longer than any phrase with its edges
+    whole = F.coalesce(_strip(F.col("segment"), EDGE) == _strip(F.col("matched"), EDGE), F.lit(False))
+    met = met.withColumn("whole", whole).drop("segment")
+    if config.require_segment:
+        met = met.where("whole")
+    met = met.join(docs.withColumnRenamed("text", "_all"), "doc_id")
     repeated = F.length(F.replace("_all", "pattern", F.lit(""))) + 2 * F.length("pattern") <= F.length("_all")
     tail, entire = F.length("_all") - F.col("end") <= config.tail, _strip(F.col("matched")) == _strip(F.col("_all"))
-    points = [("whole-segment", F.lit(True), 1.0), ("repeated", repeated, 1.0), ("transcript-tail", tail, 0.5), ("entire-transcript", entire, 1.5)]
+    points = [("whole-segment", F.col("whole"), 1.0), ("repeated", repeated, 1.0), ("transcript-tail", tail, 0.5), ("entire-transcript", entire, 1.5)]
     evidence = F.array_compact(F.array(*(F.when(c, name) for name, c, _ in points)))
     score = sum((F.when(c, v).otherwise(0.0) for _, c, v in points), F.lit(0.0)) - F.when(F.col("ordinary"), 0.5).otherwise(0.0)
-    scored = met.withColumn("evidence", evidence).withColumn("score", score)
-    scored = scored.where(~F.col("ordinary") | repeated | entire).where(F.col("score") >= config.least_score)
-    best = F.row_number().over(Window.partitionBy("doc_id", "segment_at").orderBy(F.desc("score"), F.desc(F.length("matched")), "start", "place"))
-    scored = scored.withColumn("segment_at", F.col("start") - F.position("matched", "segment") + 1)
-    return scored.withColumn("_n", best).where("_n = 1").select("doc_id", "start", "end", F.col("matched").alias("text"), "pattern", "evidence", "score")
+    scored = met.select("doc_id", "start", "end", F.col("matched").alias("text"), "pattern", evidence.alias("evidence"), score.alias("score"), "place", "ordinary")
+    # what is ordinary speech too needs two signs besides standing at the end
+    signs = F.size(F.array_remove("evidence", "transcript-tail"))
+    scored = scored.where((~F.col("ordinary") | (signs >= 2)) & (F.col("score") >= config.least_score)).drop("ordinary")
+    return apart(scored)
 
 
 def remove(docs: DataFrame, hits: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from echolex.functions import distance_batch, sounds
+from echolex.functions.columns import nullable
 from echolex.functions.cost_model import DEFAULT, CostModel
 from echolex.operators.phoneme_trie import Trie
 
@@ -102,13 +103,6 @@ def _trie(index: pa.Table, model: CostModel) -> Trie:
     return Trie.build(index.append_column("group", pa.array(group.astype(np.int64))).append_column("order", pa.array(order)), model)
 
 
-def _nullable(kind: pa.DataType) -> pa.DataType:
-    """The type with all that is inside it nullable, as results are declared."""
-    if pa.types.is_list(kind):
-        return pa.list_(_nullable(kind.value_type))
-    return pa.struct([(f.name, _nullable(f.type)) for f in kind]) if pa.types.is_struct(kind) else kind
-
-
 def _hits(asked: pa.Table, trie: Trie, bounds: QueryBounds) -> pa.Table:
     found = trie.nearest(asked.rename_columns({"q_phonemes": "phonemes", "q_indel": "indel", "q_morae": "morae"}), bounds.top_k, bounds.max_mora_ratio)
     own = trie.readings.take(found.column("slot"))
@@ -148,7 +142,7 @@ def _by_trie(queries: DataFrame, index: DataFrame, bounds: QueryBounds, model: C
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         # a block that meets no part has no rows either
         found = _hits(left if right.num_rows else left.slice(0, 0), _trie(right, model), bounds)
-        return found.cast(pa.schema([(f.name, _nullable(f.type)) for f in found.schema]))
+        return nullable(found)
 
     return asked.groupBy("part", "block").cogroup(dealt.groupBy("part", "block")).applyInArrow(both, _HIT.format(**kinds))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from echolex.functions.characters import CLASSES, units
 from echolex.functions.columns import let
+from echolex.operators import term_automaton
 
 
 def cer(reference: Column, hypothesis: Column) -> Column:
@@ -43,39 +44,12 @@ def count_places(text: Column, term: Column) -> Column:
     return F.when(F.length(term) > 0, ((F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
-LISTED = 64
-
-
-def term_pairs(pairs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``pairs`` (reference, ...) with each term (term, ...) that stands in the reference.
-
-    Only texts' distinct runs of characters as long as some term meet the terms, by an equi-join: not each text each term.
-    Up to ``LISTED`` terms are looked for directly."""
-    own = terms.where(F.coalesce(F.length("term"), F.lit(0)) > 0).dropDuplicates(["term"])
-    listed = [r["term"] for r in own.select("term").limit(LISTED + 1).collect()]
-    if len(listed) <= LISTED:
-        # so few that looking for each is cheaper than making the text's runs; the same pairs come out
-        held = F.filter(F.array(*map(F.lit, listed)) if listed else F.array().cast("array<string>"), lambda t: F.contains("reference", t))
-        return pairs.withColumn("term", F.explode(held)).join(own, "term")
-    lengths = [r[0] for r in own.select(F.length("term").alias("n")).distinct().orderBy("n").collect()]  # as many as the longest term at most
-    keyed = pairs.withColumn("_d", F.md5("reference"))
-    none = F.array().cast("array<string>")
-
-    def runs(letters: Column) -> Column:
-        of = lambda n: F.when(F.size(letters) >= n, F.transform(F.sequence(F.lit(1), F.size(letters) - n + 1), lambda i: F.array_join(F.slice(letters, i, n), ""))).otherwise(none)
-        return F.array_distinct(F.flatten(F.array(*map(of, lengths))))
-
-    every = let(F.regexp_extract_all("reference", F.lit(r"[\x{0}-\x{10FFFF}]"), F.lit(0)), runs) if lengths else none
-    # only digests of texts travel with their runs
-    met = keyed.select("_d", F.explode(every).alias("term")).join(own, "term").distinct()
-    return keyed.join(met, "_d").drop("_d")
-
-
 def term_recall(pairs: DataFrame, terms: DataFrame, by: list[str]) -> DataFrame:
-    """``by``, found, total, recall: of the terms' places in the references, those that the hypotheses have too."""
-    gold = count_places(F.col("reference"), F.col("term"))
-    met = term_pairs(pairs, terms).withColumn("_g", gold).withColumn("_h", F.least(count_places(F.col("hypothesis"), F.col("term")), "_g"))
-    sums = met.groupBy(*by).agg(F.sum("_h").cast("long").alias("found"), F.sum("_g").cast("long").alias("total"))
+    """``by``, found, total, recall: of the terms' places in the references, those that the hypotheses have too. ``by`` names
+    columns of the pairs or of the terms (term, ...)."""
+    of = [c for c in by if c in terms.columns]
+    met = term_automaton.counts(pairs, terms, ["reference", "hypothesis"], [c for c in by if c not in of], of)
+    sums = met.groupBy(*by).agg(F.sum(F.least("n_1", "n_0")).cast("long").alias("found"), F.sum("n_0").cast("long").alias("total"))
     return sums.withColumn("recall", F.coalesce(F.try_divide(F.col("found").cast("double"), F.col("total")), F.lit(0.0)))
 
 
@@ -85,8 +59,7 @@ def _zero_safe(a: str, b: str) -> Column:
 
 def term_damage(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """One row for all (reference, baseline, corrected): terms right before, broken and fixed by the correction, damage rate."""
-    n = {c: count_places(F.col(c), F.col("term")) for c in ("reference", "baseline", "corrected")}
-    met = term_pairs(rows, terms).select(F.least(n["baseline"], n["reference"]).alias("b"), F.least(n["corrected"], n["reference"]).alias("a"))
+    met = term_automaton.counts(rows, terms, ["reference", "baseline", "corrected"], [], []).select(F.least("n_1", "n_0").alias("b"), F.least("n_2", "n_0").alias("a"))
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     sums = met.agg(zero(F.col("b")).alias("correct_before"), zero(F.greatest(F.lit(0), F.col("b") - F.col("a"))).alias("broken"), zero(F.greatest(F.lit(0), F.col("a") - F.col("b"))).alias("fixed"))
     return sums.withColumn("damage_rate", _zero_safe("broken", "correct_before"))
@@ -113,8 +86,7 @@ def summarize(rows: DataFrame, terms: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.sum(F.length("reference")).alias("chars"), F.sum(F.size(units("reference"))).alias("words"),
         *(F.sum(f(c)).alias(f"{name}_{c}") for c in ("baseline", "corrected") for name, f in (("c", d), ("w", u))),
     )
-    gold = count_places(F.col("reference"), F.col("term"))
-    met = term_pairs(rows, terms).select(gold.alias("g"), *(F.least(count_places(F.col(c), F.col("term")), gold).alias(c) for c in ("baseline", "corrected")))
+    met = term_automaton.counts(rows, terms, ["reference", "baseline", "corrected"], [], []).select(F.col("n_0").alias("g"), F.least("n_1", "n_0").alias("baseline"), F.least("n_2", "n_0").alias("corrected"))
     found = met.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"t_{c}") for c in ("baseline", "corrected")), F.coalesce(F.sum("g"), F.lit(0)).alias("t"))
     out = own.join(F.broadcast(found))  # two single rows
     out = out.select(

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echolex.operators import correction, edits, measures
+from echolex.operators import correction, edits, term_automaton
 from echolex.operators.gate import Gate
 
 Proposer = Callable[[correction.CorrectionConfig], DataFrame]
@@ -38,11 +38,11 @@ def operating_points(pairs: DataFrame, found: DataFrame, terms: DataFrame, steps
     touched = chosen.select("doc_id").distinct().select(F.col("doc_id.step").alias("step"), F.col("doc_id.doc_id").alias("doc_id")).join(rows, "doc_id")
     spliced = edits.splice(touched.select(F.struct("step", "doc_id").alias("doc_id"), F.col("baseline").alias("text")), chosen)
     spliced = spliced.select(F.col("doc_id.step").alias("step"), F.col("doc_id.doc_id").alias("doc_id"), F.col("text").alias("corrected"))
-    n = {c: measures.count_places(F.col(c), F.col("term")) for c in ("reference", "baseline", "corrected")}
-    before = measures.term_pairs(rows, terms).select("doc_id", "term", "reference", "baseline")
-    before = before.select("doc_id", "term", n["reference"].alias("g"), F.least(n["baseline"], n["reference"]).alias("b"))
+    before = term_automaton.counts(rows, terms, ["reference", "baseline"], ["doc_id"], ["term"])
+    before = before.select("doc_id", "term", F.col("n_0").alias("g"), F.least("n_1", "n_0").alias("b"))
     totals = before.agg(F.coalesce(F.sum(F.col("g") - F.col("b")), F.lit(0)).alias("wrong"), F.coalesce(F.sum("b"), F.lit(0)).alias("right"))
-    after = before.join(spliced, "doc_id").withColumn("a", F.least(n["corrected"], "g"))
+    there = term_automaton.counts(spliced.join(rows.select("doc_id", "reference"), "doc_id"), terms, ["reference", "corrected"], ["step", "doc_id"], ["term"])
+    after = before.join(there.select("step", "doc_id", "term", "n_1"), ["doc_id", "term"]).withColumn("a", F.least("n_1", "g"))
     changes = after.groupBy("step").agg(F.sum(F.greatest(F.lit(0), F.col("a") - F.col("b"))).alias("fixed"), F.sum(F.greatest(F.lit(0), F.col("b") - F.col("a"))).alias("damaged"))
     made = chosen.select(F.col("doc_id.step").alias("step"), F.col("doc_id.doc_id").alias("doc_id"), "start", "end", "replacement").join(rows, "doc_id")
     outcomes = edits.classify_span_edits(made).groupBy("step").agg(F.count("*").alias("accepted"), F.count_if(F.col("outcome") == "repair").alias("repairs"), F.count_if(F.col("outcome") == "damage").alias("damages"))
