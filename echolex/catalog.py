@@ -170,11 +170,6 @@ def edit_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", edits.classify_edit(F.col("p_name"), F.col("p_type"), F.col("p_brand")).alias("outcome"))
 
 
-def char_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _read(spark, sf_dir, "part")
-    return edits.char_damage(p.select(F.col("p_name").alias("reference"), F.col("p_type").alias("baseline"), F.concat_ws(" ", "p_name", "p_brand").alias("corrected")))
-
-
 def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = (F.col("l_linenumber") * 3).cast("int")
     spans = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), start.alias("start"), (start + 1 + (F.col("l_quantity") % 7).cast("int")).alias("end"), F.col("l_extendedprice").cast("double").alias("score"))
@@ -218,7 +213,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def queries_without_sql() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries that SQL can't express plainly; their operators are held against brute force and goldens in tests."""
-    return {f.__name__: f for f in (hallucination_removal, char_damage, resolve_overlaps, correction_proposals, corrected_transcripts)}
+    return {f.__name__: f for f in (hallucination_removal, resolve_overlaps, correction_proposals, corrected_transcripts)}
 
 
 def _lists(values: list[str]) -> str:

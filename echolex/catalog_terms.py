@@ -11,7 +11,7 @@ from echolex import catalog
 from echolex.functions import distance_batch, sounds
 from echolex.functions import sound_tables as S
 from echolex.functions.cost_model import DEFAULT, CostModel
-from echolex.operators import hallucination, lookup, term_automaton
+from echolex.operators import edits, hallucination, lookup, term_automaton
 
 _read = catalog._read
 #: Another phonetic model: marks stay, other costs, distances by the mean length.
@@ -100,8 +100,30 @@ def phrase_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "start", F.col("end").alias("stop"), "pattern", F.array_join("evidence", "|").alias("evidence"), "score")
 
 
+def char_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _read(spark, sf_dir, "part")
+    return edits.char_damage(p.select(F.col("p_name").alias("reference"), F.lower("p_type").alias("baseline"), F.concat_ws(" ", "p_name", "p_brand").alias("corrected")))
+
+
+def char_damage_of_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole turns of conversations, misheard and in part put right: for each role what the correction broke and mended."""
+    text = F.coalesce("text", F.lit(""))
+    wrong = F.replace(F.replace(text, F.lit("en"), F.lit("a")), F.lit(" de"), F.lit("de "))
+    d = _read(spark, sf_dir, "conversations").select("role", text.alias("reference"), wrong.alias("baseline"), F.replace(F.replace(wrong, F.lit("de "), F.lit(" de")), F.lit("ti"), F.lit("it")).alias("corrected"))
+    b, c = (edits.matched_places("reference", x) for x in ("baseline", "corrected"))
+    sums = d.select("role", b.alias("b"), c.alias("c")).groupBy("role").agg(F.sum(F.size("b")).alias("correct_before"), F.sum(F.size(F.array_except("b", "c"))).alias("broken"), F.sum(F.size(F.array_except("c", "b"))).alias("fixed"))
+    return sums.select("role", *(F.col(x).cast("long").alias(x) for x in ("correct_before", "broken", "fixed")))
+
+
+def span_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What replacing two characters of a text that begins as each part's name does, does to it."""
+    p = _read(spark, sf_dir, "part")
+    rows = p.select("p_partkey", F.col("p_name").alias("reference"), F.concat(F.substring("p_name", 1, 3), "p_type").alias("baseline"), F.lit(1).alias("start"), F.lit(3).alias("end"), F.when(F.col("p_partkey") % 3 == 0, F.substring("p_name", 2, 2)).when(F.col("p_partkey") % 3 == 1, F.substring("p_brand", 1, 2)).otherwise(F.lit("zz")).alias("replacement"))
+    return edits.classify_span_edits(rows).select("p_partkey", "outcome")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (topk_terms, phonemes_by_model, phonetic_alignment, term_counts, terms_in_segments, phrase_evidence)}
+    return {f.__name__: f for f in (topk_terms, phonemes_by_model, phonetic_alignment, term_counts, terms_in_segments, phrase_evidence, char_damage, char_damage_of_turns, span_outcomes)}
 
 
 def _swaps(model: CostModel) -> str:
@@ -145,7 +167,35 @@ grid AS (
     costs = f"list_transform(range(1, len(na) + 1), lambda i: list_prepend(ca[i], list_transform(nb, lambda s: {_swaps(DEFAULT)}[(na[i] - 1) * {n} + s])))"
     first = "list_reduce(list_transform(list_concat([0::DOUBLE], cb), lambda v: [v]), lambda l, v: CASE WHEN len(l) = 0 THEN v ELSE list_append(l, l[-1] + v[1]) END, []::DOUBLE[])"
     one_by_one = f"list_reduce({costs}, lambda acc, e: CASE WHEN acc[1] < 0 THEN acc WHEN list_min(acc) > {most} THEN [-1::DOUBLE] ELSE {row} END, {first})[-1]"
+    def diagonals(rows: str) -> str:
+        """Of texts a and b by k: recursive steps (k, i, j, out), out the pairs that the alignment puts together."""
+        return f"""texts AS MATERIALIZED ({rows}),
+grid AS (
+  SELECT k, 0 AS i, range(0, length(b) + 1) AS line FROM texts
+  UNION ALL
+  SELECT k, i + 1, list_reduce(list_transform(range(0, length(b) + 1), lambda j: [CASE WHEN j = 0 THEN line[1] + 1 ELSE least(line[j + 1] + 1, line[j] + CASE WHEN a[i + 1] = b[j] THEN 0 ELSE 1 END) END]), lambda l, c: CASE WHEN len(l) = 0 THEN c ELSE list_append(l, least(c[1], l[-1] + 1)) END, []::BIGINT[])
+  FROM grid JOIN texts USING (k) WHERE i < length(a)),
+whole AS MATERIALIZED (SELECT k, list(line ORDER BY i) AS d FROM grid GROUP BY k),
+steps AS (
+  SELECT k, length(a) AS i, length(b) AS j, []::STRUCT(i BIGINT, j BIGINT, same BOOLEAN)[] AS out FROM texts
+  UNION ALL
+  SELECT k, CASE WHEN op < 2 THEN i - 1 ELSE i END, CASE WHEN op <> 1 THEN j - 1 ELSE j END, CASE WHEN op = 0 THEN list_prepend({{'i': i - 1, 'j': j - 1, 'same': a[i] = b[j]}}, out) ELSE out END FROM (
+    SELECT s.k, i, j, out, a, b, CASE WHEN i > 0 AND j > 0 AND d[i + 1][j + 1] = d[i][j] + CASE WHEN a[i] = b[j] THEN 0 ELSE 1 END THEN 0 WHEN i > 0 AND (j = 0 OR d[i + 1][j + 1] = d[i][j + 1] + 1) THEN 1 ELSE 2 END AS op
+    FROM steps s JOIN texts t ON s.k = t.k JOIN whole w ON s.k = w.k WHERE i > 0 OR j > 0)),
+pairs AS (SELECT k, out FROM steps WHERE i = 0 AND j = 0)"""
+
+    same = "list_transform(list_filter({0}, lambda p: p.same), lambda p: p.i)"
+    third = "CASE p_partkey % 3 WHEN 0 THEN substr(p_name, 2, 2) WHEN 1 THEN substr(p_brand, 1, 2) ELSE 'zz' END"
     return {
+        "char_damage": f"""WITH RECURSIVE {diagonals("SELECT p_partkey || '|b' AS k, p_name AS a, lower(p_type) AS b FROM part UNION ALL SELECT p_partkey || '|c', p_name, p_name || ' ' || p_brand FROM part")},
+o AS (SELECT x.k, {same.format('x.out')} AS b, {same.format('y.out')} AS c FROM pairs x JOIN pairs y ON x.k[-1] = 'b' AND y.k = x.k[:-2] || 'c'),
+s AS (SELECT sum(len(b)) AS n, sum(len(list_filter(b, lambda v: NOT list_contains(c, v)))) AS x, sum(len(list_filter(c, lambda v: NOT list_contains(b, v)))) AS f FROM o)
+SELECT CAST(n AS BIGINT) AS correct_before, CAST(x AS BIGINT) AS broken, CAST(f AS BIGINT) AS fixed, CASE WHEN n = 0 THEN 0 ELSE x / n END AS damage_rate FROM s""",
+        "span_outcomes": f"""WITH RECURSIVE {diagonals("SELECT p_partkey AS k, substr(p_name, 1, 3) || p_type AS a, p_name AS b FROM part")},
+r AS (SELECT p_partkey, p_name AS ref, substr(p_name, 1, 3) || p_type AS base, {third} AS new, list_transform(list_filter(out, lambda p: p.i >= 1 AND p.i < 3), lambda p: p.j) AS js FROM part JOIN pairs ON k = p_partkey),
+q AS (SELECT *, base[2:3] AS old, CASE WHEN len(js) > 0 THEN ref[list_min(js) + 1:list_max(js) + 1] END AS part, base[1:1] || new || base[4:] AS after FROM r),
+t AS (SELECT *, abs(length(part) - length(old)) <= greatest(1, length(old) // 2) AS trusted FROM q)
+SELECT p_partkey, CASE WHEN new = old THEN 'no-op' WHEN trusted AND old = part THEN 'damage' WHEN trusted AND new = part THEN 'repair' ELSE CASE sign(levenshtein(ref, after) - levenshtein(ref, base)) WHEN -1 THEN 'repair' WHEN 1 THEN 'damage' ELSE 'neutral' END END AS outcome FROM t""",
         "topk_terms": f"""WITH names AS MATERIALIZED (SELECT p_name, ph, {_numbers('ph')} AS num, {catalog.indel_sql('ph')} AS c, {morae('ph')} AS m FROM (SELECT p_name, {catalog.phonemes_sql(kana('p_name'))} AS ph FROM (SELECT DISTINCT p_name FROM part)) WHERE len(ph) > 0),
 terms AS MATERIALIZED (SELECT word, ph, {_numbers('ph')} AS num, {catalog.indel_sql('ph')} AS c, {morae('ph')} AS m FROM (SELECT word, {catalog.phonemes_sql(kana('word'))} AS ph FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)) WHERE len(ph) > 0 AND len(list_filter(ph, lambda x: x <> '?')) > 0),
 pairs AS (SELECT p_name, word, a.num AS na, b.num AS nb, a.c AS ca, b.c AS cb FROM names a JOIN terms b

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echolex.functions.characters import CLASSES, units
 from echolex.functions.columns import let
-from echolex.operators import term_automaton
+from echolex.operators import running, term_automaton
 
 
 def cer(reference: Column, hypothesis: Column) -> Column:
@@ -117,9 +117,9 @@ def _by_score(scored: DataFrame) -> DataFrame:
 def roc_auc(scored: DataFrame) -> DataFrame:
     """One row: area under the ROC curve of (score, y); ties count half; 0.5 without both classes.
 
-    Rows are first counted by score, so the running sum is over distinct scores only."""
-    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    runs = _by_score(scored).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    Rows are first counted by score; the running sum over distinct scores, as many as rows where they are continuous, is
+    made in ranges (``running.before``)."""
+    runs = running.before(_by_score(scored), "score", "neg", "below")
     sums = runs.agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return sums.select(F.coalesce(F.try_divide(F.col("u"), (F.col("p") * F.col("n")).cast("double")), F.lit(0.5)).alias("auc"))
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from echolex.functions.columns import offsets
-from echolex.operators import hallucination, measures, term_automaton
+from echolex.operators import edits, hallucination, measures, running, term_automaton
 
 
 def _counted(terms, texts):
@@ -102,3 +103,63 @@ def test_phrases_by_evidence_alone(spark):
     free = hallucination.find(docs, hallucination.FilterConfig(require_segment=False, least_score=0.5))
     assert sorted((r["doc_id"], r["text"], r["score"]) for r in free.collect()) == [(1, "ご視聴ありがとうございました", 0.5), (2, "ご清聴ありがとうございました", 0.5), (3, "ご清聴ありがとうございました", 1.5)]
     assert sorted(r["doc_id"] for r in hallucination.find(docs).collect()) == [3]
+
+
+def plain_diagonal(a, b):
+    n, m = len(a), len(b)
+    d = [[i + j if not i * j else 0 for j in range(m + 1)] for i in range(n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            d[i][j] = min(d[i - 1][j - 1] + (a[i - 1] != b[j - 1]), d[i - 1][j] + 1, d[i][j - 1] + 1)
+    i, j, out = n, m, []
+    while i and j:
+        if d[i][j] == d[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+            i, j = i - 1, j - 1
+            out.append((i, j, a[i] == b[j]))
+        elif d[i][j] == d[i - 1][j] + 1:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+def test_alignment_is_the_plain_one():
+    rng = random.Random(2)
+    for _ in range(300):
+        letters = rng.choice(["ab", "abcd", "xyé日"])
+        a = "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 5, 30, 90])))
+        b = "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 5, 30, 90]))) if rng.random() < 0.5 else "".join(c if rng.random() < 0.9 else rng.choice(["", letters[0], c + c]) for c in a)
+        i, j, same = edits.diagonal(a, b)
+        assert list(zip(i.tolist(), j.tolist(), same.astype(bool).tolist(), strict=True)) == plain_diagonal(a, b)
+
+
+def test_alignment_of_long_texts_takes_little_memory():
+    """The whole matrix would have 900 million places."""
+    rng = random.Random(4)
+    a = "".join(rng.choice("abcdefgh ") for _ in range(30_000))
+    b = "".join(c if rng.random() < 0.98 else rng.choice(["", "x", c + c]) for c in a)
+    tracemalloc.start()
+    i, j, same = edits.diagonal(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 30_000_000
+    tracemalloc.stop()
+    assert same.sum() > 29_000 and (np.diff(i) > 0).all() and (np.diff(j) > 0).all()
+    assert all((a[p] == b[q]) == bool(s) for p, q, s in zip(i.tolist(), j.tolist(), same.tolist(), strict=True))
+
+
+def test_running_sums_and_continuous_scores(spark):
+    rows = spark.range(3000).select((F.col("id") * 7 % 3001).alias("k"), (F.col("id") % 5).alias("v")).repartition(5)
+    found = sorted((r["k"], r["v"], r["n"]) for r in running.before(rows, "k", "v", "n").collect())
+    total = 0
+    for k, v, n in found:
+        assert n == total, k
+        total += v
+    assert running.before(rows.limit(0), "k", "v", "n").count() == 0
+    rng = random.Random(1)
+    scored = [(rng.choice([rng.random(), 0.5, None]), rng.randint(0, 1)) for _ in range(900)]
+    good = [(s, y) for s, y in scored if s is not None]
+    pairs = sum((p > q) + 0.5 * (p == q) for p, y in good if y for q, z in good if not z)
+    exact = pairs / (sum(y for _, y in good) * sum(1 - y for _, y in good))
+    df = spark.createDataFrame(good, "score double, y int")
+    assert measures.roc_auc(df).first()["auc"] == pytest.approx(exact)
+    assert measures.roc_auc(df.where("y = 1")).first()["auc"] == 0.5
+    assert measures.roc_auc(df.limit(0)).first()["auc"] == 0.5
