@@ -33,8 +33,9 @@ Featurizer = Callable[[list[bytes], int], tuple[np.ndarray, np.ndarray]]
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    """Rows that are never learned from: crc32 of the id as text is divisible by 5."""
-    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+    """Rows that are never learned from: crc32 of the id as text is divisible by 5. A null id, which no label has, is one of
+    them."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5 == 0
 
 
 @dataclass(frozen=True)

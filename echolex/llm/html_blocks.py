@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import re
+import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -11,25 +13,43 @@ from dataclasses import dataclass
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-RAW = frozenset("script style template noscript svg iframe object canvas math".split())
+INLINE |= frozenset("math mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+#: Elements whose content a page never shows beside its own text: code, and what stands in for scripts and frames that did not run.
+RAW = frozenset("script style template noscript iframe".split())
 #: Elements that a new one of the same kind ends.
 SIBLINGS = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 #: Block-level elements that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
-#: Of the elements that a block stands in, so many outermost and so many innermost ones are kept.
-OUTER = INNER = 32
+#: How many of the innermost elements a block names in ``path``; what it stands in, at any depth, is in ``inside``.
+NAMED = 64
+#: Features of the elements that a block stands in are bits of a number with as many places.
+PLACES = 1 << 13
 
 _MARK = re.compile(r"['\">]")
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_WORD = re.compile(r"[a-z]+")
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
 @dataclass
 class Block:
-    path: tuple[str, ...]  # open elements as "tag" or "tag class-and-id words"
+    path: tuple[str, ...]  # the innermost open elements as "tag" or "tag class-and-id words"
     text: str
     linked: int  # characters that stand in links
+    inside: int = 0  # the features of all elements that it stands in, as bits
+    above: int = 0  # equal for blocks whose elements but the last are the same
+
+
+def place(name: str) -> int:
+    """A feature's number."""
+    return zlib.crc32(name.encode()) % PLACES
+
+
+@functools.lru_cache(20_000)
+def _element(element: str) -> int:
+    tag, _, words = element.partition(" ")
+    return functools.reduce(lambda bits, name: bits | 1 << place(name), [f"in {tag}", *(f"word {w}" for w in _WORD.findall(words))], 0)
 
 
 class _Ends:
@@ -92,7 +112,7 @@ def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
 def blocks(page: str) -> list[Block]:
     """The page's leaf blocks in order; scripts, styles, comments and markup are no text, white space is one blank."""
     out: list[Block] = []
-    stack: list[list] = []  # block-level elements: tag, tag with its words, links open inside
+    stack: list[list] = []  # block-level elements: tag, tag with its words, links open inside, features so far, and a number for all so far
     count: Counter[str] = Counter()  # open elements of each tag
     parts: list[str] = []
     linked = links = outside = 0  # characters in links; links open, and those open outside of all elements
@@ -100,18 +120,19 @@ def blocks(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            # references do not go over the borders of tags
+            text = " ".join("".join(map(html.unescape, parts)).split())
             if text:
-                path = stack if len(stack) <= OUTER + INNER else [*stack[:OUTER], *stack[-INNER:]]
-                out.append(Block(tuple(x[1] for x in path), text, min(linked, len(text))))
+                inside, above = (stack[-1][3], stack[-2][4] if len(stack) > 1 else 0) if stack else (0, 0)
+                out.append(Block(tuple(x[1] for x in stack[-NAMED:]), text, min(linked, len(text)), inside, above))
             parts.clear()
         linked = 0
 
     def pop() -> None:
         nonlocal links
-        tag, _, inside = stack.pop()
+        tag, _, own, _, _ = stack.pop()
         count[tag] -= 1
-        links -= inside
+        links -= own
 
     at = 0
     for begin, end, tag, closes, attributes in _tags(page):
@@ -148,7 +169,10 @@ def blocks(page: str) -> list[Block]:
                     pop()
                 if not attributes.rstrip().endswith("/"):
                     words = " ".join(a or b or c for a, b, c in _ATTR.findall(attributes)) if "=" in attributes else ""
-                    stack.append([tag, f"{tag} {words}".strip().lower(), 0])
+                    element = f"{tag} {words}".strip().lower()
+                    inside, chain = (stack[-1][3], stack[-1][4]) if stack else (0, 0)
+                    # carried down, so that depth costs nothing
+                    stack.append([tag, element, 0, inside | _element(element), (chain * 1_000_003 + zlib.crc32(element.encode()) + 1) % ((1 << 61) - 1)])
                     count[tag] += 1
     if at < len(page):
         parts.append(page[at:])

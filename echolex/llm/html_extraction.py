@@ -2,11 +2,12 @@
 
 A page is the sequence of its leaf blocks (``html_blocks``). A block's features are its ancestor tags, the words of their
 class and id attributes, its parent, its length, link share, punctuation and place; transitions depend on the pair of
-labels and on whether both blocks have the same parent. Of very deep paths the 32 outermost and the 32 innermost elements count. The field is trained by maximum likelihood on labelled pages
+labels and on whether both blocks have the same parent. All elements around a block count, at any depth. The field is trained by maximum likelihood on labelled pages
 (``html_pages``) and decoded by Viterbi; blocks labelled main are joined in page order.
 
 Text: character references are decoded, white space inside a block is one space, blocks are joined by one newline. A
-line break is white space. Scripts, styles and comments are no blocks. Headings inside the article belong to it.
+line break is white space. Scripts, styles, comments, and the contents of template, noscript and iframe, which a page does not show
+beside its text, are no blocks; formulas and drawings are text like any other. Headings inside the article belong to it.
 
 Defined cases: null or empty html, and pages without main blocks, have the empty text; repeated rows are extracted
 each; unclosed and unmatched tags are repaired as browsers do in the main; an unfinished tag at the end is dropped; an
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 import functools
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,29 +25,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from echolex.llm.html_blocks import Block, blocks
+from echolex.llm.html_blocks import PLACES, Block, blocks, place
 from echolex.llm.html_pages import training_pages
 from echolex.llm.scratch import arrow_rows
 
-DIMENSIONS = 1 << 13
+DIMENSIONS = PLACES
 _WORD = re.compile(r"[a-z]+")
-
-
-def _id(name: str) -> int:
-    return zlib.crc32(name.encode()) % DIMENSIONS
+_id = place
 
 
 @functools.lru_cache(20_000)
-def _path_features(path: tuple[str, ...]) -> tuple[int, ...]:
-    names = set()
-    for i, element in enumerate(path):
-        tag, _, words = element.partition(" ")
-        names.add(f"in {tag}")
-        names.update(f"word {w}" for w in _WORD.findall(words))
-        if i == len(path) - 1:
-            names.add(f"parent {tag}")
-            names.update(f"parent word {w}" for w in _WORD.findall(words))
-    return tuple(sorted({_id(x) for x in names}))
+def _path_features(inside: int, last: str | None) -> tuple[int, ...]:
+    """Of all elements that a block stands in, and of the last one."""
+    names, found = [], set()
+    if last is not None:
+        tag, _, words = last.partition(" ")
+        names = [f"parent {tag}", *(f"parent word {w}" for w in _WORD.findall(words))]
+    while inside:
+        low = inside & -inside
+        found.add(low.bit_length() - 1)
+        inside ^= low
+    return tuple(sorted(found | {_id(x) for x in names}))
 
 
 @functools.lru_cache(2_000)
@@ -62,13 +60,13 @@ def features(page: list[Block]) -> list[tuple[int, ...]]:
         end = last if last in ".?!:," else "other"
         shape = _shape(min(len(b.text).bit_length(), 11), 4 * b.linked // max(1, len(b.text)), end, 4 * i // len(page), i == 0)
         mark = (_id("copyright"),) if b.text[0] == "©" or b.text.startswith("Copyright") else ()
-        out.append(_path_features(b.path) + shape + mark)
+        out.append(_path_features(b.inside, b.path[-1] if b.path else None) + shape + mark)
     return out
 
 
 def same_parent(page: list[Block]) -> list[int]:
     """1 where a block has the parent of the block before it (without the last element: siblings)."""
-    return [0] + [int(a.path[:-1] == b.path[:-1]) for a, b in zip(page, page[1:], strict=False)]
+    return [0] + [int(a.above == b.above) for a, b in zip(page, page[1:], strict=False)]
 
 
 class Field:

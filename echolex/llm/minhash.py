@@ -295,8 +295,9 @@ def remove(docs: DataFrame, config: MinHashConfig = MinHashConfig()) -> DataFram
     text, one; with other texts, one of each). Rows with empty sets or null ids all stay."""
     found = cut(near_duplicates(docs, config), "found")
     gone = found.where("not kept").select("doc_id").distinct()
-    again = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1")
+    times = next(x for x in (f"_times{i}" for i in range(len(docs.columns) + 1)) if x.lower() not in map(str.lower, docs.columns))
+    again = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(times)).where(F.col(times) > 1)
     left = docs.join(gone, "doc_id", "left_anti").join(again, "doc_id", "left")
     # only texts of repeated ids are shuffled
-    several = F.col("_n").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    several = F.col(times).isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     return left.where(~several).union(left.where(several).dropDuplicates(["doc_id", "text"])).select(*docs.columns)

@@ -51,6 +51,32 @@ def test_html_viterbi_is_the_best_of_all_labellings():
     assert field.decode(page) == list(best)
 
 
+def test_html_depth_and_borders():
+    """What a block stands in counts at any depth, formulas are text, and no reference goes over a tag's border."""
+    field = html_extraction.default_field()
+    article = "<article>" + "<p>The harbour was rebuilt after the storm, and the town paid for the new pier.</p>" * 4
+    comment = '<section class="comments"><h3>Comments</h3>{0}<p>First, nice article!</p>{1}</section>'
+    plain = html_extraction.main_text("<body>" + article + comment.format("", "") + "</article></body>", field)
+    deep = html_extraction.main_text("<body>" + "<div>" * 40 + article + comment.format("<div>" * 40, "</div>" * 40) + "</article>" + "</div>" * 40 + "</body>", field)
+    assert "nice article" not in plain and "nice article" not in deep and "harbour" in deep
+    (block,) = html_blocks.blocks("<p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> always true &am<b>p;</b> so &amp; &lt<i>x</i></p>")
+    assert block.text == "Energy is E=m always true &amp; so & <x"
+    a, b = html_blocks.blocks("<div class='x'>" + "<div>" * 300 + "a</div><div>b")
+    assert a.inside == b.inside and a.above == b.above and a.inside >> html_blocks.place("word x") & 1
+
+
+def test_clashing_helper_names(spark):
+    """Columns that are named as helpers might be, in the pipeline's stages."""
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, text, 5, 6, "a", 7), (2, text, 5, 6, "b", 7), (2, text, 5, 6, "b", 7), (3, "alone among the other texts of this table", 5, 6, "c", 7), (None, text, 5, 6, "d", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _n int, _id int, _text string, _y int").withColumn("_times0", F.lit(1))
+    left = minhash.remove(docs)
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["_text"]) for r in left.collect()) == [(0, "d"), (1, "a"), (3, "c")]
+    held = docs.select(fm.held_out().alias("h"), "doc_id").where("doc_id is null").first()["h"]
+    assert held is True
+
+
 def test_html_tables(spark):
     schema = "page_id long, url string, html string, text string, n_chars string"
     assert html_extraction.extract(spark.createDataFrame([], schema)).count() == 0
