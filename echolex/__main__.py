@@ -11,9 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolex.functions import characters
 from echolex.functions.cost_model import DEFAULT, CostModel
-from echolex.operators import correction, gate, sweeps
+from echolex.operators import correction, gate, hallucination, lattice, rendering, sweeps
 from echolex.sources import glossaries, pairs
 
 
@@ -55,6 +54,9 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument("--gate")
         p.add_argument("--gate-threshold", type=float, default=0.5)
         p.add_argument("--max-span-tokens", type=int, default=8)
+        p.add_argument("--lexicon", help="words with parts of speech and costs for a reader, JSON lines of surface, readings, pos, pos2, cost, left, right")
+        p.add_argument("--reader", choices=sorted(lattice.READERS), default="characters", help="how texts become tokens")
+        p.add_argument("--json", action="store_true", help="JSON lines, else the text itself (fix) or HTML (explain)")
         p.add_argument("--keep-hallucinations", action="store_true")
     p = command("train-gate", "fit and calibrate the gate", trained=True)
     p.add_argument("--negative-weight", type=float, default=3.0)
@@ -64,13 +66,19 @@ def _parser() -> argparse.ArgumentParser:
     return top
 
 
-def _write(rows: DataFrame, path: str) -> None:
-    """JSON lines: to a folder, or for a few rows to standard output."""
+def _write(rows: DataFrame, path: str, column: str | None = None) -> None:
+    """JSON lines, or one column as text: to a folder, or for a few rows to standard output."""
     if path != "-":
-        rows.write.mode("overwrite").json(path)
+        (rows.write.mode("overwrite").json(path) if column is None else rows.select(column).write.mode("overwrite").text(path))
         return
-    for r in rows.toJSON().toLocalIterator():
-        print(r)
+    for r in rows.toJSON().toLocalIterator() if column is None else rows.select(column).toLocalIterator():
+        print(r if column is None else r[0] or "")
+
+
+def _tokens(spark: SparkSession, docs: DataFrame, a: argparse.Namespace, kanji: DataFrame) -> DataFrame:
+    schema = "surface string, readings array<string>, pos string, pos2 string, cost int, left int, right int"
+    lexicon = spark.read.schema(schema).json(a.lexicon) if a.lexicon else spark.createDataFrame([], schema)
+    return lattice.reader(a.reader)(docs, lexicon, kanji)
 
 
 def main(arguments: list[str] | None = None) -> int:
@@ -87,10 +95,15 @@ def main(arguments: list[str] | None = None) -> int:
     if a.command in ("fix", "explain"):
         config = correction.CorrectionConfig(tau=a.tau, gate=a.gate_threshold, most_tokens=a.max_span_tokens, remove_hallucinations=not a.keep_hallucinations, model=model)
         docs = _texts(spark, a.transcript)
+        if a.reader == "characters":  # no parts of speech
+            config = replace(config, has_pos=False, rendaku=True)
         if a.command == "fix":
-            _write(correction.correct_texts(docs, glossary, kanji, config, own), a.output)
+            if config.remove_hallucinations:
+                docs = hallucination.remove(docs, hallucination.find(docs, hallucination.FilterConfig(model=model)))
+            _write(correction.correct(docs, _tokens(spark, docs, a, kanji), glossary, config, own), a.output, None if a.json else "text")
         else:
-            _write(correction.explain(docs, characters.tokens(docs, kanji), glossary, replace(config, has_pos=False, rendaku=True), own), a.output)
+            found = correction.explain(docs, _tokens(spark, docs, a, kanji), glossary, config, own)
+            _write(found if a.json else rendering.evidence(found).orderBy("doc_id", F.desc("accepted"), "start", "end"), a.output, None if a.json else "html")
         return 0
     rows = pairs.read(spark, a.pairs).withColumnRenamed("id", "doc_id")
     terms = glossary.select(F.col("surface").alias("term"))

@@ -11,7 +11,7 @@ from echolex import catalog
 from echolex.functions import distance_batch, sounds
 from echolex.functions import sound_tables as S
 from echolex.functions.cost_model import DEFAULT, CostModel
-from echolex.operators import edits, hallucination, lookup, term_automaton
+from echolex.operators import edits, hallucination, lookup, rendering, term_automaton
 
 _read = catalog._read
 #: Another phonetic model: marks stay, other costs, distances by the mean length.
@@ -122,8 +122,19 @@ def span_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.classify_span_edits(rows).select("p_partkey", "outcome")
 
 
+def rendered_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations with two edits each, one of which goes over the other's place in every third, marked as HTML."""
+    turns = _read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    long = turns.where(F.length("text") >= 12)
+    one = long.select("doc_id", F.lit(1).alias("start"), F.lit(4).alias("end"), F.lit("<&'>").alias("replacement"))
+    at = F.when(F.col("doc_id.turn") % 3 == 0, 3).otherwise(6)
+    two = long.select("doc_id", at.alias("start"), (at + 2).alias("end"), F.lit(None).cast("string").alias("replacement"))
+    rows = rendering.diff(turns, one.union(two))
+    return rows.select("doc_id.conv_id", "doc_id.turn", F.length("html").cast("long").alias("chars"), F.md5("html").alias("digest"), "shown")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (topk_terms, phonemes_by_model, phonetic_alignment, term_counts, terms_in_segments, phrase_evidence, char_damage, char_damage_of_turns, span_outcomes)}
+    return {f.__name__: f for f in (topk_terms, phonemes_by_model, phonetic_alignment, term_counts, terms_in_segments, phrase_evidence, char_damage, char_damage_of_turns, span_outcomes, rendered_diffs)}
 
 
 def _swaps(model: CostModel) -> str:
@@ -184,6 +195,12 @@ steps AS (
     FROM steps s JOIN texts t ON s.k = t.k JOIN whole w ON s.k = w.k WHERE i > 0 OR j > 0)),
 pairs AS (SELECT k, out FROM steps WHERE i = 0 AND j = 0)"""
 
+    def escaped(x: str) -> str:
+        for character, name in rendering.ESCAPES:
+            x = f"replace({x}, '{character.replace(chr(39), chr(39) * 2)}', '{name}')"
+        return x
+
+    quoted = "'<&''>'"
     same = "list_transform(list_filter({0}, lambda p: p.same), lambda p: p.i)"
     third = "CASE p_partkey % 3 WHEN 0 THEN substr(p_name, 2, 2) WHEN 1 THEN substr(p_brand, 1, 2) ELSE 'zz' END"
     return {
@@ -191,6 +208,12 @@ pairs AS (SELECT k, out FROM steps WHERE i = 0 AND j = 0)"""
 o AS (SELECT x.k, {same.format('x.out')} AS b, {same.format('y.out')} AS c FROM pairs x JOIN pairs y ON x.k[-1] = 'b' AND y.k = x.k[:-2] || 'c'),
 s AS (SELECT sum(len(b)) AS n, sum(len(list_filter(b, lambda v: NOT list_contains(c, v)))) AS x, sum(len(list_filter(c, lambda v: NOT list_contains(b, v)))) AS f FROM o)
 SELECT CAST(n AS BIGINT) AS correct_before, CAST(x AS BIGINT) AS broken, CAST(f AS BIGINT) AS fixed, CASE WHEN n = 0 THEN 0 ELSE x / n END AS damage_rate FROM s""",
+        "rendered_diffs": f"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS x FROM conversations),
+p AS (SELECT *, length(x) >= 12 AS cut, turn % 3 = 0 AS over FROM t),
+h AS (SELECT *, CASE WHEN NOT cut THEN {escaped('x')} WHEN over THEN {escaped('x[1:1]')} || '<del>' || {escaped('x[2:4]')} || '</del><ins>' || {escaped(quoted)} || '</ins>' || {escaped('x[5:]')}
+  ELSE {escaped('x[1:1]')} || '<del>' || {escaped('x[2:4]')} || '</del><ins>' || {escaped(quoted)} || '</ins>' || {escaped('x[5:6]')} || '<del>' || {escaped('x[7:8]')} || '</del>' || {escaped('x[9:]')} END AS y FROM p),
+r AS (SELECT *, replace(y, chr(10), '<br>') AS html FROM h)
+SELECT conv_id, turn, length(html) AS chars, md5(html) AS digest, CAST(CASE WHEN NOT cut THEN 0 WHEN over THEN 1 ELSE 2 END AS BIGINT) AS shown FROM r""",
         "span_outcomes": f"""WITH RECURSIVE {diagonals("SELECT p_partkey AS k, substr(p_name, 1, 3) || p_type AS a, p_name AS b FROM part")},
 r AS (SELECT p_partkey, p_name AS ref, substr(p_name, 1, 3) || p_type AS base, {third} AS new, list_transform(list_filter(out, lambda p: p.i >= 1 AND p.i < 3), lambda p: p.j) AS js FROM part JOIN pairs ON k = p_partkey),
 q AS (SELECT *, base[2:3] AS old, CASE WHEN len(js) > 0 THEN ref[list_min(js) + 1:list_max(js) + 1] END AS part, base[1:1] || new || base[4:] AS after FROM r),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echolex import catalog
@@ -209,13 +209,25 @@ def label_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pathology_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which turns of conversations each probe, label and condition is dealt to, turn by turn, and how many these are."""
     probes = synthesis.silence_probes(spark).select(F.concat_ws(":", "kind", F.col("seconds").cast("string"), F.col("snr_db").cast("string")).alias("name"), F.lit("probe").alias("table"))
     labels = synthesis.pathologies(spark).select(F.col("label").alias("name"), F.lit("label").alias("table"))
-    return probes.union(labels).union(synthesis.conditions(spark).select(F.col("label"), F.lit("condition")))
+    names = probes.union(labels).union(synthesis.conditions(spark).select(F.col("label"), F.lit("condition")))
+    w = Window.partitionBy("table")  # some twenty names each
+    names = names.withColumn("place", F.row_number().over(w.orderBy("name")) - 1).withColumn("n", F.count("*").over(w))
+    sizes = names.select("table", "n").distinct()
+    turns = _read(spark, sf_dir, "conversations").select((F.col("conv_id") * 7 + F.col("turn")).alias("k"), F.explode(F.array(*map(F.lit, ("probe", "label", "condition")))).alias("table"))
+    dealt = turns.join(F.broadcast(sizes), "table").groupBy("table", (F.col("k") % F.col("n")).alias("place")).agg(F.count("*").alias("turns"))
+    return names.join(dealt, ["table", "place"], "left").select("name", "table", F.coalesce("turns", F.lit(0)).cast("long").alias("turns"))
 
 
 def cost_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(S.cost_model(), "cost double, a string, b string")
+    """Every confusion with its cost, and how often the words of the benchmark have either sound."""
+    rows = spark.createDataFrame(S.cost_model(), "cost double, a string, b string")
+    heard = catalog.words(spark, sf_dir).select(F.explode("phonemes").alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+    for c in ("a", "b"):
+        rows = rows.join(heard.select(F.col("p").alias(c), F.col("n").alias(f"n_{c}")), c, "left")
+    return rows.select("cost", "a", "b", *(F.coalesce(f"n_{c}", F.lit(0)).cast("long").alias(f"n_{c}") for c in ("a", "b")))
 
 
 def exact_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,8 +361,12 @@ SELECT id, replace(replace(replace(replace(t, '{{T0}}', a.surface), '{{T1}}', b.
 FROM r JOIN names a ON a.place = p0 JOIN names b ON b.place = p1""",
         "pathology_labels": f"WITH {labelled} SELECT conv_id, turn, array_to_string(labels, '|') AS labels FROM found",
         "label_histogram": f"WITH {labelled}, e AS (SELECT unnest(labels) AS label FROM found) SELECT label, count(*) AS pairs FROM e GROUP BY label",
-        "pathology_tables": f"SELECT * FROM (VALUES {', '.join(f'({chr(39)}{a}{chr(39)}, {chr(39)}{b}{chr(39)})' for a, b in rows)}) AS v(name, \"table\")",
-        "cost_model": f"SELECT * FROM (VALUES {', '.join(f'({c!r}::DOUBLE, {chr(39)}{a}{chr(39)}, {chr(39)}{b}{chr(39)})' for (a, b), c in S.confusions().items())}) AS v(cost, a, b)",
+        "pathology_tables": f"""WITH v AS (SELECT * FROM (VALUES {', '.join(f'({chr(39)}{a}{chr(39)}, {chr(39)}{b}{chr(39)})' for a, b in rows)}) AS v(name, t)),
+n AS (SELECT name, t, row_number() OVER (PARTITION BY t ORDER BY name) - 1 AS place, count(*) OVER (PARTITION BY t) AS n FROM v)
+SELECT name, t AS "table", (SELECT count(*) FROM conversations WHERE (conv_id * 7 + turn) % n.n = place) AS turns FROM n""",
+        "cost_model": f"""WITH {words}, v AS (SELECT * FROM (VALUES {', '.join(f'({c!r}::DOUBLE, {chr(39)}{a}{chr(39)}, {chr(39)}{b}{chr(39)})' for (a, b), c in S.confusions().items())}) AS v(cost, a, b)),
+p AS (SELECT unnest(ph) AS p FROM words), n AS (SELECT p, count(*) AS n FROM p GROUP BY p)
+SELECT cost, a, b, coalesce((SELECT n FROM n WHERE p = a), 0) AS n_a, coalesce((SELECT n FROM n WHERE p = b), 0) AS n_b FROM v""",
         "exact_removal": f"""WITH {transcripts}, k AS (SELECT *, {ph}[doc_id % 20 + 1] AS p FROM t)
 SELECT doc_id, CASE WHEN p NOT IN ({', '.join(repr(x) for x in hallucination.ORDINARY)}) OR doc_id % 3 = 0 THEN trim(p_name || '。') ELSE text END AS text FROM k""",
     }

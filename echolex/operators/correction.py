@@ -100,7 +100,7 @@ def reading_variants(run: Column, most: int) -> Column:
     return F.slice(F.filter(F.transform(done, lambda x: x["text"]), lambda t: t != ""), 1, most)
 
 
-def _asked(own: DataFrame, config: CorrectionConfig) -> DataFrame:
+def asked_variants(own: DataFrame, config: CorrectionConfig) -> DataFrame:
     """The variants of spans with phonemes, bounds and the key of their look-up."""
     asked = own.select("doc_id", "start", "end", "span", "common", F.posexplode("variants").alias("variant", "reading"))
     # a generator, so that what is made for the filter is not made again
@@ -112,10 +112,15 @@ def _asked(own: DataFrame, config: CorrectionConfig) -> DataFrame:
     return asked.withColumn("q_key", F.concat_ws("|", F.array_join("phonemes", " "), "tau"))
 
 
+def candidate_spans(docs: DataFrame, tokens: DataFrame, config: CorrectionConfig) -> DataFrame:
+    """Spans that are not all hiragana."""
+    return spans(docs, tokens, config).where(~F.rlike("span", F.lit(r"^[ぁ-ゖゝゞ]+$")))
+
+
 def _candidate_spans(docs: DataFrame, tokens: DataFrame, glossary: DataFrame, config: CorrectionConfig) -> DataFrame:
     """Spans that are neither a glossary surface nor all hiragana."""
     surfaces = glossary.select(F.col("surface").alias("span")).distinct()
-    return spans(docs, tokens, config).where(~F.rlike("span", F.lit(r"^[ぁ-ゖゝゞ]+$"))).join(surfaces, "span", "left_anti")
+    return candidate_spans(docs, tokens, config).join(surfaces, "span", "left_anti")
 
 
 def _features() -> dict[str, Column]:
@@ -143,11 +148,20 @@ def proposals(docs: DataFrame, tokens: DataFrame, glossary: DataFrame, config: C
     candidate against the span in its context (feature lm_delta, from -5 to 5); it adds none."""
     index = lookup.readings(glossary, config.model)
     own = _candidate_spans(docs, tokens, glossary, config)
-    asked = _asked(own, config)
+    asked = asked_variants(own, config)
+    return proposed(docs, own, asked, looked_up(asked, index, config), gate, rerank)
+
+
+def looked_up(asked: DataFrame, index: DataFrame, config: CorrectionConfig) -> DataFrame:
+    """The terms that the variants may become, by ``q_key``."""
     distinct = asked.select("q_key", "phonemes", "tau", "max_raw").dropDuplicates(["q_key"])
     if config.screen:
         distinct = lookup.screen(distinct, index, model=config.model)
-    found = lookup.top_k(distinct, index, lookup.QueryBounds(config.tau, config.top_k, None, config.max_mora_ratio), exhaustive=config.exact, model=config.model)
+    return lookup.top_k(distinct, index, lookup.QueryBounds(config.tau, config.top_k, None, config.max_mora_ratio), exhaustive=config.exact, model=config.model)
+
+
+def proposed(docs: DataFrame, own: DataFrame, asked: DataFrame, found: DataFrame, gate: Gate, rerank: Rerank | None = None) -> DataFrame:
+    """``proposals`` from spans, their variants and the terms found for these."""
     met = asked.join(found, "q_key")
     span = ["doc_id", "start", "end"]
     inside = F.contains("span", "surface") | F.contains("surface", "span")
@@ -194,7 +208,7 @@ def span_counts(docs: DataFrame, tokens: DataFrame, glossary: DataFrame, config:
     """doc_id, enumerated, queried, screened_out: a text's spans, those of which a reading passed the screen, and the rest of
     those with readings."""
     every = spans(docs, tokens, config)
-    asked = _asked(_candidate_spans(docs, tokens, glossary, config), config)
+    asked = asked_variants(_candidate_spans(docs, tokens, glossary, config), config)
     passed = lookup.screen(asked.select("q_key", "phonemes", "tau", "max_raw").dropDuplicates(["q_key"]), lookup.readings(glossary, config.model), model=config.model).select("q_key", F.lit(1).alias("passed"))
     met = asked.join(passed, "q_key", "left").groupBy("doc_id", "start", "end").agg(F.max("passed").alias("passed")).groupBy("doc_id")
     met = met.agg(F.count("passed").alias("queried"), F.count_if(F.col("passed").isNull()).alias("screened_out"))
@@ -229,7 +243,7 @@ def candidate_set(asked: DataFrame, glossary: DataFrame, kanji: DataFrame, confi
     runs = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(each)).alias("run")).where(~F.exists("run", lambda t: t["kind"].isin("punct", "space")))
     own = runs.select("doc_id", _all_variants(F.col("run"), _without_parts_of_speech(config)).alias("variants"))
     own = own.select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("span"), F.lit(False).alias("common"), "variants")
-    rows = _asked(own, replace(config, least_morae=0))
+    rows = asked_variants(own, replace(config, least_morae=0))
     found = lookup.top_k(rows.select("q_key", "phonemes", "tau", "max_raw").dropDuplicates(["q_key"]), lookup.readings(glossary, config.model), lookup.QueryBounds(config.tau, config.top_k, None, config.max_mora_ratio), exhaustive=config.exact, model=config.model)
     met = rows.join(found, "q_key").groupBy("doc_id", "surface").agg(F.min_by(F.struct("entry_id", "raw", "nd"), F.struct("nd", "variant")).alias("hit"))
     return met.select("doc_id", "surface", "hit.entry_id", "hit.raw", "hit.nd")

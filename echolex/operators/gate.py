@@ -1,19 +1,22 @@
 """The trained gate: a calibrated logistic classifier over twenty features of a proposal.
 
-Scoring is a Column expression. Training collects the features of at most ``max_rows`` labelled proposals (those with the
-smallest hash of their key), because twenty weights need no more; the bound is a parameter.
+Scoring is a Column expression. ``fit`` collects the features of at most ``max_rows`` labelled proposals (those with the
+smallest hash of their key), because twenty weights need no more; the bound is a parameter. ``fit_all`` descends over all of them.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echolex.operators import measures
+from echolex.sources.checkpoints import written
 
 # The features, in the order in which a gate's weights stand.
 FEATURES = (
@@ -75,19 +78,21 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return np.exp(-np.logaddexp(0, -z))
 
 
-def fit(decisions: DataFrame, key: list[str], config: FitConfig = FitConfig(), gate: Gate = Gate()) -> Gate:
+def fit(decisions: DataFrame, key: list[str], config: FitConfig = FitConfig(), gate: Gate = Gate(), held: Column | None = None) -> Gate:
     """A gate trained on rows with ``features`` (a struct) and ``label`` (1: repair), in order of ``key``.
 
-    Gradient descent on rows weighted by class, then the scores' calibration on rows held out (from eight on)."""
+    Gradient descent on rows weighted by class, then the scores' calibration on rows held out (from eight on): those that ``held`` says, else
+    drawn. At most ``max_rows`` rows come to the driver; ``fit_all`` takes all."""
     own = [F.coalesce(F.col(f"features.{n}").cast("double"), F.lit(0.0)).alias(n) for n in FEATURES]
-    chosen = decisions.select(*key, *own, F.col("label").cast("double").alias("label")).orderBy(F.xxhash64(*key), *key).limit(config.max_rows)
+    kept = (F.lit(False) if held is None else held).alias("_held")
+    chosen = decisions.select(*key, *own, F.col("label").cast("double").alias("label"), kept).orderBy(F.xxhash64(*key), *key).limit(config.max_rows)
     table = chosen.toPandas().sort_values(key, kind="stable")
     if not len(table):
         raise ValueError("no decisions to train on")
     x, y = table[FEATURES].to_numpy(np.float64), table["label"].to_numpy()
     order = np.random.default_rng(config.seed).permutation(len(y))
     aside = max(1, int(len(y) * config.held_out)) if len(y) > 8 else 0
-    held, used = order[:aside], order[aside:]
+    held, used = (order[:aside], order[aside:]) if held is None else (np.flatnonzero(table["_held"]), np.flatnonzero(~table["_held"]))
     mean, scale = x[used].mean(0), x[used].std(0)
     scale[scale < 1e-8] = 1.0
     z, t = (x[used] - mean) / scale, y[used]
@@ -109,6 +114,97 @@ def fit(decisions: DataFrame, key: list[str], config: FitConfig = FitConfig(), g
     return replace(gate, weights=tuple(w.tolist()), bias=float(b), platt=(float(a), float(c)), mean=tuple(mean.tolist()), scale=tuple(scale.tolist()), metadata=gate.metadata | {"training": report})
 
 
+WIDTH = len(FEATURES)
+
+
+def _blocks(decisions: DataFrame, key: list[str], held: Column) -> DataFrame:
+    """Features, labels and whether rows are held out, a row for each batch of decisions, written once: each round reads them."""
+    own = [F.coalesce(F.col(f"features.{n}").cast("double"), F.lit(0.0)).alias(n) for n in FEATURES]
+    rows = decisions.select(*own, F.col("label").cast("double").alias("label"), held.cast("double").alias("held"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                table = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+                yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], ["table"])
+
+    return written(rows.mapInArrow(pack, "table binary"))
+
+
+def _summed(blocks: DataFrame, of: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all rows of ``of(features, labels, held)``, a vector: each task's own first, then those of tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                table = np.frombuffer(value, np.float64).reshape(-1, WIDTH + 2)
+                own = of(table[:, :WIDTH], table[:, WIDTH], table[:, WIDTH + 1] > 0)
+                total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "v"])
+
+    rows = blocks.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    return np.array([r["v"] for r in sorted(rows, key=lambda r: r["i"])])
+
+
+def fit_all(decisions: DataFrame, key: list[str], config: FitConfig = FitConfig(), gate: Gate = Gate(), held: Column | None = None) -> Gate:
+    """As ``fit``, on all rows, however many: each round is a Spark job that adds up the tasks' gradients, and only sums of as many
+    numbers as there are features come to the driver.
+
+    ``held``: which rows are kept for the calibration; as a rule ``held_out`` of them by a hash of their key. The weights are those of
+    descending on the driver with the same rows held out, but for the order of sums."""
+    if held is None:
+        held = F.pmod(F.xxhash64(*key, F.lit(config.seed)), F.lit(1_000_000)) < int(config.held_out * 1_000_000)
+    blocks = _blocks(decisions, key, held)
+    first = _summed(blocks, lambda x, y, h: np.concatenate([[len(y), h.sum(), y.sum()], x[~h].sum(0), [(y[~h] > 0.5).sum()]]))
+    if not len(first):
+        raise ValueError("no decisions to train on")
+    n, aside, positive = first[0], first[1], first[2]
+    used = n - aside
+    mean = first[3 : 3 + WIDTH] / used
+    scale = np.sqrt(_summed(blocks, lambda x, y, h: ((x[~h] - mean) ** 2).sum(0)) / used)
+    scale[scale < 1e-8] = 1.0
+    heavy = config.negative_weight
+    unit = (first[-1] + heavy * (used - first[-1])) / used  # the mean weight
+    w, b = np.zeros(WIDTH), 0.0
+
+    def gradient(w: np.ndarray, b: float) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        def of(x: np.ndarray, y: np.ndarray, h: np.ndarray) -> np.ndarray:
+            z, t = (x[~h] - mean) / scale, y[~h]
+            wrong = (_sigmoid(z @ w + b) - t) * np.where(t > 0.5, 1.0, heavy) / unit
+            return np.concatenate([z.T @ wrong, [wrong.sum()]])
+
+        return of
+
+    for epoch in range(config.epochs):
+        total = _summed(blocks, gradient(w, b))
+        step = config.rate / (1 + 0.01 * epoch)
+        w, b = w - step * (total[:-1] + config.l2 * w) / used, b - step * total[-1] / used
+    a, c = 1.0, 0.0
+
+    def calibration(a: float, c: float) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        def of(x: np.ndarray, y: np.ndarray, h: np.ndarray) -> np.ndarray:
+            s = (x[h] - mean) / scale @ w + b
+            wrong = _sigmoid(a * s + c) - y[h]
+            return np.array([(wrong * s).sum(), wrong.sum()])
+
+        return of
+
+    if aside >= 8:
+        for _ in range(config.calibration_epochs):
+            total = _summed(blocks, calibration(a, c)) / aside
+            a, c = a - config.calibration_rate * float(total[0]), c - config.calibration_rate * float(total[1])
+
+    def measured(x: np.ndarray, y: np.ndarray, h: np.ndarray) -> np.ndarray:
+        p = _sigmoid(a * ((x - mean) / scale @ w + b) + c)
+        return np.array([((p >= 0.5) == (y > 0.5)).sum(), -(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)).sum()])
+
+    right, loss = _summed(blocks, measured)
+    report = {"n_train": int(used), "n_positive": int(positive), "accuracy": float(right / n), "log_loss": float(loss / n)}
+    return replace(gate, weights=tuple(w.tolist()), bias=float(b), platt=(float(a), float(c)), mean=tuple(mean.tolist()), scale=tuple(scale.tolist()), metadata=gate.metadata | {"training": report})
+
+
 def sweep(scored: DataFrame, steps: int = 100) -> DataFrame:
     """A row for each threshold 0..1: accepted, repairs, damages, neutrals, and the rates of correction (of all repairs), damage
     (of all spans that were right) and damaging edits, for rows (probability, outcome: repair, damage, neutral or no-op).

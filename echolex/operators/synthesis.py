@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from echolex.operators import hallucination
 
-# What may go wrong in a transcript, and how it comes about.
+# What may go wrong in a transcript (labels and their names); with what it is like.
 PATHOLOGIES = [
-    ("term-phonetic", "固有名詞の音韻的置換", "glossary term rendered as a homophone or near-homophone"),
-    ("voicing", "濁音・清音の取り違え", "rendaku / devoicing slip inside a term"),
-    ("long-vowel", "長音の脱落・付加", "chouon added or dropped"),
-    ("geminate", "促音の脱落・付加", "sokuon added or dropped"),
-    ("moraic-nasal", "撥音の脱落", "moraic nasal swallowed, typically in far-field audio"),
-    ("particle-drop", "助詞の欠落", "unstressed particle lost"),
-    ("word-drop", "語の脱落", "short span deleted entirely"),
-    ("number-unit", "数字・単位の誤り", "digit or counter substituted"),
-    ("hallucination", "定型の幻聴", "canned phrase emitted over silence or noise-only audio"),
+    ("term-phonetic", "固有名詞の音韻的置換", "a listed name comes out as another word of the same or a close sound"),
+    ("voicing", "濁音・清音の取り違え", "a consonant inside a name gains or loses its voice"),
+    ("long-vowel", "長音の脱落・付加", "a vowel is held too long, or cut short"),
+    ("geminate", "促音の脱落・付加", "a doubled consonant is heard as single, or a single one as doubled"),
+    ("moraic-nasal", "撥音の脱落", "the syllabic n is not heard"),
+    ("particle-drop", "助詞の欠落", "a weak particle is missing"),
+    ("word-drop", "語の脱落", "a few words are missing"),
+    ("number-unit", "数字・単位の誤り", "another number or unit stands there"),
+    ("hallucination", "定型の幻聴", "a stock phrase that nobody said, where there was silence or noise"),
 ]
 # Acoustic conditions (speed, signal to noise in dB, room, band, name).
 CONDITIONS = [
