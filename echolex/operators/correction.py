@@ -162,7 +162,7 @@ def looked_up(asked: DataFrame, index: DataFrame, config: CorrectionConfig) -> D
 
 def proposed(docs: DataFrame, own: DataFrame, asked: DataFrame, found: DataFrame, gate: Gate, rerank: Rerank | None = None) -> DataFrame:
     """``proposals`` from spans, their variants and the terms found for these."""
-    met = asked.join(found, "q_key")
+    met = written(asked.join(found, "q_key"))  # the matches alone; read twice below
     span = ["doc_id", "start", "end"]
     inside = F.contains("span", "surface") | F.contains("surface", "span")
     hit = F.struct("entry_id", "raw", "nd", "tau", "max_raw", "phonemes", "morae", "t_phonemes", "weight")

@@ -164,12 +164,15 @@ class Trie:
         ``asked``: phonemes, indel, morae, tau, max_raw (null: none). A bound that many terms meet is widened step by step:
         a query that has its ``top_k`` within a part of the bound needs no more."""
         rest, found = np.arange(asked.num_rows), []
+        _, size = numbered(asked.column("phonemes"))
+        whole, most = asked.column("tau").to_numpy() * size, asked.column("max_raw").to_numpy(zero_copy_only=False).astype(np.float64)
         for share in STEPS:
             short = []
             for a in range(0, len(rest), TOGETHER):
                 at = rest[a : a + TOGETHER]
                 who, place, slot, raw, nd = self._within(asked.take(pa.array(at)), share, top_k, ratio)
-                enough = np.bincount(who, minlength=len(at)) >= top_k if share < 1 else np.ones(len(at), bool)
+                # where the bound on the cost itself is the tighter one already, a wider share finds no more
+                enough = (np.bincount(who, minlength=len(at)) >= top_k) | (share * whole[at] >= most[at]) | (share == 1)
                 keep = enough[who]
                 found.append((at[who[keep]], place[keep], slot[keep], raw[keep], nd[keep]))
                 short.append(at[~enough])
