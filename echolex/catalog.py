@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from echolex.functions import sound_tables as S
 from echolex.functions import sounds
+from echolex.functions.columns import once
 from echolex.functions.characters import CLASSES
 from echolex.functions.cost_model import DEFAULT, CostModel
 from echolex.operators import correction, edits, glossary, hallucination, lookup, measures
@@ -30,7 +31,7 @@ def as_kana(text: str) -> Column:
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct ASCII words of the benchmark texts, with phonemes."""
     found = _read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
-    return found.withColumn("phonemes", sounds.phonemes(as_kana("word")))
+    return once(found, phonemes=sounds.phonemes(as_kana("word")))
 
 
 def names_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:

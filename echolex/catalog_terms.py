@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from echolex import catalog
 from echolex.functions import distance_batch, sounds
 from echolex.functions import sound_tables as S
+from echolex.functions.columns import once
 from echolex.functions.cost_model import DEFAULT, CostModel
 from echolex.operators import edits, hallucination, lookup, rendering, term_automaton
 
@@ -30,7 +31,7 @@ def topk_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of all documents' words does each part name sound like? The index holds tens of thousands of readings."""
     terms = _document_words(spark, sf_dir).select(F.col("word").alias("entry_id"), F.col("word").alias("surface"), F.length("word").cast("double").alias("weight"), F.array(catalog.as_kana("word")).alias("readings"))
     names = _read(spark, sf_dir, "part").select("p_name").distinct()
-    asked = names.select(F.col("p_name").alias("q_key"), sounds.phonemes(catalog.as_kana("p_name")).alias("phonemes"))
+    asked = once(names, phonemes=sounds.phonemes(catalog.as_kana("p_name"))).withColumnRenamed("p_name", "q_key")
     found = lookup.top_k(asked, lookup.readings(terms), lookup.QueryBounds(tau=TAU))
     return found.select(F.col("q_key").alias("name"), "rank", F.col("surface").alias("word"), F.round("raw", 6).alias("raw"), F.round("nd", 6).alias("nd"))
 

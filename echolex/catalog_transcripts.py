@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from echolex import catalog
 from echolex.functions import characters, sounds
 from echolex.functions import sound_tables as S
+from echolex.functions.columns import once
 from echolex.operators import correction, glossary, hallucination, lookup, measures, prompts, synthesis
 from echolex.operators import gate as gates
 from echolex.sources import glossaries, pairs
@@ -102,7 +103,7 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _asked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _read(spark, sf_dir, "part").select("p_name").distinct()
-    return names.select(F.col("p_name").alias("q_key"), sounds.phonemes(catalog.as_kana("p_name")).alias("phonemes"), F.lit(0.28).alias("tau"))
+    return once(names, phonemes=sounds.phonemes(catalog.as_kana("p_name"))).select(F.col("p_name").alias("q_key"), "phonemes", F.lit(0.28).alias("tau"))
 
 
 def screen_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,13 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with ``columns``, each computed once a row. A generator stands between: projections are not merged over it, and
+    filters on these columns are not moved before what ``rows`` does, where they would be computed for many more rows."""
+    kept = [c for c in rows.columns if c not in columns]
+    return rows.select(*kept, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def offsets(lengths: Column) -> Column:
     """Of an array of lengths: where each begins, the first at 0. Linear in the array, within its row; null of null."""
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from echolex.functions import distance_batch, sounds
-from echolex.functions.columns import nullable
+from echolex.functions.columns import nullable, once
 from echolex.functions.cost_model import DEFAULT, CostModel
 from echolex.operators.phoneme_trie import Trie
 
@@ -154,7 +154,7 @@ def top_k(queries: DataFrame, index: DataFrame, bounds: QueryBounds = QueryBound
     Equal phonemes are looked up once. All terms within the bounds are found, whatever the index's size, unless ``exhaustive``
     is false: then queries of three phonemes and more meet only the best by shared grams."""
     own = lambda name, value: F.col(name) if name in queries.columns else F.lit(value).cast("double").alias(name)
-    keyed = queries.select("q_key", F.col("phonemes").alias("q_phonemes"), own("tau", bounds.tau), own("max_raw", bounds.max_raw))
+    keyed = once(queries, q_phonemes=F.col("phonemes")).select("q_key", "q_phonemes", own("tau", bounds.tau), own("max_raw", bounds.max_raw))
     key = F.concat_ws("|", F.array_join("q_phonemes", " "), F.col("tau").cast("string"), F.col("max_raw").cast("string"))
     distinct = keyed.select("q_phonemes", "tau", "max_raw").distinct().withColumn("q_key", key).where(F.size("q_phonemes") > 0)
     distinct = distinct.withColumn("q_morae", sounds.mora_count("q_phonemes")).withColumn("q_indel", sounds.indel_costs("q_phonemes", model))
@@ -186,6 +186,7 @@ def screen(queries: DataFrame, index: DataFrame, least_share: float = 0.34, mode
     """Those of the queries (q_key, phonemes, tau, ...) that may match anything: their length is within reach of the
     index's, and of their 2-grams, repeated ones counted, at least that share stands in the index (short ones pass)."""
     own = sounds.phoneme_ngrams("phonemes", 2)
+    queries = once(queries, phonemes=F.col("phonemes"))
     # one row, whose grams are no more than pairs of phonemes
     held = index.select(F.size("phonemes").alias("n"), F.explode(own).alias("gram"))
     known = held.agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.collect_set("gram").alias("grams")).first()

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from echolex.functions import characters, distance_batch, sound_tables, sounds
+from echolex.functions.columns import once
 from echolex.operators import correction, gate, glossary, lookup, measures, prompts, sweeps, synthesis
 from echolex.sources import glossaries, pairs
 from echolex.streaming import correct_stream
@@ -287,3 +288,12 @@ def test_stream_is_the_batch(spark, tmp_path, kanji, terms):
     correct_stream(stream, lambda b: correction.correct_texts(b, terms, kanji), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     got = {r["doc_id"]: r["text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: "新藤さんです。", 2: "何も。"}
+
+
+def test_what_a_filter_asks_for_is_computed_once(spark):
+    names = spark.range(40).select((F.col("id") % 4).alias("n")).distinct()
+    rows = once(names, a=F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: i * 7)).where(F.size("a") > 1)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(") == 1, plan
+    assert plan.index("transform(") < plan.index("Aggregate"), plan
+    assert sorted(r["a"] for r in rows.collect()) == [[7 * i for i in range(n + 1)] for n in (1, 2, 3)]
