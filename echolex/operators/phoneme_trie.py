@@ -23,6 +23,7 @@ MARGIN = 1e-3
 PAIRS = 1 << 16  # open pairs of a step
 TOGETHER = 64  # queries that go down together
 STEPS = (0.3, 0.6, 1.0)  # of the bound, one after another
+SLACK = 1e-9  # beyond a part of the bound, relative: what is as near as its last one, but for rounding, is met too
 NONE = np.iinfo(np.int64).max
 
 
@@ -165,14 +166,15 @@ class Trie:
         a query that has its ``top_k`` within a part of the bound needs no more."""
         rest, found = np.arange(asked.num_rows), []
         _, size = numbered(asked.column("phonemes"))
-        whole, most = asked.column("tau").to_numpy() * size, asked.column("max_raw").to_numpy(zero_copy_only=False).astype(np.float64)
+        tau = asked.column("tau").to_numpy()
+        whole, most = tau * size, asked.column("max_raw").to_numpy(zero_copy_only=False).astype(np.float64)
         for share in STEPS:
             short = []
             for a in range(0, len(rest), TOGETHER):
                 at = rest[a : a + TOGETHER]
                 who, place, slot, raw, nd = self._within(asked.take(pa.array(at)), share, top_k, ratio)
                 # where the bound on the cost itself is the tighter one already, a wider share finds no more
-                enough = (np.bincount(who, minlength=len(at)) >= top_k) | (share * whole[at] >= most[at]) | (share == 1)
+                enough = (np.bincount(who[nd <= share * tau[at[who]]], minlength=len(at)) >= top_k) | (share * whole[at] >= most[at]) | (share == 1)
                 keep = enough[who]
                 found.append((at[who[keep]], place[keep], slot[keep], raw[keep], nd[keep]))
                 short.append(at[~enough])
@@ -185,8 +187,9 @@ class Trie:
         (phonemes, size), (indel, _) = numbered(asked.column("phonemes")), D._padded(asked.column("indel"), False)
         morae = asked.column("morae").to_numpy().astype(np.int64)
         tau, most = (asked.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("tau", "max_raw"))
-        tau, most = tau * share, np.where(np.isnan(most), np.inf, most)
-        who, slot = self.walk(phonemes, size, indel, morae, tau, most, ratio)
+        most = np.where(np.isnan(most), np.inf, most)
+        part = tau if share == 1 else tau * share * (1 + SLACK)
+        who, slot = self.walk(phonemes, size, indel, morae, part, most, ratio)
         theirs = self.readings.take(pa.array(slot))
         _, length = numbered(theirs.column("phonemes"))
         if ratio is not None:
@@ -197,7 +200,7 @@ class Trie:
         norm = np.maximum(1, np.maximum(size[who], length))
         column = lambda t, c: t.column(c).combine_chunks()
         mine = asked.take(pa.array(who))
-        budget = pa.array(np.minimum(tau[who] * norm, most[who]), pa.float64())
+        budget = pa.array(np.minimum(np.minimum(part, tau)[who] * norm, most[who]), pa.float64())
         raw = D.distances(column(mine, "phonemes"), column(theirs, "phonemes"), column(mine, "indel"), column(theirs, "indel"), budget, self.model).to_numpy(zero_copy_only=False)
         good = ~np.isnan(raw)
         who, slot, raw, nd = who[good], slot[good], raw[good], raw[good] / norm[good]

@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from echolex import catalog
 from echolex.functions import distance_batch, sounds
 from echolex.functions import sound_tables as S
 from echolex.functions.cost_model import DEFAULT, CostModel
@@ -171,3 +172,12 @@ def test_correction_takes_a_model(spark):
     fixed = lambda model: correction.correct_texts(docs, glossary, kanji, correction.CorrectionConfig(gate=0.0, model=model)).first()["text"]
     assert fixed(DEFAULT) == "新語です"
     assert fixed(CostModel(expand_long_vowel_mark=False, indel_R=3.0)) == "カノートです"
+
+
+def test_terms_as_near_but_for_rounding_are_ranked_by_weight(spark):
+    # both at 0.36, a step of the bound 0.6: 2.52 / 7, and 3.6 / 10, which is over 0.36 * 10 in doubles
+    rows = [(1, "new gear", 1.0), (2, "cold ring", 2.0)]
+    terms = spark.createDataFrame(rows, "entry_id long, surface string, weight double").withColumn("readings", F.array(catalog.as_kana("surface")))
+    asked = spark.createDataFrame([("erheing",)], "q_key string").withColumn("phonemes", sounds.phonemes(catalog.as_kana("q_key")))
+    best = lookup.top_k(asked, lookup.readings(terms), lookup.QueryBounds(tau=0.6, top_k=1)).collect()
+    assert [(r["surface"], r["nd"]) for r in best] == [("cold ring", 0.36)]
