@@ -94,7 +94,8 @@ def tokens(docs: DataFrame, kanji: DataFrame) -> DataFrame:
     found = found.select("doc_id", F.posexplode(F.arrays_zip("t", "start")).alias("tok", "x")).select("doc_id", "tok", "x.t.surface", "x.t.kind", "x.start")
     found = found.withColumn("end", F.col("start") + F.length("surface"))
     table = kanji.select(F.col("kanji").alias("_k"), F.col("readings").alias("_r"))
-    found = found.join(table, (F.col("kind") == "kanji") & (F.col("surface") == F.col("_k")), "left")
+    # no more rows than there are kanji: a bounded broadcast, where a join by surface brings each blank to one task
+    found = found.join(F.broadcast(table.where(F.rlike("_k", F.lit(f"^[{CLASSES['kanji']}]$")))), (F.col("kind") == "kanji") & (F.col("surface") == F.col("_k")), "left")
     one = F.when(F.col("kind").isin("hiragana", "katakana"), F.col("surface"))
     one = one.when(F.col("kind") == "digit", _spoken(F.col("surface"), S.DIGIT_NAMES, "0")).when(F.col("kind") == "latin", _spoken(F.col("surface"), S.LETTER_NAMES, "a"))
     readings = F.coalesce(F.when(F.col("kind") == "kanji", F.col("_r")).when(one.isNotNull(), F.array(one)), F.array().cast("array<string>"))

@@ -297,3 +297,10 @@ def test_what_a_filter_asks_for_is_computed_once(spark):
     assert plan.count("transform(") == 1, plan
     assert plan.index("transform(") < plan.index("Aggregate"), plan
     assert sorted(r["a"] for r in rows.collect()) == [[7 * i for i in range(n + 1)] for n in (1, 2, 3)]
+
+
+def test_no_token_is_shuffled_to_meet_its_reading(spark, kanji):
+    rows = characters.tokens(spark.createDataFrame([(1, "a b 山 c 12")], "doc_id long, text string"), kanji)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan, plan
+    assert [r["surface"] for r in rows.orderBy("tok").collect()] == ["a", " ", "b", " ", "山", " ", "c", " ", "12"]
