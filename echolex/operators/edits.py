@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from echolex.operators.groups import in_batches
+
 DIAGONAL = T.ArrayType(T.StructType().add("i", "integer").add("j", "integer").add("same", "boolean"))
 
 
@@ -34,14 +36,44 @@ def heaviest(start: list[int], end: list[int], score: list[float]) -> list[int]:
     return chosen[::-1]
 
 
+def heaviest_of_each(begin: np.ndarray, start: np.ndarray, end: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Places of what ``heaviest`` takes of each group; groups stand one after another and begin at ``begin``. A step goes
+    on by one interval in every group that has as many."""
+    size = np.diff(np.append(begin, len(start)))
+    group = np.repeat(np.arange(len(begin)), size)
+    order = np.lexsort((start, end, group))
+    _, rank = np.unique(np.concatenate([start, end]), return_inverse=True)
+    wide = int(rank.max(initial=0)) + 1
+    s, e = rank[: len(start)][order] + group * wide, rank[len(start) :][order] + group * wide
+    k = np.arange(len(start)) - begin[group]
+    before = np.minimum(np.searchsorted(e, s, "right") - begin[group], k)
+    score, first = score[order], begin + np.arange(len(begin))  # a group has a sum more than intervals
+    best, take = np.zeros(len(start) + len(begin)), np.zeros(len(start), bool)
+    large = np.argsort(-size, kind="stable")
+    many = np.searchsorted(-size[large], -np.arange(int(size.max(initial=0))), "left")  # groups with more intervals than each number
+    for n, live in enumerate(many.tolist()):
+        g = large[:live]
+        i, to = begin[g] + n, first[g]
+        used, old = best[to + before[i]] + score[i], best[to + n]
+        take[i] = used > old + 1e-12
+        best[to + n + 1] = np.where(take[i], used, old)
+    chosen, g, at = [], np.flatnonzero(size), size[size > 0]
+    while len(g):
+        i = begin[g] + at - 1
+        chosen.append(i[take[i]])
+        at = np.where(take[i], before[i], at - 1)
+        g, at = g[at > 0], at[at > 0]
+    return order[np.sort(np.concatenate(chosen))] if chosen else np.zeros(0, np.int64)
+
+
 def resolve_overlaps(edits: DataFrame) -> DataFrame:
-    """The heaviest rows without overlap in each text; rows have doc_id, start, end, score and others. A group is one text's edits."""
+    """The heaviest rows without overlap in each text; rows have doc_id, start, end, score and others. A task holds whole texts' edits."""
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("start", "ascending"), ("end", "ascending")])
-        return table.take(pa.array(heaviest(*(table.column(c).to_pylist() for c in ("start", "end", "score"))), pa.int64()))
+    def run(table: pa.Table, begin: np.ndarray) -> pa.Table:
+        start, end, score = (table.column(c).to_numpy() for c in ("start", "end", "score"))
+        return table.take(pa.array(heaviest_of_each(begin, start, end, score.astype(np.float64))))
 
-    return edits.groupBy("doc_id").applyInArrow(run, edits.schema)
+    return in_batches(edits, "doc_id", run, edits.schema)
 
 
 def edit_score(probability: Column, nd: Column, start: Column, end: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from echolex.functions import distance_batch, sounds
 from echolex.functions.columns import nullable, offsets
 from echolex.functions.cost_model import DEFAULT, CostModel
 from echolex.operators import term_automaton
+from echolex.operators.groups import in_batches
 
 # The phrases, and those among them that are ordinary speech too.
 PHRASES = [
@@ -120,22 +122,28 @@ def apart(hits: DataFrame) -> DataFrame:
     """Of overlapping hits of a text (doc_id, start, end, text, pattern, evidence, score, place) the best stays: by score, then
     length, then start; those left are held against each one taken before."""
 
-    def run(table: pa.Table) -> pa.Table:
-        start, end, score, place = (table.column(c).to_pylist() for c in ("start", "end", "score", "place"))
-        starts: list[int] = []  # of those taken, in order, which are apart
-        ends: list[int] = []
-        taken = []
-        for i in sorted(range(len(start)), key=lambda i: (-score[i], start[i] - end[i], start[i], place[i])):
-            at = bisect_right(starts, start[i])
-            free = (at == 0 or ends[at - 1] <= start[i]) and (at == len(starts) or end[i] <= starts[at])
+    def run(table: pa.Table, begin: np.ndarray) -> pa.Table:
+        start, end, score, place = (table.column(c).to_numpy() for c in ("start", "end", "score", "place"))
+        size = np.diff(np.append(begin, len(start)))
+        group = np.repeat(np.arange(len(begin)), size)
+        order = np.lexsort((place, start, start - end, -score, group))
+        lone = size[group[order]] == 1
+        taken = order[lone].tolist()
+        now, starts, ends = -1, [], []  # of those taken in a text, in order, which are apart
+        rest = order[~lone]
+        for i, g, a, b in zip(rest.tolist(), group[rest].tolist(), start[rest].tolist(), end[rest].tolist(), strict=True):
+            if g != now:
+                now, starts, ends = g, [], []
+            at = bisect_right(starts, a)
+            free = (at == 0 or ends[at - 1] <= a) and (at == len(starts) or b <= starts[at])
             if free:
-                starts.insert(at, start[i])
-                ends.insert(at, end[i])
+                starts.insert(at, a)
+                ends.insert(at, b)
                 taken.append(i)
         return nullable(table.take(pa.array(taken, pa.int64())).select(["doc_id", *(f.name for f in hit)]))
 
     hit = StructType.fromDDL(_HIT)
-    return hits.groupBy("doc_id").applyInArrow(run, f"doc_id {hits.schema['doc_id'].dataType.simpleString()}, {_HIT}")
+    return in_batches(hits, "doc_id", run, f"doc_id {hits.schema['doc_id'].dataType.simpleString()}, {_HIT}")
 
 
 def find(docs: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:

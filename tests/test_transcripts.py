@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -90,3 +91,31 @@ def test_char_damage(spark):
     rows = spark.createDataFrame([("abcd", "abxd", "abcd"), ("abcd", "abcd", "abcx"), ("", "", "")], "reference string, baseline string, corrected string")
     assert tuple(edits.char_damage(rows).first()) == (7, 1, 1, 1 / 7)
     assert tuple(edits.char_damage(rows.limit(0)).first()) == (0, 0, 0, 0.0)
+
+
+@pytest.mark.parametrize("nested", [False, True])
+def test_overlaps_of_many_texts_are_those_of_each(spark, monkeypatch, nested):
+    """Groups that go over the ends of batches, a group of nulls, and equal scores."""
+    rng = random.Random(5)
+    rows = []
+    for doc in [*range(60), None]:
+        for _ in range(rng.choice([1, 2, 5, 40])):
+            start = rng.randint(0, 30)
+            rows.append((doc, start, start + rng.randint(1, 8), rng.choice([0.0, 0.5, 1.0, rng.random()])))
+    plain, kept = {}, {}
+    for doc in [*range(60), None]:
+        own = sorted({r[1:3]: r for r in rows if r[0] == doc}.values(), key=lambda r: r[1:3])
+        plain[doc] = sorted(own[i] for i in edits.heaviest(*([r[c] for r in own] for c in (1, 2, 3)))) if doc is not None else [own[i][1:] for i in edits.heaviest(*([r[c] for r in own] for c in (1, 2, 3)))]
+        kept[doc] = own
+    found = spark.createDataFrame([r for own in kept.values() for r in own], "doc_id int, start int, end int, score double")
+    if nested:
+        found = found.withColumn("doc_id", F.struct("doc_id"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = edits.resolve_overlaps(found).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in edits.resolve_overlaps(found)._jdf.queryExecution().executedPlan().toString()
+    for doc, want in plain.items():
+        of = [tuple(r)[1:] for r in out if (r["doc_id"]["doc_id"] if nested else r["doc_id"]) == doc]
+        assert sorted(of) == sorted(w[-3:] for w in want)
