@@ -111,9 +111,8 @@ def char_damage_of_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     wrong = F.replace(F.replace(text, F.lit("en"), F.lit("a")), F.lit(" de"), F.lit("de "))
     d = _read(spark, sf_dir, "conversations").select("role", text.alias("reference"), wrong.alias("baseline"), F.replace(F.replace(wrong, F.lit("de "), F.lit(" de")), F.lit("ti"), F.lit("it")).alias("corrected"))
-    b, c = (edits.matched_places("reference", x) for x in ("baseline", "corrected"))
-    sums = d.select("role", b.alias("b"), c.alias("c")).groupBy("role").agg(F.sum(F.size("b")).alias("correct_before"), F.sum(F.size(F.array_except("b", "c"))).alias("broken"), F.sum(F.size(F.array_except("c", "b"))).alias("fixed"))
-    return sums.select("role", *(F.col(x).cast("long").alias(x) for x in ("correct_before", "broken", "fixed")))
+    sums = d.select("role", edits.damage("reference", "baseline", "corrected").alias("d")).groupBy("role")
+    return sums.agg(*(F.sum(f"d.{x}").cast("long").alias(x) for x in ("correct_before", "broken", "fixed")))
 
 
 def span_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:

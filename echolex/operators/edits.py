@@ -161,11 +161,81 @@ def matched_places(reference: str, hypothesis: str) -> Column:
     return F.transform(F.filter(aligned(reference, hypothesis), lambda p: p["same"]), lambda p: p["i"])
 
 
+WORD = 64  # bits of a column of short texts
+TOGETHER = 2048  # pairs of short texts whose columns stand side by side
+
+
+def _codes(texts: list[str], pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, WORD) of code points, and lengths."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    out = np.full((len(texts), WORD), pad, np.uint32)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    out[np.arange(WORD)[None, :] < size[:, None]] = flat
+    return out, size
+
+
+def _matched(a: list[str], b: list[str]) -> np.ndarray:
+    """Of pairs of texts up to ``WORD`` long: a bit for each place of ``a`` that ``diagonal`` finds equal, all pairs a column at a time."""
+    (x, i), (y, j) = _codes(a, 0xFFFFFFFE), _codes(b, 0xFFFFFFFF)
+    n, one = len(a), np.uint64(1)
+    ones = np.where(i == WORD, ~np.uint64(0), (one << np.minimum(i, WORD - 1).astype(np.uint64)) - one)
+    rise, fall, levels, rises = ones.copy(), np.zeros(n, np.uint64), [], []
+    for k in range(int(j.max(initial=0))):
+        mask = np.packbits(x == y[:, k : k + 1], axis=1, bitorder="little").view("<u8")[:, 0]
+        level = ((((mask & rise) + rise) ^ rise) | mask | fall) & ones
+        up = ((fall | ~(level | rise)) << one | one) & ones
+        down = (level & rise) << one & ones
+        rise, fall = (down | ~(level | up)) & ones, up & level
+        levels.append(level)
+        rises.append(rise)
+    out, at = np.zeros(n, np.uint64), np.flatnonzero((i > 0) & (j > 0))
+    levels, rises = np.array(levels).reshape(-1, n), np.array(rises).reshape(-1, n)
+    while len(at):
+        own, col = i[at] - 1, j[at] - 1
+        bit = own.astype(np.uint64)
+        same = x[at, own] == y[at, col]
+        both = same | (levels[col, at] >> bit & one == 0)
+        out[at] |= same.astype(np.uint64) << bit
+        left = ~both & (rises[col, at] >> bit & one == 1)
+        i[at] -= both | left
+        j[at] -= ~left
+        at = at[(i[at] > 0) & (j[at] > 0)]
+    return out
+
+
+def _damage(reference: list[str], baseline: list[str], corrected: list[str]) -> np.ndarray:
+    """(texts, 3) of correct before, broken and fixed places."""
+    out = np.zeros((len(reference), 3), np.int64)
+    longest = np.array([max(map(len, t)) for t in zip(reference, baseline, corrected, strict=True)] or [0])
+    short = np.flatnonzero(longest[: len(reference)] <= WORD)
+    for a in range(0, len(short), TOGETHER):
+        own = short[a : a + TOGETHER]
+        r, b, c = ([t[k] for k in own.tolist()] for t in (reference, baseline, corrected))
+        before, after = _matched(r, b), _matched(r, c)
+        out[own] = np.stack([np.bitwise_count(z) for z in (before, before & ~after, after & ~before)], 1)
+    for k in np.flatnonzero(longest[: len(reference)] > WORD).tolist():
+        before, after = (i[same.astype(bool)] for i, _, same in (diagonal(reference[k], t[k]) for t in (baseline, corrected)))
+        kept = len(np.intersect1d(before, after, assume_unique=True))
+        out[k] = len(before), len(before) - kept, len(after) - kept
+    return out
+
+
+@F.arrow_udf(T.StructType().add("correct_before", "long").add("broken", "long").add("fixed", "long"))
+def damage(reference: pa.Array, baseline: pa.Array, corrected: pa.Array) -> pa.Array:
+    """How many characters of a reference a hypothesis has, and how many of them a correction breaks and adds; null where a text
+    that this needs is null. Places themselves stay in the row's call."""
+    rows = [x.to_pylist() for x in (reference, baseline, corrected)]
+    counts = _damage(*([x or "" for x in r] for r in rows))
+    none = [np.array([x is None for x in r], bool) for r in rows]
+    first, rest = none[0] | none[1], none[0] | none[1] | none[2]
+    columns = [pa.array(counts[:, k], pa.int64(), mask=m) for k, m in ((0, first), (1, rest), (2, rest))]
+    return pa.StructArray.from_arrays(columns, ["correct_before", "broken", "fixed"])
+
+
 def char_damage(rows: DataFrame) -> DataFrame:
     """One row for all (reference, baseline, corrected): correct_before, broken, fixed characters, damage_rate (0 of none)."""
-    own = rows.select(matched_places("reference", "baseline").alias("b"), matched_places("reference", "corrected").alias("c"))
-    sums = own.agg(F.sum(F.size("b")).alias("correct_before"), F.sum(F.size(F.array_except("b", "c"))).alias("broken"), F.sum(F.size(F.array_except("c", "b"))).alias("fixed"))
-    sums = sums.select(*(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("correct_before", "broken", "fixed")))
+    own = rows.select(damage("reference", "baseline", "corrected").alias("d"))
+    sums = own.agg(*(F.coalesce(F.sum(f"d.{c}"), F.lit(0)).cast("long").alias(c) for c in ("correct_before", "broken", "fixed")))
     return sums.withColumn("damage_rate", F.coalesce(F.try_divide(F.col("broken").cast("double"), F.col("correct_before")), F.lit(0.0)))
 
 

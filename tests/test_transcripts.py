@@ -119,3 +119,22 @@ def test_overlaps_of_many_texts_are_those_of_each(spark, monkeypatch, nested):
     for doc, want in plain.items():
         of = [tuple(r)[1:] for r in out if (r["doc_id"]["doc_id"] if nested else r["doc_id"]) == doc]
         assert sorted(of) == sorted(w[-3:] for w in want)
+
+
+def test_damage_of_many_texts_is_that_of_each():
+    rng = random.Random(9)
+    text = lambda: "".join(rng.choice("abé日") for _ in range(rng.choice([0, 1, 5, 20, 63, 64, 65, 90])))
+    rows = [(text(), text(), text()) for _ in range(600)]
+    want = []
+    for r, b, c in rows:
+        b, c = ({i for i, same in zip(x[0].tolist(), x[2].tolist(), strict=True) if same} for x in (edits.diagonal(r, b), edits.diagonal(r, c)))
+        want.append([len(b), len(b - c), len(c - b)])
+    assert edits._damage(*map(list, zip(*rows, strict=True))).tolist() == want
+    assert edits._damage([], [], []).tolist() == []
+
+
+def test_damage_keeps_no_places(spark):
+    rows = spark.createDataFrame([("abcd", "abxd", "abcx"), (None, "a", "a"), ("ab", "ab", None)], "reference string, baseline string, corrected string")
+    found = edits.char_damage(rows)
+    assert found.first()[:3] == (5, 1, 1)
+    assert "array<struct" not in found._jdf.queryExecution().optimizedPlan().toString() and "array_except" not in found._jdf.queryExecution().optimizedPlan().toString()
