@@ -49,6 +49,7 @@ ORDINARY = ["はい", "うん", "おわり", "終わり", "エンディング",
 SEGMENT_ENDS = "。．.\n\r！!？?"
 SWALLOWED = "。．.、,！!？? 　"
 EDGE = " 　、,・"
+DEALS = 32  # tasks that segments with one text go to
 
 
 @dataclass(frozen=True)
@@ -96,7 +97,10 @@ def occurrences(docs: DataFrame, segments_: DataFrame, config: FilterConfig = Fi
     near = heard.join(F.broadcast(said), ratio.between(0.6, 1.6))  # twenty rows
     nd = distance_batch.phonetic_distance("ph", "p_ph", "c", "p_c", config.model) / F.greatest(F.lit(1), F.size("ph"), F.size("p_ph"))
     near = near.where(nd <= config.tau).select("matched", "place", "pattern", "ordinary")
-    own = short.join(near, "matched").where(~F.contains("segment", "pattern"))
+    # a text that very many segments have is dealt over several tasks
+    near = near.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    dealt = short.withColumn("_deal", F.pmod(F.xxhash64("doc_id", "start"), F.lit(DEALS)).cast("int"))
+    own = dealt.join(near, ["matched", "_deal"]).where(~F.contains("segment", "pattern"))
     start = (F.col("start") + F.position("matched", "segment") - 1).cast("int")
     return found.union(own.select("doc_id", start.alias("start"), (start + F.length("matched")).alias("end"), "matched", "place", "pattern", "ordinary"))
 

@@ -138,3 +138,11 @@ def test_damage_keeps_no_places(spark):
     found = edits.char_damage(rows)
     assert found.first()[:3] == (5, 1, 1)
     assert "array<struct" not in found._jdf.queryExecution().optimizedPlan().toString() and "array_except" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_segments_with_one_text_are_dealt_over_tasks(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("ご視聴ありがとうございまし。").alias("text"))
+    around = hallucination.segments(docs)
+    found = hallucination.occurrences(docs, around)
+    assert {r["n"] for r in found.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {found.where("doc_id = 0").count()} and found.count() >= 400
+    assert "_deal" in found._jdf.queryExecution().optimizedPlan().toString()
