@@ -6,8 +6,8 @@ The bracket is the sum-of-squares identity, so all pairwise interactions cost on
 feature is present or absent in a text (x_i is 0 or 1), however often it occurs, so long texts are not diluted.
 
 Training uses a bounded sample of labelled rows (``max_rows``, the rows with the smallest hash of their id in each
-class): the sample's features, not its texts, come to the driver, where Adam fits the selected features. Scoring
-covers whole texts in Arrow batches; the model is broadcast and its size is fixed by ``n_features`` and ``hash_bits``.
+class): the sample's features, not its texts, come to one task, where Adam fits the selected features; the driver gets
+the weights only. Scoring covers whole texts in Arrow batches; the model is broadcast and its size is fixed by ``n_features``.
 
 Defined cases: null text is empty and gets the score of a text without features; labels that are null, or whose doc_id
 is null, are not learned from; of several labels of one doc_id the largest counts; with no labelled row, or a single
@@ -17,6 +17,7 @@ columns of the input are not read.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -61,6 +62,16 @@ class FMModel:
     v: np.ndarray
     report: dict = field(default_factory=dict)
 
+    @staticmethod
+    def of(hash_bits: int, chosen: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray, report: dict | None = None) -> FMModel:
+        """From what is sent: the features' ids in order instead of a slot for every id."""
+        slot = np.full(1 << hash_bits, -1, np.int32)
+        slot[chosen] = np.arange(len(chosen))
+        return FMModel(hash_bits, slot, w0, w, v, report or {})
+
+    def sent(self) -> tuple[int, np.ndarray, float, np.ndarray, np.ndarray]:
+        return self.hash_bits, np.flatnonzero(self.slot >= 0).astype(np.int32), self.w0, self.w, self.v
+
     def logits(self, doc: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
         """One logit a text; ``feature`` may repeat within a text."""
         at = self.slot[feature]
@@ -149,7 +160,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, config: FMConfig) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, featurize: Featurizer, config: FMConfig = FMConfig()) -> FMModel:
-    """Learns ``labels.<label>`` from ``docs``; the driver gets the bounded sample's feature ids only."""
+    """Learns ``labels.<label>`` from ``docs``. One task gets the bounded sample's feature ids and fits; the driver gets the weights."""
     arrow_rows(docs.sparkSession)
     bits = config.hash_bits
 
@@ -164,14 +175,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str, featurize: Featurizer,
                 out += [ids[cuts[i] : cuts[i + 1]].tobytes() for i in range(b - a)]
             yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.int64()), pa.array(out, pa.binary()), batch.column("_y").cast(pa.int32())], ["id", "f", "y"])
 
-    rows = sample(docs, labels, label, config).mapInArrow(features, "id long, f binary, y int").toPandas().sort_values(["id", "y", "f"], kind="stable")
-    return fit([np.frombuffer(x, np.int32) for x in rows["f"]], rows["y"].to_numpy(), config)
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((row for x in batches for row in zip(*(x.column(c).to_pylist() for c in ("id", "y", "f")), strict=True)), key=lambda r: r[:3])
+        model = fit([np.frombuffer(f, np.int32) for _, _, f in rows], np.array([y for _, y, _ in rows], np.int32), config)
+        _, chosen, w0, w, v = model.sent()
+        cells = [pa.array([chosen.tobytes()], pa.binary()), pa.array([w0]), pa.array([w.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary()), pa.array([json.dumps(model.report)])]
+        yield pa.RecordBatch.from_arrays(cells, ["chosen", "w0", "w", "v", "report"])
+
+    rows = sample(docs, labels, label, config).mapInArrow(features, "id long, f binary, y int").repartition(1)
+    got = rows.mapInArrow(fitted, "chosen binary, w0 double, w binary, v binary, report string").collect()  # one row of bounded size
+    if not got:  # a sample that is known to be empty makes no task
+        return fit([], np.zeros(0, np.int32), config)
+    v = np.frombuffer(got[0]["v"]).reshape(-1, config.rank)
+    return FMModel.of(bits, np.frombuffer(got[0]["chosen"], np.int32), got[0]["w0"], np.frombuffer(got[0]["w"]), v, json.loads(got[0]["report"]))
 
 
 def score(docs: DataFrame, model: FMModel, featurize: Featurizer, threshold: float) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
     arrow_rows(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.hash_bits, model.slot, model.w0, model.w, model.v))
+    shared = docs.sparkSession.sparkContext.broadcast(model.sent())
     scored = docs.select("doc_id", "text").mapInArrow(_scorer(shared, featurize, ["doc_id"]), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -179,7 +201,7 @@ def score(docs: DataFrame, model: FMModel, featurize: Featurizer, threshold: flo
 def keep(docs: DataFrame, model: FMModel, featurize: Featurizer, threshold: float, above: bool) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is at least ``threshold`` (``above``) or below it."""
     arrow_rows(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.hash_bits, model.slot, model.w0, model.w, model.v))
+    shared = docs.sparkSession.sparkContext.broadcast(model.sent())
     names = docs.columns
     whole = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text = f"c{names.index('text')}"
@@ -191,7 +213,7 @@ def keep(docs: DataFrame, model: FMModel, featurize: Featurizer, threshold: floa
 
 def _scorer(shared, featurize: Featurizer, columns: list[str], text: str = "text"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = FMModel(*shared.value)
+        model = FMModel.of(*shared.value)
         for batch in batches:
             texts = K.as_bytes(batch.column(text))
             z = [model.logits(*featurize(texts[a:b], model.hash_bits), b - a) for a, b in K.slices(texts)]

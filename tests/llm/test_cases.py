@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import os
 import random
 import re
 import time
@@ -423,3 +424,24 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
 
 def test_upper_table():
     assert "AÉ".translate(UPPER) == "aÉ"
+
+
+def test_the_sample_is_fitted_outside_the_driver(spark, monkeypatch):
+    """The driver gets the weights, which are those of the same rows fitted plainly."""
+    texts = {i: f"you {'vile rotten' if i % 3 == 0 else 'kind gentle'} person number {i % 50} {'said so' if i % 2 else ''}" for i in range(400)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in texts], "doc_id long, toxic int")
+    driver, plain = os.getpid(), fm.fit
+
+    def noted(*args):
+        assert os.getpid() != driver, "fitted in the driver"
+        return plain(*args)
+
+    monkeypatch.setattr(fm, "fit", noted)
+    model = toxicity.train(docs, labels)
+    learned = sorted(i for i in texts if zlib.crc32(str(i).encode()) % 5)
+    same = plain([np.unique(toxicity.terms([texts[i].encode()], 20)[1]).astype(np.int32) for i in learned], np.array([int(i % 3 == 0) for i in learned]), toxicity.CONFIG)
+    assert model.report == same.report and model.report["features"] > 0 and model.w0 == same.w0
+    assert all(np.array_equal(getattr(model, c), getattr(same, c)) for c in ("slot", "w", "v"))
+    monkeypatch.setattr(fm, "fit", plain)
+    assert fm.FMModel.of(*toxicity.train(docs, labels.limit(0)).sent()).w0 == 0
