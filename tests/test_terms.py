@@ -7,6 +7,7 @@ import time
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +184,20 @@ def test_texts_stay_where_they_are_read_however_many_terms(spark, monkeypatch):
     rows, terms = _table(spark)
     plan = term_automaton.counts(rows, terms, ["reference", "hypothesis"], ["id"], ["term"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "CoGroup" not in plan, plan
+
+
+def test_a_call_gets_few_bytes_of_texts(spark):
+    """However many texts an Arrow batch has, and however long they are; a longer text goes alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    most = 1 << 22
+    rows = spark.range(2000, numPartitions=1).select("id", F.when(F.col("id") == 7, F.repeat(F.lit("ab "), most)).when(F.col("id") % 5 > 0, F.repeat(F.lit("ab cd "), 2000)).alias("text"))
+    terms = spark.createDataFrame([("cd",)], "term string")
+
+    def work(table, terms, texts, keep, of):
+        size = sum(len(x or "") for x in table.column("text").to_pylist())
+        return pa.table({"id": table.column("id"), "n": pa.array([size if table.num_rows > 1 else 0] * table.num_rows, pa.int64())})
+
+    got = term_automaton._each(rows, terms, ["text"], ["id"], [], work, "n long").collect()
+    assert sorted(r["id"] for r in got) == list(range(2000))
+    assert max(r["n"] for r in got) <= most
+    assert term_automaton.places(rows.where("id % 5 > 0"), terms, "text", ["id"], ["term"]).count() == 1599 * 2000
