@@ -13,6 +13,7 @@ from echolex.functions import sound_tables as S
 from echolex.functions.columns import once
 from echolex.functions.cost_model import DEFAULT, CostModel
 from echolex.operators import edits, hallucination, lookup, rendering, term_automaton
+from echolex.sources.checkpoints import written
 
 _read = catalog._read
 #: Another phonetic model: marks stay, other costs, distances by the mean length.
@@ -29,7 +30,8 @@ def _document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topk_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of all documents' words does each part name sound like? The index holds tens of thousands of readings."""
-    terms = _document_words(spark, sf_dir).select(F.col("word").alias("entry_id"), F.col("word").alias("surface"), F.length("word").cast("double").alias("weight"), F.array(catalog.as_kana("word")).alias("readings"))
+    # written, so that the documents are read once
+    terms = written(_document_words(spark, sf_dir)).select(F.col("word").alias("entry_id"), F.col("word").alias("surface"), F.length("word").cast("double").alias("weight"), F.array(catalog.as_kana("word")).alias("readings"))
     names = _read(spark, sf_dir, "part").select("p_name").distinct()
     asked = once(names, phonemes=sounds.phonemes(catalog.as_kana("p_name"))).withColumnRenamed("p_name", "q_key")
     found = lookup.top_k(asked, lookup.readings(terms), lookup.QueryBounds(tau=TAU))

@@ -15,6 +15,7 @@ from echolex.functions import distance_batch, sounds
 from echolex.functions.columns import nullable, once
 from echolex.functions.cost_model import DEFAULT, CostModel
 from echolex.operators.phoneme_trie import Trie
+from echolex.sources.checkpoints import written
 
 PREFILTER = 300
 MAX_DF = 0.30
@@ -129,11 +130,16 @@ def _by_trie(queries: DataFrame, index: DataFrame, bounds: QueryBounds, model: C
 
         # the walk is what costs, however few rows there are
         return queries.repartition(3 * context.defaultParallelism).mapInArrow(walk, _HIT.format(**kinds))
+    # read several times: its readings are made once
+    index = written(index.select(columns))
+    n = index.count()
+    # as many parts as there are cores, several each where there are few blocks; none over TRIE_READINGS or so
+    parts = max(-(-n // TRIE_READINGS), context.defaultParallelism)
+    each = -(-n // parts)
     first = F.array_join(F.slice("phonemes", 1, 2), " ")
     sizes = index.groupBy(first.alias("_first")).agg(F.count("*").alias("_n"))  # as many rows as pairs of phonemes
     dealt = index.join(F.broadcast(sizes), first == F.col("_first"))
-    parts = -(-index.count() // TRIE_READINGS)
-    some = F.pmod(F.xxhash64("slot"), F.ceil(F.col("_n") / TRIE_READINGS).cast("long"))
+    some = F.pmod(F.xxhash64("slot"), F.ceil(F.col("_n") / each).cast("long"))
     dealt = dealt.select(F.pmod(F.xxhash64("_first", some), F.lit(parts)).cast("int").alias("part"), *columns)
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     asked = queries.withColumn("block", F.pmod(F.xxhash64("q_key"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))

@@ -181,3 +181,13 @@ def test_terms_as_near_but_for_rounding_are_ranked_by_weight(spark):
     asked = spark.createDataFrame([("erheing",)], "q_key string").withColumn("phonemes", sounds.phonemes(catalog.as_kana("q_key")))
     best = lookup.top_k(asked, lookup.readings(terms), lookup.QueryBounds(tau=0.6, top_k=1)).collect()
     assert [(r["surface"], r["nd"]) for r in best] == [("cold ring", 0.36)]
+
+
+def test_a_large_index_is_made_once_and_dealt_to_all_cores(spark, monkeypatch):
+    glossary, _ = _glossary(spark, random.Random(2), 90)
+    index = lookup.readings(glossary)
+    monkeypatch.setattr(lookup, "TRIE_READINGS", index.count() - 1)
+    asked = spark.createDataFrame([("a", "カキ")], "q_key string, kana string").select("q_key", sounds.phonemes("kana").alias("phonemes"))
+    plan = lookup.top_k(asked, index)._jdf.queryExecution().analyzed().toString()
+    assert "posexplode" not in plan
+    assert f"explode(sequence(0, {spark.sparkContext.defaultParallelism - 1}," in plan, [x.strip()[:120] for x in plan.splitlines() if "Generate" in x]
