@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echolex.llm.scratch import cut
+from echolex.llm.scratch import cut, drop
+
+EDGES = 200_000  # in a task, once they are dealt by their larger node
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,25 +37,26 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): each node of ``edges`` (two long columns) with the smallest node that it can reach.
 
-    Rounds of large-star and small-star (Kiveris et al., 2014): each round links the neighbours of a node to the
-    smallest of them, so paths shrink geometrically; minima are pre-aggregated before each shuffle and hot nodes are
-    plain rows of splittable joins. Null nodes and loops give no rows; repeated edges do no harm.
+    Rounds of two steps after large-star and small-star (Kiveris et al., 2014): an edge whose smaller node has smaller
+    neighbours moves on to the least of them, so paths shrink geometrically; then all edges from a node to smaller ones
+    meet in one task, which makes stars of what it holds. Nodes that edges move from, or that have several smaller
+    neighbours, are a table of their own, joined by broadcast while small, so a hot node's edges stay where they are;
+    when it is empty, all edges are stars. Null nodes and loops give no rows; repeated edges do no harm.
     """
     a, b = edges.columns
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and {a} <> {b}")
     e = cut(e.mapInArrow(_contract, "u long, v long"), "edges")
-    before = None
     for _ in range(most_rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        e = cut(small, "edges", instead_of=e)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        ends = e.select(F.col("v").alias("u")).distinct().withColumn("end", F.lit(True))
+        moves = cut(least.join(ends, "u", "left").where("n > 1 or end").select(F.col("u").alias("v"), "m"), "moves")
+        if moves.isEmpty():
+            drop(moves)
             break
-        before = now
+        moved = e.join(moves, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        moved = moved.repartition(-(-e.count() // EDGES), "u").mapInArrow(_contract, "u long, v long")
+        e = cut(moved, "edges", instead_of=e)
+        drop(moves)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())

@@ -11,8 +11,9 @@ and 8e-6 for 0.8 with 64 bands of 8. Sets are compared by 64-bit hashes of their
 
 Groups: equal sets are one class before banding. In a band's bucket, documents in order are first linked to their
 neighbour only (rows are dealt by ranges of bucket and document, so hot buckets are split). Members that are then still
-outside their bucket's largest component are compared against all members of other components: as pairs in small
-buckets, block against block in large ones. So no link between components is lost, and no pairs are made inside one.
+outside their bucket's largest component are compared against all members of other components: within a task in small
+buckets, block against block in large ones. So no link between components is lost, no pairs are made inside one, and
+only pairs that pass the estimate become rows.
 
 Defined cases: null or wordless text has an empty set and links with nothing; with fewer than ``k`` words the whole
 sequence is the one shingle; rows with a null doc_id link with nothing (component_id null, kept true); rows that repeat
@@ -190,12 +191,43 @@ def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
     return of.join(buckets, "key")
 
 
-def _across(mixed: DataFrame) -> DataFrame:
-    """Pairs (u, v) of one small bucket in different components."""
-    small = mixed.where(F.col("n") <= BLOCK_FROM)
-    rest = small.where("component <> most").select("key", F.col("node").alias("a"), F.col("component").alias("ca"), "most")
-    pairs = rest.join(small.select("key", "node", "component"), "key").where("ca <> component and (component = most or a < node)")
-    return pairs.select(F.least("a", "node").alias("u"), F.greatest("a", "node").alias("v")).distinct()
+def _across(mixed: DataFrame, sketches: DataFrame, config: MinHashConfig) -> DataFrame:
+    """Pairs (u, v) of one small bucket in different components whose sizes and registers allow the threshold.
+
+    A bucket's members lie together in one task, each with its registers once; its pairs are met there, a distance in
+    the order at a time, and only those that pass become rows. So rows grow with members and not with their pairs.
+    """
+    small = mixed.where(F.col("n") <= BLOCK_FROM).select("key", "node", "component")
+    dealt = small.join(sketches.select("node", "n_shingles", "regs"), "node").repartition("key").sortWithinPartitions("key")
+    m = config.registers
+
+    def met(key: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, regs: np.ndarray) -> pa.RecordBatch:
+        found = [np.zeros((2, 0), np.int64)]
+        for d in range(1, len(key)):
+            i = np.flatnonzero(key[d:] == key[:-d])
+            if not len(i):
+                break
+            i = i[comp[i] != comp[i + d]]
+            i = i[_possible(regs[i], regs[i + d], n[i], n[i + d], config)]
+            found.append(np.sort([node[i], node[i + d]], axis=0))
+        u, v = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Streams: holds back the last bucket's rows, at most BLOCK_FROM, because more of them may follow."""
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if batch.num_rows:
+                own = [batch.column(c).to_numpy() for c in ("key", "node", "component", "n_shingles")]
+                own.append(np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(-1, m))
+                own = [np.concatenate(x) for x in zip(held, own, strict=True)] if held else own
+                last = int(np.searchsorted(own[0], own[0][-1]))
+                held = [x[last:] for x in own]
+                yield met(*(x[:last] for x in own))
+        if held:
+            yield met(*held)
+
+    return dealt.select("key", "node", "component", "n_shingles", "regs").mapInArrow(run, "u long, v long").distinct()
 
 
 def _across_blocks(mixed: DataFrame, docs: DataFrame, config: MinHashConfig) -> DataFrame:
@@ -280,7 +312,7 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
     links = cut(_confirmed(cut(_estimated(pairs, chosen, config), "pairs"), texts, config), "links")
     found = connected_components(links)
     mixed = cut(_mixed(members.select("key", "node"), found), "mixed")
-    rest = cut(_estimated(_across(mixed), chosen, config), "pairs")
+    rest = cut(_across(mixed, chosen, config), "pairs")
     links = links.union(cut(_confirmed(rest, texts, config), "links")).union(cut(_across_blocks(mixed, texts, config), "links"))
     # classes join as their smallest document; documents that repeat an id with other sets join the classes
     same = own.join(classes, "set_key").where("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v"))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from echolex.llm import embeddings, fingerprints, fm, html_extraction, html_blocks, licenses, minhash, mixing, packing, quality, queries, sharding, toxicity
+from echolex.llm import components, embeddings, fingerprints, fm, html_extraction, html_blocks, licenses, minhash, mixing, packing, quality, queries, sharding, toxicity
 from echolex.llm.components import connected_components
 from echolex.llm.kernels import LETTERS, NOT_BLANK, Words, shingle_sets
 
@@ -122,6 +122,51 @@ def test_minhash_neighbours_in_either_order(spark, texts, monkeypatch):
     assert all(a < b for a, b in pairs[0])
 
 
+def test_minhash_pairs_grow_with_members(spark, monkeypatch):
+    """Texts that share a passage and many bands but are no near copies: no pair becomes a row before it is estimated."""
+    rng = np.random.default_rng(8)
+    passage = prose(rng, 200, 5000)
+    many = [f"{passage} {prose(rng, 40, 5000)}" for _ in range(60)]
+    many += [f"{x} end" for x in many[:10]]
+    members, pairs = [], []
+    chain, estimated = minhash.neighbours_in_order, minhash._estimated
+
+    def keep_members(rows, partitions):
+        members.append(minhash.cut(chain(rows, partitions), "members"))
+        return members[0]
+
+    def keep_pairs(found, *more):
+        pairs.append(found.count())
+        return estimated(found, *more)
+
+    monkeypatch.setattr(minhash, "neighbours_in_order", keep_members)
+    monkeypatch.setattr(minhash, "_estimated", keep_pairs)
+    config = minhash.MinHashConfig(k=3, threshold=Fraction(85, 100), rows=4, bands=8)
+    rows = minhash.near_duplicates(documents(spark, many), config).collect()
+    own = sets(many, 3)
+    linked = [(i, j) for i in range(70) for j in range(i) if 100 * len(own[i] & own[j]) >= 85 * len(own[i] | own[j])]
+    assert {r["doc_id"]: r["component_id"] for r in rows} == dict(enumerate(groups(70, linked)))
+    assert sum(pairs) <= members[0].count()
+
+
+def test_minhash_small_buckets_over_batches(spark, monkeypatch):
+    """Every pair of a bucket is met, also where batches end inside it, and none within a component or across buckets."""
+    monkeypatch.setattr(minhash, "_possible", lambda a, b, na, nb, config: a[:, 0] == b[:, 0])
+    rows = [(key, 100 * key + i, 100 * key + i // 3, 40) for key in range(30) for i in range(30)]
+    mixed = spark.createDataFrame([x for x in rows if x[0] != 4], "key long, node long, component long, n long")
+    config = minhash.MinHashConfig(rows=1, bands=2)
+    sketches = spark.createDataFrame([(node, 9, bytes([i % 2, 0, 0, 0])) for i, (_, node, _, _) in enumerate(rows)], "node long, n_shingles long, regs binary")
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "7")
+    try:
+        found = [tuple(r) for r in minhash._across(mixed, sketches, config).collect()]
+    finally:
+        spark.conf.set(setting, before)
+    expected = {(a, b) for k, a, ca, _ in rows for other, b, cb, _ in rows if k == other != 4 and a < b and ca != cb and (a - b) % 2 == 0}
+    assert len(found) == len(expected) and set(found) == expected
+
+
 def test_minhash_remove_keeps_columns(spark, texts):
     docs = documents(spark, texts)
     kept = minhash.remove(docs)
@@ -168,6 +213,31 @@ def test_components_of_hot_nodes(spark):
     assert {r["node"]: r["component"] for r in rows} == {x: root(x) for x in linked} and len(rows) == len(linked)
 
 
+def test_components_in_many_tasks(spark, monkeypatch):
+    """Chains, a comb and hot nodes, dealt over many tasks, against plain union-find; stars cost no round."""
+    written = []
+    real = components.cut
+
+    def keep(df, name, instead_of=None):
+        written.append(name)
+        return real(df, name, instead_of)
+
+    monkeypatch.setattr(components, "cut", keep)
+    monkeypatch.setattr(components, "EDGES", 20)
+    rng = np.random.default_rng(9)
+    names = rng.permutation(3000)
+    edges = [(i, i + 1) for i in range(400)] + [(500, i) for i in range(501, 900)] + [(i, i + 1) for i in range(1000, 1300, 2)] + [(i, 999) for i in range(1000, 1300, 3)]
+    edges = [(int(names[a]), int(names[b])) for a, b in edges]
+    own = groups(3000, edges)
+    linked = {x for e in edges for x in e}
+    rows = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()
+    assert {r["node"]: r["component"] for r in rows} == {x: own[x] for x in linked} and len(rows) == len(linked)
+    written.clear()
+    rows = connected_components(spark.createDataFrame([(0, i) for i in range(1, 300)], "a long, b long").repartition(9)).collect()
+    assert {r["node"]: r["component"] for r in rows} == dict.fromkeys(range(300), 0)
+    assert written.count("edges") == 1
+
+
 def test_fingerprints(spark, texts):
     docs = documents(spark, texts)
     rows = {r["doc_id"]: r for r in fingerprints.fingerprint_edits(docs, 5).collect()}
